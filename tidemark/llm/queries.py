@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import read_table
+from .language_id import held_out, identify, train
+from .media import decode_audio, encode_audio
 from .packing import pack_documents
+from .token_counts import count_tokens
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -19,12 +22,43 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    read = decode_audio(encode_audio(docs))
+    feature = F.concat_ws(";", F.concat(F.lit("us="), "duration_us"), F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("hz="), "hertz"), F.concat(F.lit("seek="), F.crc32(F.concat_ws(",", "seek_offsets").cast("binary"))))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_best_fit_packing": op3_best_fit_packing}
+    return {
+        "op1_language_id": op1_language_id,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op5_media_columns": op5_media_columns,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
