@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from ._arrow import bounded_batches, materialise
 
 #: Distinct words whose ids a worker keeps; beyond it, it starts afresh.
-WORD_CACHE = 400_000
+WORD_CACHE = 800_000
+#: ASCII signs that the tokenizer splits from a letter before them (not the apostrophe of contractions).
+SIGNS = ".,!?;:|#$%&*()=+/<>-\"@"
 #: Pieces packed by one task, about; the bound of a task's memory.
 GROUP_PIECES = 200_000
 
@@ -55,14 +58,34 @@ class WordIds:
         if len(self.known) > WORD_CACHE:
             self.known = {}
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+        new = {w for words in split for w in words if w not in known}
+        # Most new words are known ones in other letter case or with signs behind them.
+        parts = {w: self._parts(w) for w in new}
+        self._learn(list({x for pair in parts.values() for x in pair if x not in known}))
+        for word, (core, tail) in parts.items():
+            known[word] = known[core] + known[tail]
         look = known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        core = word.rstrip(SIGNS)
+        if len(core) < len(word) and core[-1:].isalpha() and core[-1:] < "\u0250" and "<|" not in word:
+            return (core.lower() if core.isascii() else core), word[len(core) :]
+        return (word.lower() if word.isascii() and "<|" not in word else word), ""
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(found.ids, "<u4").tobytes()
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
+
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids, cut where longer than a sequence."""
@@ -70,7 +93,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,12 +97,18 @@ class PieceCounter:
         return sum([c for c, _ in found]), sum([s for _, s in found])
 
 
+@lru_cache(1)
+def piece_counter(path: str, byte_fallback: bool) -> PieceCounter:
+    """One for all tasks of a worker."""
+    return PieceCounter(pieces_of_model(path), byte_fallback)
+
+
 def count_tokens(docs: DataFrame, model_path: str, byte_fallback: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, score): a unigram model's best segmentation of each whole text."""
     bounded_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(pieces_of_model(model_path), byte_fallback)
+        counter = piece_counter(model_path, byte_fallback)
         for batch in batches:
             found = [counter.count(t) for t in batch.column(1).fill_null("").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
