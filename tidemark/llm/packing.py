@@ -70,7 +70,7 @@ class WordIds:
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
         core = word.rstrip(SIGNS)
-        if len(core) < len(word) and core[-1:].isalpha() and core[-1:] < "\u0250" and "<|" not in word:
+        if len(core) < len(word) and core[-1:].isalpha() and core[-1:] < "\u0100" and "<|" not in word:
             return (core.lower() if core.isascii() else core), word[len(core) :]
         return (word.lower() if word.isascii() and "<|" not in word else word), ""
 
