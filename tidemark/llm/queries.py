@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._arrow import read_table
 from .language_id import held_out, identify, train
 from .media import decode_audio, encode_audio
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .token_counts import count_tokens
 
@@ -28,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -55,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_near_dedup": op2_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_media_columns": op5_media_columns,
         "op10_token_counts": op10_token_counts,
