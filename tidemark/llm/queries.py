@@ -12,6 +12,7 @@ from .language_id import held_out, identify, train
 from .media import decode_audio, encode_audio
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .secrets import KINDS, scan_secrets, span_list
 from .token_counts import count_tokens
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -53,6 +54,14 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind, *_ in KINDS]
+    live = F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live")
+    return found.select("doc_id", *counts, F.sha2(span_list("base_spans"), 256).alias("base_sha256"), span_list("spans").alias("spans"), live)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_TOKENIZER))
 
@@ -63,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_media_columns": op5_media_columns,
+        "op7_secret_scans": op7_secret_scans,
         "op10_token_counts": op10_token_counts,
     }
 
