@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import read_table
+from .chat import maximal_conversations, render
+from .fingerprints import fingerprint, fingerprint_string, lexicon, likeness, with_next
 from .language_id import held_out, identify, train
 from .media import decode_audio, encode_audio
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .secrets import KINDS, scan_secrets, span_list
@@ -38,6 +41,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lexicon(docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    pairs = with_next(docs, F.struct(text.alias("text"), fingerprint(text, kept).alias("hashes")))
+    n = F.length("value.text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("value.text"), F.lit(1), n - half), F.substring(F.col("next_value.text"), F.lit(1), half))
+    pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.col("value.hashes").alias("own"), F.col("next_value.hashes").alias("following"), edited.alias("edited"))
+    pairs = pairs.withColumn("changed", fingerprint(F.col("edited"), kept))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint_string(F.col("own")).alias("fingerprint"),
+        fingerprint_string(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     read = decode_audio(encode_audio(docs))
@@ -62,6 +86,15 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_list("base_spans"), 256).alias("base_sha256"), span_list("spans").alias("spans"), live)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", "repeats", "epoch", "block", "place")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(maximal_conversations(read_table(spark, sf_dir, "conversations")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_TOKENIZER))
 
@@ -71,8 +104,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_near_dedup": op2_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_fingerprints": op4_fingerprints,
         "op5_media_columns": op5_media_columns,
         "op7_secret_scans": op7_secret_scans,
+        "op8_mixing": op8_mixing,
+        "op9_chat_formatting": op9_chat_formatting,
         "op10_token_counts": op10_token_counts,
     }
 
