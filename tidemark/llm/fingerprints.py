@@ -4,7 +4,7 @@ Terms are runs of letters and digits in lower case.  A term stays in the lexicon
 its inverse document frequency over the whole corpus lies in a chosen band.  A
 fingerprint hashes the sorted distinct lexicon terms of a text under the whole
 lexicon and under several randomised subsets of it.  Subsets keep a term with
-probabilities from 1/4 down to 1/1024, so texts of any length have subsets that
+probabilities from 1/16 down to 1/4096, so texts of any length have subsets that
 take a few of their terms only and survive edits elsewhere.
 
 The lexicon is held by term hash in ``SLOTS`` slots, a byte each, so it can go to
@@ -33,8 +33,8 @@ SLOTS = 1 << 20
 #: The band: terms of at least so many documents and at most such a share of them.
 LEAST_DOCUMENTS = 2
 MOST_SHARE = 0.2
-#: (bits of the term hash that pick the subset, probability's exponent); the first is the whole lexicon.
-SUBSETS = ((0, 0), *((seed, bits) for bits in (2, 4, 6, 8, 10) for seed in range(3)))
+#: Randomised subsets: for each seed, nested ones that keep a term with probability 2**-bits.
+SEEDS, BITS = 6, tuple(range(4, 13))
 
 
 def terms(text: Column) -> Column:
@@ -67,14 +67,19 @@ def fingerprint(text: Column, kept: bytes) -> Column:
     slots = F.lit(kept)
     own = F.array_sort(F.filter(terms(text), lambda t: F.substring(slots, _slot(t).cast("int") + 1, 1) == F.lit(b"\x01")))
 
-    def subset(terms: Column, seed: int, bits: int) -> Column:
-        if bits:
-            terms = F.filter(terms, lambda t: F.shiftrightunsigned(t, 10 * seed).bitwiseAND(F.lit((1 << bits) - 1)) == 0)
+    def hashed(terms: Column) -> Column:
         return F.when(F.size(terms) > 0, F.xxhash64(terms))
 
+    def subset(terms: Column, seed: int, bits: int) -> Column:
+        return F.filter(terms, lambda t: F.shiftrightunsigned(t, 10 * seed).bitwiseAND(F.lit((1 << bits) - 1)) == 0)
+
+    def nested(own: Column, seed: int) -> Column:
+        largest = F.array(subset(own, seed, BITS[0]))
+        return F.transform(largest, lambda t: F.array(*[hashed(subset(t, seed, bits)) for bits in BITS]))[0]
+
     def hashes(own: Column) -> Column:
-        first, *rest = (subset(own, seed, bits) for seed, bits in SUBSETS)
-        return F.array(F.coalesce(first, F.xxhash64(F.coalesce(text, F.lit("")))), *rest)
+        whole = F.coalesce(hashed(own), F.xxhash64(F.coalesce(text, F.lit(""))))
+        return F.concat(F.array(whole), *[nested(own, seed) for seed in range(SEEDS)])
 
     return F.transform(F.array(own), hashes)[0]
 
