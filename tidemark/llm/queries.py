@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .secrets import KINDS, scan_secrets, span_list
+from .substring_dedup import remove_repeated
 from .token_counts import count_tokens
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -78,6 +79,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
     kinds = F.transform("base_spans", lambda s: s["kind"])
@@ -106,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_fingerprints": op4_fingerprints,
         "op5_media_columns": op5_media_columns,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_secret_scans": op7_secret_scans,
         "op8_mixing": op8_mixing,
         "op9_chat_formatting": op9_chat_formatting,
