@@ -13,6 +13,7 @@ columns beyond the id and the text are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ._arrow import bounded_batches, materialise
 
-#: Distinct words whose ids a worker keeps; beyond it, it starts afresh.
-WORD_CACHE = 800_000
+#: Distinct words, and parts of words in lower case, whose ids a worker keeps; beyond it, it starts afresh.
+WORD_CACHE, PART_CACHE = 300_000, 1_000_000
 #: ASCII signs that the tokenizer splits from a letter before them (not the apostrophe of contractions).
 SIGNS = ".,!?;:|#$%&*()=+/<>-\"@"
 #: Pieces packed by one task, about; the bound of a task's memory.
@@ -51,19 +52,23 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        # Python's white space is the tokenizer's but for these four separators.
+        split = [t.replace("\n", " ").split(" ") if any(map(t.__contains__, "\x1c\x1d\x1e\x1f")) else t.split() for t in texts]
         if len(self.known) > WORD_CACHE:
             self.known = {}
-        known = self.known
+        if len(self.parts) > PART_CACHE:
+            self.parts = {}
+        known, parts = self.known, self.parts
         new = {w for words in split for w in words if w not in known}
         # Most new words are known ones in other letter case or with signs behind them.
-        parts = {w: self._parts(w) for w in new}
-        self._learn(list({x for pair in parts.values() for x in pair if x not in known}))
-        for word, (core, tail) in parts.items():
-            known[word] = known[core] + known[tail]
+        cut = {w: self._parts(w) for w in new}
+        self._learn(list({x for pair in cut.values() for x in pair if x not in parts}))
+        for word, (core, tail) in cut.items():
+            known[word] = parts[core] + parts[tail] if tail else parts[core]
         look = known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
@@ -78,7 +83,7 @@ class WordIds:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+                self.parts[word] = array("I", found.ids).tobytes()
 
 
 @lru_cache(1)
