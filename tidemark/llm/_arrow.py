@@ -29,6 +29,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow side that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Materialise a narrow table and mark it for broadcast if its counted rows allow it."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,8 +7,11 @@ share one frequent passage only aren't merged (they are skipped).  Candidates ar
 confirmed on the full sets, and links are closed to components.
 
 No pairs are listed within a group of copies: equal sets are one representative;
-a list of n documents gives n-1 candidates with its least document; only documents
-that these leave in different components meet once more, if their sizes allow it.
+a list of n documents gives n-1 candidates with its hub, the document that meets the
+most others over all its lists (the least edited of a group of near copies).
+Documents that these leave in different components meet once more, but only those
+that can still be linked: a document's shingles that occur in another component
+bound its intersection with anything there.
 
 Defined results: a null text, or one without words, has an empty set, is linked
 with nothing and is its own component; a text of fewer words than a shingle has one
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches, materialise
+from ._arrow import bounded_batches, broadcast_if_small, materialise
 from ._components import connected_components
 from ._words import gram_hashes, mix64, words_of
 
@@ -34,8 +37,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Keys and coordinates of a key: a pair of similarity 0.8 shares none with probability (1 - 0.8**3)**30, under 1e-9.
 KEYS, ROWS = 30, 3
-#: Documents to confirm are found by a broadcast of their ids up to this many, else by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys that a pair must share to meet once more; one of similarity 0.8 shares fewer with probability 2e-8.
+MATCHES = 2
 
 _U = np.uint64
 _MULTIPLIERS = (mix64(np.arange(1, KEYS * ROWS + 1, dtype=_U) << _U(8)) >> _U(32)).astype(np.uint32) | np.uint32(1)
@@ -85,9 +88,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of candidates (a, b) those whose full sets are similar enough."""
     pairs = materialise(pairs)
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = broadcast_if_small(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +111,32 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return materialise(met.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
 
 
+def _left_over(posted: DataFrame, components: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates (a, b) that share a key, lie in different components and can be similar enough."""
+    rows = posted.where("members > 2").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rows = rows.join(split, "key", "left_semi").where("doc_id <> hub").select("key", "doc_id", "n_shingles", "component")
+    often = rows.groupBy("doc_id", "component").agg(F.count("*").alias("matches")).where(F.col("matches") >= MATCHES).select("doc_id", "component")
+    rows = materialise(rows)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.view(np.int64) for s in shingle_sets(batch.column(1), size)]
+            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "component", "shingles"])
+
+    held = docs.join(broadcast_if_small(often), "doc_id").select("doc_id", "text", "component").mapInArrow(sets, "doc_id long, component long, shingles array<long>")
+    held = held.select("doc_id", "component", F.explode("shingles").alias("shingle"))
+    shared = held.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    most = held.join(shared, "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("most"))
+    able = materialise(rows.join(most, "doc_id").where(100 * F.col("most") >= percent * F.col("n_shingles")))
+    x, y = able.alias("x"), able.alias("y")
+    overlap = (100 + percent) * F.least("x.most", "y.most") >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _sizes(F.col("x.n_shingles"), F.col("y.n_shingles"), percent) & overlap
+    return x.join(y, near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def _sizes(x: F.Column, y: F.Column, percent: int) -> F.Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -126,18 +153,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     least = filled.groupBy("set_name").agg(F.min("doc_id").alias("doc_id"))
     single = filled.join(least, ["set_name", "doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("keys").alias("key")).distinct()
-    lists = single.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("hub")).where("members > 1")
+    lists = single.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     posted = materialise(single.join(lists, "key"))
-    links = _confirmed(posted.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), docs, shingle, percent)
-    found = connected_components(links)
-
-    again = posted.where("members > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    again = materialise(again.join(split, "key", "left_semi").where("doc_id <> hub"))
-    x, y = again.alias("x"), again.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _sizes(F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
-    more = x.join(y, near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    links = links.unionAll(_confirmed(more.join(links, ["a", "b"], "left_anti"), docs, shingle, percent))
+    met = posted.groupBy("doc_id").agg(F.sum("members").alias("met"))
+    posted = posted.join(met, "doc_id")
+    hubs = posted.groupBy("key").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("least")))["least"]).alias("hub"))
+    posted = materialise(posted.drop("met").join(hubs, "key"))
+    pairs = posted.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    links = _confirmed(pairs, docs, shingle, percent)
+    more = _left_over(posted, connected_components(links), docs, shingle, percent)
+    links = links.unionAll(_confirmed(more, docs, shingle, percent))
 
     found = connected_components(links).withColumnRenamed("node", "least")
     of_set = least.select("set_name", F.col("doc_id").alias("least")).join(found, "least", "left").select("set_name", F.coalesce("component", "least").alias("component_id"))

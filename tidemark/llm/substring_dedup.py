@@ -34,25 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches, materialise
+from ._arrow import bounded_batches, broadcast_if_small
 from ._words import Words, window_hashes, words_of
 
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text for each bucket of hashes and each shard, about; the bound of a task's memory.
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 32
-#: Rows of a small side that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 300_000
 
 _LAST = (1 << 63) - 1
 _U = np.uint64
 
 
-def _if_small(df: DataFrame) -> DataFrame:
-    df = materialise(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _least_positions(values: np.ndarray, width: int) -> np.ndarray:
     """For each start the position of the first least value among the next ``width``."""
     n = len(values) - width + 1
@@ -335,12 +328,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     equal = docs.groupBy(F.md5("text").alias("name")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
-    named = docs.join(_if_small(equal), F.md5("text") == F.col("name"), "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"))
+    named = docs.join(broadcast_if_small(equal), F.md5("text") == F.col("name"), "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"))
     single = named.where("not copy").select("doc_id", "text")
-    repeated = _if_small(_entries(single, window, anchor, buckets))
-    occurrences = _if_small(_occurrences(single, repeated, window, anchor, buckets))
+    repeated = broadcast_if_small(_entries(single, window, anchor, buckets))
+    occurrences = broadcast_if_small(_occurrences(single, repeated, window, anchor, buckets))
     spans = _spans(_regions(single, occurrences, window, buckets), window)
-    spans = _if_small(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    spans = broadcast_if_small(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     return named.join(spans, "doc_id", "left")
 
 
