@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._arrow import materialise
+from ._arrow import broadcast_if_small, materialise
 
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 #: The band: terms of at least so many documents and at most such a share of them.
 LEAST_DOCUMENTS = 2
 MOST_SHARE = 0.2
@@ -44,7 +44,7 @@ def terms(text: Column) -> Column:
 
 
 def _slot(term: Column) -> Column:
-    return F.shiftrightunsigned(term, 44)
+    return F.shiftrightunsigned(term, 46)
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least_documents: int = LEAST_DOCUMENTS, most_share: float = MOST_SHARE) -> bytes:
@@ -115,7 +115,7 @@ def with_next(docs: DataFrame, value: Column, id_col: str = "doc_id", text_col:
     heads = rows.groupBy("_bucket").agg(F.max("_key").alias("_key"))
     over = W.partitionBy(F.lit(0))
     heads = heads.withColumn("_before", F.coalesce(F.lag("_bucket").over(over.orderBy(F.col("_bucket").desc())), F.min("_bucket").over(over)))
-    first = rows.join(heads, ["_bucket", "_key"]).groupBy(F.col("_before").alias("_b")).agg(F.min(F.struct("_text", "_value"))["_value"].alias("_first"))
+    first = rows.join(broadcast_if_small(heads), ["_bucket", "_key"]).groupBy(F.col("_before").alias("_b")).agg(F.min(F.struct("_text", "_value"))["_value"].alias("_first"))
     order = W.partitionBy("_bucket").orderBy(F.col("_key").desc(), "_text")
     rows = rows.withColumn("_next", F.lead("_value").over(order))
     rows = rows.join(first, (F.col("_bucket") == F.col("_b")) & F.col("_next").isNull(), "left")
