@@ -29,14 +29,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a narrow side that may be broadcast; a larger one is joined by a shuffle.
+#: Rows and bytes of a side that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 24 << 20
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Materialise a narrow table and mark it for broadcast if its counted rows allow it."""
+def broadcast_if_small(df: DataFrame, payload: str | None = None) -> DataFrame:
+    """Materialise a table and mark it for broadcast if its counted rows and bytes allow it.
+
+    payload: an expression for the bytes of a row's long values; it isn't needed for narrow rows.
+    """
     df = materialise(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.expr(payload or "0")), F.lit(0))).head()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -330,10 +330,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     equal = docs.groupBy(F.md5("text").alias("name")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
     named = docs.join(broadcast_if_small(equal), F.md5("text") == F.col("name"), "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"))
     single = named.where("not copy").select("doc_id", "text")
-    repeated = broadcast_if_small(_entries(single, window, anchor, buckets))
-    occurrences = broadcast_if_small(_occurrences(single, repeated, window, anchor, buckets))
+    repeated = broadcast_if_small(_entries(single, window, anchor, buckets), "aggregate(found, 0L, (n, x) -> n + octet_length(x))")
+    occurrences = broadcast_if_small(_occurrences(single, repeated, window, anchor, buckets), "aggregate(found, 0L, (n, x) -> n + 16L + 4 * octet_length(x.places))")
     spans = _spans(_regions(single, occurrences, window, buckets), window)
-    spans = broadcast_if_small(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    spans = broadcast_if_small(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "16L * size(spans)")
     return named.join(spans, "doc_id", "left")
 
 
