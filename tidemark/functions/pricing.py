@@ -1,0 +1,73 @@
+"""Model prices: tables with overrides, cost estimates, age notes."""
+
+from __future__ import annotations
+
+import json
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+STALE_DAYS = 30
+_RATES = "model string, input double, output double, cache_read double, cache_write double"
+
+
+def price_table(spark: SparkSession, rows: dict[str, dict]) -> DataFrame:
+    """Rows of prices a token from {model: {input, output, cache_read?, cache_write?}}."""
+    data = [(m, r["input"], r["output"], r.get("cache_read"), r.get("cache_write")) for m, r in sorted(rows.items())]
+    return spark.createDataFrame(data, _RATES)
+
+
+def load_prices(path: str) -> tuple[dict[str, dict], str | None]:
+    """(prices by model, generated_at) of a JSON file; a missing file is an empty table."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            found = json.load(file)
+    except FileNotFoundError:
+        return {}, None
+    return found.get("models", {}), found.get("generated_at")
+
+
+def overlaid(table: DataFrame, override: DataFrame) -> DataFrame:
+    """A table with whole rows replaced or added by model."""
+    return table.join(override, "model", "left_anti").unionByName(override)
+
+
+def curate(listing: DataFrame, providers: list[str], reseller_prefixes: list[str]) -> DataFrame:
+    """Of a price listing the models of some providers, without resellers, with both rates."""
+    keep = F.col("provider").isin(*providers) & F.col("input").isNotNull() & F.col("output").isNotNull()
+    for prefix in reseller_prefixes:
+        keep = keep & ~F.col("model").startswith(prefix)
+    return listing.where(keep).orderBy("model")
+
+
+def estimate(events: DataFrame, prices: DataFrame, cache_read: Column | None = None, cache_write: Column | None = None) -> DataFrame:
+    """Add estimated_usd: tokens by rates of exactly that model; null without a price or any token count."""
+    held = events.join(F.broadcast(prices), "model", "left")
+    zero = F.lit(0)
+    extra = lambda tokens, rate: F.lit(0.0) if tokens is None else F.coalesce(tokens * F.col(rate), F.lit(0.0))
+    total = F.coalesce("tokens_in", zero) * F.col("input") + F.coalesce("tokens_out", zero) * F.col("output") + extra(cache_read, "cache_read") + extra(cache_write, "cache_write")
+    counted = F.col("tokens_in").isNotNull() | F.col("tokens_out").isNotNull()
+    return held.withColumn("estimated_usd", F.when(counted, total)).drop("input", "output", "cache_read", "cache_write")
+
+
+def age_days(generated_at: str | None, now: datetime | None = None) -> int | None:
+    try:
+        made = datetime.fromisoformat((generated_at or "").replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return ((now or datetime.now(timezone.utc)) - made).days
+
+
+def age_note(generated_at: str | None, now: datetime | None = None) -> str | None:
+    """A line about the table's age, with advice once it is stale."""
+    age = age_days(generated_at, now)
+    if age is None:
+        return None
+    note = f"pricing table generated {generated_at} ({age} day(s) old)"
+    return note + f"; over {STALE_DAYS} days old, update it" * (age > STALE_DAYS)
+
+
+def projected_monthly(cost: float, calls: int, calls_per_day: int = 1000) -> float | None:
+    """Dollars a month at a daily number of calls, from the cost of those seen."""
+    return None if calls <= 0 or calls_per_day <= 0 else cost / calls * calls_per_day * 30
