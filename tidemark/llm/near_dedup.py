@@ -6,12 +6,18 @@ coordinates, the prefix that a candidate must share, so lists of documents that
 share one frequent passage only aren't merged (they are skipped).  Candidates are
 confirmed on the full sets, and links are closed to components.
 
-No pairs are listed within a group of copies: equal sets are one representative;
-a list of n documents gives n-1 candidates with its hub, the document that meets the
-most others over all its lists (the least edited of a group of near copies).
-Documents that these leave in different components meet once more, but only those
-that can still be linked: a document's shingles that occur in another component
-bound its intersection with anything there.
+No pairs are listed within a group of copies.  Equal sets are one representative.  A
+list of n documents gives n-1 candidates with its hub, the document that meets the
+most others over all its lists (the least edited of a group of near copies).  What
+that leaves in different components meets once more:
+
+* in lists of up to ``LIST`` documents each with each, a number of pairs in
+  proportion to the postings;
+* in longer lists only documents whose sets can still overlap enough.  A pair's
+  overlap is at most what both share with the hub, plus their frequent other
+  shingles, plus the rare ones that they share.  Either the first two suffice, which
+  few documents outside the hub's component can reach, or the pair shares a rare
+  shingle, one of at most ``RARE`` of the hub's documents.
 
 Defined results: a null text, or one without words, has an empty set, is linked
 with nothing and is its own component; a text of fewer words than a shingle has one
@@ -39,6 +45,7 @@ PERCENT = 80
 KEYS, ROWS = 30, 3
 #: Keys that a pair must share to meet once more; one of similarity 0.8 shares fewer with probability 2e-8.
 MATCHES = 2
+LIST, RARE = 32, 16
 
 _U = np.uint64
 _MULTIPLIERS = (mix64(np.arange(1, KEYS * ROWS + 1, dtype=_U) << _U(8)) >> _U(32)).astype(np.uint32) | np.uint32(1)
@@ -85,62 +92,104 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_shingles long, set_name binary, keys array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of candidates (a, b) those whose full sets are similar enough."""
-    pairs = materialise(pairs)
-    ids = broadcast_if_small(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, shingles): the sets of some documents, packed."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], names=["doc_id", "shingles"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.join(broadcast_if_small(ids.distinct()), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
+
+
+def _with_sets(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Pairs (hub, doc_id, …) with both sets, the hub's first."""
+    found = _sets(docs, pairs.select("doc_id").unionAll(pairs.select(F.col("hub").alias("doc_id"))), size)
+    hubs = found.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles"))
+    return pairs.join(found, "doc_id").join(hubs, "hub")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates (hub, doc_id) with the size of their intersection and whether that links them."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            shared, similar = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
-    left, right = found.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), found.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").where(_sizes(F.octet_length("x"), F.octet_length("y"), percent))
-    return materialise(met.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
+                n = int((both[1:] == both[:-1]).sum())
+                shared.append(n)
+                similar.append(100 * n >= percent * (len(both) - n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(similar, pa.bool_())], names=["hub", "doc_id", "shared", "similar"])
 
+    pairs = materialise(pairs.select("hub", "doc_id").distinct())
+    met = _with_sets(pairs, docs, size).select("hub", "doc_id", "hub_shingles", "shingles")
+    return materialise(met.mapInArrow(compared, "hub long, doc_id long, shared long, similar boolean"))
 
-def _left_over(posted: DataFrame, components: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Candidates (a, b) that share a key, lie in different components and can be similar enough."""
-    rows = posted.where("members > 2").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(split, "key", "left_semi").where("doc_id <> hub").select("key", "doc_id", "n_shingles", "component")
-    often = rows.groupBy("doc_id", "component").agg(F.count("*").alias("matches")).where(F.col("matches") >= MATCHES).select("doc_id", "component")
-    rows = materialise(rows)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s.view(np.int64) for s in shingle_sets(batch.column(1), size)]
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "component", "shingles"])
 
-    held = docs.join(broadcast_if_small(often), "doc_id").select("doc_id", "text", "component").mapInArrow(sets, "doc_id long, component long, shingles array<long>")
-    held = held.select("doc_id", "component", F.explode("shingles").alias("shingle"))
-    shared = held.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    most = held.join(shared, "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("most"))
-    able = materialise(rows.join(most, "doc_id").where(100 * F.col("most") >= percent * F.col("n_shingles")))
-    x, y = able.alias("x"), able.alias("y")
-    overlap = (100 + percent) * F.least("x.most", "y.most") >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _sizes(F.col("x.n_shingles"), F.col("y.n_shingles"), percent) & overlap
-    return x.join(y, near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("similar").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
 
 
 def _sizes(x: F.Column, y: F.Column, percent: int) -> F.Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _pairs_of(x: DataFrame, y: DataFrame, on: str, more: F.Column) -> DataFrame:
+    """Rows (hub, doc_id) from x and y, aliased so, that agree on a column and satisfy a condition."""
+    return x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & more).select(F.least("x.doc_id", "y.doc_id").alias("hub"), F.greatest("x.doc_id", "y.doc_id").alias("doc_id"))
+
+
+def _left_over(posted: DataFrame, compared: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates (hub, doc_id) that share lists, lie in different components and can be similar enough."""
+    components = connected_components(_links(compared)).withColumnRenamed("node", "doc_id")
+    rows = posted.where("members > 2").join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rows = materialise(rows.join(split, "key", "left_semi").where("doc_id <> hub"))
+    sizes = _sizes(F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
+
+    short = rows.where(F.col("members") <= LIST)
+    within = (F.col("x.component") < F.col("y.component")) & sizes
+    pairs = _pairs_of(short.alias("x"), short.alias("y"), "key", within).groupBy("hub", "doc_id").agg(F.count("*").alias("matches")).where(F.col("matches") >= MATCHES).drop("matches")
+
+    group = rows.where(F.col("members") > LIST).select("hub", "doc_id", "n_shingles", "component").distinct()
+    group = materialise(group.join(compared.select("hub", "doc_id", "shared"), ["hub", "doc_id"]))
+    if group.isEmpty():
+        return pairs
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.setdiff1d(np.frombuffer(y.as_buffer(), _U), np.frombuffer(x.as_buffer(), _U), assume_unique=True).view(np.int64) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["hub", "doc_id", "others"])
+
+    other = _with_sets(group.select("hub", "doc_id"), docs, size).select("hub", "doc_id", "hub_shingles", "shingles").mapInArrow(others, "hub long, doc_id long, others array<long>")
+    other = materialise(other.select("hub", "doc_id", F.explode("others").alias("shingle")))
+    often = other.groupBy("hub", "shingle").agg(F.count("*").alias("docs")).where(F.col("docs") <= RARE)
+    rare = materialise(other.join(often, ["hub", "shingle"]))
+    counts = rare.groupBy("hub", "doc_id").agg(F.count("*").alias("rare"))
+    group = group.join(counts, ["hub", "doc_id"], "left")
+    # What a document can share with another one but rare shingles.
+    group = materialise(group.withColumn("frequent", F.col("n_shingles") - F.coalesce("rare", F.lit(0)) - F.col("shared")).drop("rare"))
+    enough = lambda extra: (100 + percent) * (F.least("x.shared", "y.shared") + F.least("x.frequent", "y.frequent") + extra) >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+
+    able = group.join(group.groupBy("hub").agg(F.min("n_shingles").alias("fewest")), "hub").where((100 + percent) * (F.col("shared") + F.col("frequent")) >= percent * (F.col("n_shingles") + F.col("fewest")))
+    able = able.join(components.select(F.col("doc_id").alias("hub"), F.col("component").alias("_of_hub")), "hub", "left").withColumn("outside", F.col("component") != F.coalesce("_of_hub", "hub"))
+    apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.component") < F.col("y.component"))) & sizes & enough(F.lit(0))
+    pairs = pairs.unionAll(_pairs_of(able.where("outside").alias("x"), able.alias("y"), "hub", apart))
+
+    named = rare.where("docs > 1").join(group, ["hub", "doc_id"])
+    x, y = named.alias("x"), named.alias("y")
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & sizes)
+    both = ["n_shingles", "shared", "frequent"]
+    met = met.groupBy(F.col("x.hub").alias("at"), F.col("x.doc_id").alias("xd"), F.col("y.doc_id").alias("yd")).agg(F.count("*").alias("n"), *[F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in both])
+    overlap = F.least("x_shared", "y_shared") + F.least("x_frequent", "y_frequent") + F.col("n")
+    met = met.where((100 + percent) * overlap >= percent * (F.col("x_n_shingles") + F.col("y_n_shingles")))
+    return pairs.unionAll(met.select(F.least("xd", "yd").alias("hub"), F.greatest("xd", "yd").alias("doc_id")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept).
 
@@ -159,10 +208,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     posted = posted.join(met, "doc_id")
     hubs = posted.groupBy("key").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("least")))["least"]).alias("hub"))
     posted = materialise(posted.drop("met").join(hubs, "key"))
-    pairs = posted.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    links = _confirmed(pairs, docs, shingle, percent)
-    more = _left_over(posted, connected_components(links), docs, shingle, percent)
-    links = links.unionAll(_confirmed(more, docs, shingle, percent))
+    compared = _compared(posted.where("doc_id <> hub"), docs, shingle, percent)
+    more = _compared(_left_over(posted, compared, docs, shingle, percent), docs, shingle, percent)
+    links = _links(compared).unionAll(_links(more))
 
     found = connected_components(links).withColumnRenamed("node", "least")
     of_set = least.select("set_name", F.col("doc_id").alias("least")).join(found, "least", "left").select("set_name", F.coalesce("component", "least").alias("component_id"))
