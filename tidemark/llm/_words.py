@@ -75,11 +75,16 @@ class Words:
         self.end = np.flatnonzero(word & ~after) + 1
         #: Word i of text t has index first[t] + i; first has one entry more than there are texts.
         self.first = np.searchsorted(self.start, offsets)
-        up, down = _powers_to(n)
+        up, self._down = _powers_to(n)
+        self._total = np.zeros(n + 1, _U)
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, _U)
-            np.cumsum((_BYTES_LOWER if lower else _BYTES)[raw] * up[:n], out=total[1:])
-            self.hash = mix64((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
+            np.cumsum((_BYTES_LOWER if lower else _BYTES)[raw] * up[:n], out=self._total[1:])
+        self.hash = self.hash_of(self.start, self.end)
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans."""
+        with np.errstate(over="ignore"):
+            return mix64((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(_U))
 
 
 def words_of(column: pa.Array, lower: bool = False) -> Words:

@@ -13,7 +13,6 @@ columns beyond the id and the text are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import bounded_batches, materialise
+from ._words import words_of
 
-#: Distinct words, and parts of words in lower case, whose ids a worker keeps; beyond it, it starts afresh.
-WORD_CACHE, PART_CACHE = 300_000, 1_000_000
+#: Distinct words whose ids a worker keeps; beyond it, it starts afresh.
+WORD_CACHE = 1_000_000
 #: ASCII signs that the tokenizer splits from a letter before them (not the apostrophe of contractions).
-SIGNS = ".,!?;:|#$%&*()=+/<>-\"@"
+SIGNS = b".,!?;:|#$%&*()=+/<>-\"@"
 #: Pieces packed by one task, about; the bound of a task's memory.
 GROUP_PIECES = 200_000
 
@@ -40,8 +40,9 @@ class WordIds:
 
     The tokenizer's own pre-tokens never hold white space and its normaliser never
     joins characters across a space, so a text's ids are those of its words in turn.
-    Words here end at space, tab and line breaks only; rarer white space stays inside
-    a word and is left to the tokenizer.
+    Signs at the end of a word, after a letter, are pre-tokens of their own and count
+    as words here.  Words are known by a 64-bit hash that takes A-Z as a-z, as the
+    tokenizer does.
     """
 
     def __init__(self, path: str):
@@ -51,39 +52,82 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        # Python's white space is the tokenizer's but for these four separators.
-        split = [t.replace("\n", " ").split(" ") if any(map(t.__contains__, "\x1c\x1d\x1e\x1f")) else t.split() for t in texts]
-        if len(self.known) > WORD_CACHE:
-            self.known = {}
-        if len(self.parts) > PART_CACHE:
-            self.parts = {}
-        known, parts = self.known, self.parts
-        new = {w for words in split for w in words if w not in known}
-        # Most new words are known ones in other letter case or with signs behind them.
-        cut = {w: self._parts(w) for w in new}
-        self._learn(list({x for pair in cut.values() for x in pair if x not in parts}))
-        for word, (core, tail) in cut.items():
-            known[word] = parts[core] + parts[tail] if tail else parts[core]
-        look = known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        core = word.rstrip(SIGNS)
-        if len(core) < len(word) and core[-1:].isalpha() and core[-1:] < "\u0100" and "<|" not in word:
-            return (core.lower() if core.isascii() else core), word[len(core) :]
-        return (word.lower() if word.isascii() and "<|" not in word else word), ""
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[word] = array("I", found.ids).tobytes()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
+        letters = np.zeros(256, bool)
+        letters[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+        self.letter, self.sign = letters, np.isin(np.arange(256), np.frombuffer(SIGNS, np.uint8))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.starts, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's begin, and the end)."""
+        words = words_of(column, lower=True)
+        raw, start, end = words.raw, words.start, words.end
+        # A word's signs at its end, if a letter or digit comes before them.
+        last = np.maximum.accumulate(np.where(self.sign[raw], -1, np.arange(len(raw)))) if len(raw) else np.zeros(0, np.int64)
+        core = last[end - 1] + 1
+        before = raw[np.maximum(core - 1, 0)]
+        latin = (raw[np.maximum(core - 2, 0)] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        cut = (core < end) & (core > start) & (self.letter[before] | latin)
+        data = raw.tobytes()
+        if any(mark in data for mark in self.special):
+            cut[:] = False  # a special token may end in signs
+        core = np.where(cut, core, end)
+        at = np.arange(len(start)) + np.concatenate(([0], np.cumsum(cut)[:-1])) if len(start) else np.zeros(0, np.int64)
+        starts, ends = np.zeros(len(start) + int(cut.sum()), np.int64), np.zeros(len(start) + int(cut.sum()), np.int64)
+        starts[at], ends[at] = start, core
+        starts[at[cut] + 1], ends[at[cut] + 1] = core[cut], end[cut]
+        first = np.append(at, len(starts))[words.first]
+        hashes = words.hash_of(starts, ends)
+        found, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        slots = self._slots(found.tolist(), [(int(starts[i]), int(ends[i])) for i in where.tolist()], data)
+        begin, size = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+        begin, size = begin[inverse], size[inverse]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[first]
+
+    def _slots(self, hashes: list[int], spans: list[tuple[int, int]], data: bytes) -> np.ndarray:
+        if len(self.slot) > WORD_CACHE:
+            self._forget()
+        slot = self.slot
+        new = [i for i, h in enumerate(hashes) if h not in slot]
+        if new:
+            # Lower case by the tokenizer; the hash took A-Z as a-z.
+            ids = self._tokenise([data[a:b].decode("utf-8", "surrogatepass") for a, b in (spans[i] for i in new)])
+            base = len(slot)
+            slot.update((hashes[i], base + k) for k, i in enumerate(new))
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            stops = self.used + np.cumsum([len(x) for x in ids])
+            self.starts = np.concatenate((self.starts, stops))
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+        return np.fromiter(map(slot.__getitem__, hashes), np.int64, len(hashes))
+
+    def _tokenise(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word.  Words of letters only end with their only word-end id, so a line of them is cut there."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        for i in range(0, len(letters), 5_000):
+            line = letters[i : i + 5_000]
+            ids = np.array(self.tokenizer.encode(" ".join([words[k] for k in line]), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(line):
+                for k, part in zip(line, np.split(ids, stops[:-1]), strict=True):
+                    out[k] = part
+        others = [i for i, x in enumerate(out) if x is None]
+        for i in range(0, len(others), 5_000):
+            line = others[i : i + 5_000]
+            for k, found in zip(line, self.tokenizer.encode_batch_fast([words[k] for k in line], add_special_tokens=False), strict=True):
+                out[k] = np.array(found.ids, np.uint32)
+        return out
 
 
 @lru_cache(1)
@@ -101,9 +145,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
         words = word_ids(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
-            for doc, found in zip(ids, words.encode(texts), strict=True):
-                found += end
+            ids, cuts = words.encode(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                found = ids[a:b].astype("<u4").tobytes() + end
                 count = len(found) // 4
                 out += [(doc, k, at, min(capacity, count - at), zlib.crc32(found[4 * at : 4 * (at + capacity)])) for k, at in enumerate(range(0, count, capacity))]
             columns = zip(*out, strict=True) if out else [[]] * 5
