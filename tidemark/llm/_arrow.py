@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; they bound a worker's memory.
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -38,8 +38,8 @@ SAMPLE_CHARS = 20_000
 SYMBOL_BITS = 12
 #: Training refuses more languages than this, so what it collects and broadcasts is bounded.
 MOST_LANGUAGES = 1000
-#: Symbols scored at once.
-SLICE = 1 << 18
+#: Symbols scored at once, and characters of texts turned into symbols at once (a longer text is taken alone).
+SLICE, BLOCK = 1 << 18, 1 << 20
 #: How far over the calibration part's largest standardised cross-entropy a text may lie.
 REJECT_MARGIN = 1.25
 
@@ -232,9 +232,16 @@ class KneserNey:
 
     def predict(self, texts: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, cross-entropy, rejected?) of each text."""
-        n, entropy = self.cross_entropies(texts, table)
         if not self.languages or not texts:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
+        cuts, size = [0], 0
+        for i, text in enumerate(texts):
+            if size and size + len(text) > BLOCK:
+                cuts.append(i)
+                size = 0
+            size += len(text)
+        found = [self.cross_entropies(texts[a:b], table) for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True)]
+        n, entropy = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
         best = entropy.argmin(axis=1)
         least, score = entropy[np.arange(len(n)), best], self._posterior(entropy, self.scale).max(axis=1)
         rejected = (n == 0) | (self._standard(n, least, best) > self.limit) & (least > np.array(self.halfway)[best])
