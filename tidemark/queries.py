@@ -14,7 +14,7 @@ from .operators import cross_task, joins, lineage, repeats, task_graph, verdicts
 from .operators.drift import drift_hints
 from .plans import traces, waste
 from .schema import is_call
-from .tables import materialise, read_table
+from .tables import read_table
 
 #: The vectors have no near pairs at the default threshold; the window is small so that the bands are used too.
 NEAR, NEAR_WINDOW = 24, 16
@@ -277,12 +277,11 @@ def restart_window_calls(spark: SparkSession, d: str) -> DataFrame:
 def cost_apportion(spark: SparkSession, d: str) -> DataFrame:
     total = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("usd"))
     calls = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).cast("long").alias("call_id"), F.when(F.col("l_orderkey") % 9 > 0, F.col("l_quantity").cast("long")).otherwise(F.lit(0)).alias("tokens"))
-    parts = joins.apportion(total, calls, ["key"])
-    return parts.select("key", "call_id", F.round("usd", 2).alias("usd"))
+    return joins.apportion(total, calls, ["key"])
 
 
 def sibling_chain_watermark(spark: SparkSession, d: str) -> DataFrame:
-    spans = traces.order_spans(spark, d).dropDuplicates(["parent", "span_id"])
+    spans = traces.order_spans(spark, d)
     return joins.chain_siblings(spans.groupBy("parent", "span_id").agg(F.min("start").alias("start"), F.max("end").alias("end")))
 
 
