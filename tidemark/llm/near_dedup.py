@@ -167,9 +167,9 @@ def _left_over(posted: DataFrame, compared: DataFrame, docs: DataFrame, size: in
 
     other = _with_sets(group.select("hub", "doc_id"), docs, size).select("hub", "doc_id", "hub_shingles", "shingles").mapInArrow(others, "hub long, doc_id long, others array<long>")
     other = materialise(other.select("hub", "doc_id", F.explode("others").alias("shingle")))
-    often = other.groupBy("hub", "shingle").agg(F.count("*").alias("docs")).where(F.col("docs") <= RARE)
-    rare = materialise(other.join(often, ["hub", "shingle"]))
-    counts = rare.groupBy("hub", "doc_id").agg(F.count("*").alias("rare"))
+    often = materialise(other.groupBy("hub", "shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")).where(F.col("docs") <= RARE))
+    rare = materialise(other.join(often.where("docs > 1").select("hub", "shingle"), ["hub", "shingle"]))
+    counts = often.where("docs = 1").select("hub", "doc_id").unionAll(rare.select("hub", "doc_id")).groupBy("hub", "doc_id").agg(F.count("*").alias("rare"))
     group = group.join(counts, ["hub", "doc_id"], "left")
     # What a document can share with another one but rare shingles.
     group = materialise(group.withColumn("frequent", F.col("n_shingles") - F.coalesce("rare", F.lit(0)) - F.col("shared")).drop("rare"))
@@ -180,7 +180,7 @@ def _left_over(posted: DataFrame, compared: DataFrame, docs: DataFrame, size: in
     apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.component") < F.col("y.component"))) & sizes & enough(F.lit(0))
     pairs = pairs.unionAll(_pairs_of(able.where("outside").alias("x"), able.alias("y"), "hub", apart))
 
-    named = rare.where("docs > 1").join(group, ["hub", "doc_id"])
+    named = rare.join(group, ["hub", "doc_id"])
     x, y = named.alias("x"), named.alias("y")
     met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & sizes)
     both = ["n_shingles", "shared", "frequent"]
