@@ -167,18 +167,18 @@ def _entries(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFra
             yield _table(rows + _sent(keys[firsts], ids[firsts], places[firsts], buckets))
 
     found = docs.mapInArrow(anchors, ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, False), ENTRIES)
-    return found.groupBy("doc_id").agg(F.collect_list("places").alias("found"))
+    return found.groupBy("doc_id").agg(F.expr("aggregate(collect_list(places), X'', (all, x) -> all || x)").alias("found"))
 
 
 def _occurrences(docs: DataFrame, repeated: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
-    """By document: its later windows with their first occurrences, and windows that are references."""
+    """By document: runs of windows that are references (start, stop), and of later ones (start, stop, where they are first)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = _batch(batch, window, anchor)
             chosen = np.zeros(len(b.words.hash) + 1, bool)
             for doc, found in enumerate(batch.column(2).to_pylist()):
-                chosen[b.words.first[doc] + np.frombuffer(b"".join(found), np.uint32).astype(np.int64)] = True
+                chosen[b.words.first[doc] + np.frombuffer(found, np.uint32).astype(np.int64)] = True
             at = b.starts[chosen[b.anchors]]
             ids, places = b.places(at)
             keys = window_hashes(b.words.hash, window)[at] if len(at) else np.zeros(0, _U)
@@ -186,8 +186,22 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, window: int, anchor: int,
             yield _table(rows + _sent(keys[firsts], ids[firsts], places[firsts], buckets))
 
     met = docs.join(repeated, "doc_id").select("doc_id", "text", "found")
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, later = [], []
+            for found in batch.column(1).to_pylist():
+                load = lambda kind, name, of, found=found: np.frombuffer(b"".join(x[name] for x in found if x["kind"] == kind), of).astype(np.int64)
+                at = np.unique(load(_REFERENCE, "places", np.uint32))
+                own.append(np.array([(at[a], at[b - 1] + 1) for a, b in _runs(at)], np.int64).tobytes())
+                at, ref, ref_at = load(_LATER, "places", np.uint32), load(_LATER, "ref_ids", np.int64), load(_LATER, "ref_places", np.uint32)
+                order = np.lexsort((at, at - ref_at, ref))
+                at, ref, ref_at = at[order], ref[order], ref_at[order]
+                later.append(np.array([(at[a], at[b - 1] + 1, ref[a], ref_at[a]) for a, b in _runs(at, ref, ref_at)], np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(later, pa.binary())], names=["doc_id", "own", "later"])
+
     found = met.mapInArrow(windows, ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, True), ENTRIES)
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places", "ref_ids", "ref_places")).alias("found"))
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places", "ref_ids", "ref_places")).alias("found"))
+    return found.mapInArrow(runs, "doc_id long, own binary, later binary")
 
 
 def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
@@ -211,20 +225,16 @@ def _regions(docs: DataFrame, occurrences: DataFrame, window: int, shards: int)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, own, later in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                load = lambda kind, name, of, found=found: np.frombuffer(b"".join(x[name] for x in found if x["kind"] == kind), of).astype(np.int64)
-                region = lambda a, b, words=words: b" ".join(words[a : b + window - 1])
-                own = np.unique(load(_REFERENCE, "places", np.uint32))
-                rows += [(doc % shards, _REFERENCE, doc, int(own[a]), region(own[a], own[b - 1] + 1)) for a, b in _runs(own)]
-                at, ref, ref_at = load(_LATER, "places", np.uint32), load(_LATER, "ref_ids", np.int64), load(_LATER, "ref_places", np.uint32)
-                order = np.lexsort((ref_at, ref, at))
-                at, ref, ref_at = at[order], ref[order], ref_at[order]
-                rows += [(int(ref[a]) % shards, _LATER, doc, int(at[a]), region(at[a], at[b - 1] + 1)) for a, b in _runs(at, ref, ref_at)]
+                for a, b in np.frombuffer(own, np.int64).reshape(-1, 2).tolist():
+                    rows.append((doc % shards, _REFERENCE, doc, a, b" ".join(words[a : b + window - 1])))
+                for a, b, ref, _ in np.frombuffer(later, np.int64).reshape(-1, 4).tolist():
+                    rows.append((ref % shards, _LATER, doc, a, b" ".join(words[a : b + window - 1])))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "kind", "doc_id", "place", "words"])
 
-    return docs.join(occurrences, "doc_id").select("doc_id", "text", "found").mapInArrow(cut, REGIONS)
+    return docs.join(occurrences, "doc_id").select("doc_id", "text", "own", "later").mapInArrow(cut, REGIONS)
 
 
 class SuffixAutomaton:
@@ -330,8 +340,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     equal = docs.groupBy(F.md5("text").alias("name")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
     named = docs.join(broadcast_if_small(equal), F.md5("text") == F.col("name"), "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"))
     single = named.where("not copy").select("doc_id", "text")
-    repeated = broadcast_if_small(_entries(single, window, anchor, buckets), "aggregate(found, 0L, (n, x) -> n + octet_length(x))")
-    occurrences = broadcast_if_small(_occurrences(single, repeated, window, anchor, buckets), "aggregate(found, 0L, (n, x) -> n + 16L + 4 * octet_length(x.places))")
+    repeated = broadcast_if_small(_entries(single, window, anchor, buckets), "octet_length(found)")
+    occurrences = broadcast_if_small(_occurrences(single, repeated, window, anchor, buckets), "octet_length(own) + octet_length(later)")
     spans = _spans(_regions(single, occurrences, window, buckets), window)
     spans = broadcast_if_small(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "16L * size(spans)")
     return named.join(spans, "doc_id", "left")
