@@ -86,7 +86,7 @@ def span_list(spans: str) -> Column:
 def redact(docs: DataFrame, marker: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", **scan: object) -> DataFrame:
     """The rows with the value of each span replaced by a marker; null texts stay null."""
     scanned = scan_secrets(docs, id_col=id_col, text_col=text_col, **scan).where(F.size("spans") > 0)
-    scanned = scanned.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_row"), "spans").distinct()
+    scanned = scanned.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_row"), F.col("spans").alias("_spans")).distinct()
     text = F.col(text_col)
 
     def step(done: Column, s: Column) -> Column:
@@ -94,8 +94,8 @@ def redact(docs: DataFrame, marker: str = "[SECRET]", id_col: str = "doc_id", te
         out = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), (start - done["at"]).cast("int")), F.lit(marker))
         return F.when(s["until"] <= done["at"], done).otherwise(F.struct(s["until"].alias("at"), out.alias("out")))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
+    done = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
     redacted = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
     docs = docs.withColumn("_at", F.xxhash64(text_col))
     joined = docs.join(scanned, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_row")), "left")
-    return joined.select(*[F.when(F.col("spans").isNotNull(), redacted).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "_at"])
+    return joined.select(*[F.when(F.col("_spans").isNotNull(), redacted).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "_at"])
