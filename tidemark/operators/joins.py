@@ -145,7 +145,7 @@ def apportion(total: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
     own = W.partitionBy(*keys)
     shared = calls.join(total, keys).withColumn("_sum", F.sum("tokens").over(own)).withColumn("_n", F.count("*").over(own))
     part = F.when(F.col("_sum") > 0, F.col("usd") * F.col("tokens") / F.col("_sum")).otherwise(F.col("usd") / F.col("_n"))
-    return shared.select(*keys, "call_id", F.round(part, 6).alias("usd"))
+    return shared.select(*keys, "call_id", (F.floor(part * 1e6 + 0.5) / 1e6).alias("usd"))
 
 
 def latest_points(points: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ SQL: dict[str, str] = {
     "restart_window_calls": f"""WITH {_GEN}, g AS (SELECT p.channel, p.model, p.point AS call_id, coalesce((SELECT max(s.start) FROM starts s WHERE s.channel = p.channel AND s.model = p.model AND s.start <= p.start),
       (SELECT min(s.start) FROM starts s WHERE s.channel = p.channel AND s.model = p.model)) AS start FROM pts p) SELECT channel, model, start, count(*) AS calls, CAST(sum(call_id) AS BIGINT) AS ids FROM g WHERE start IS NOT NULL GROUP BY 1, 2, 3""",
     "cost_apportion": """WITH c AS (SELECT l_orderkey AS key, CAST(l_linenumber * 1000000 + l_partkey AS BIGINT) AS call_id, CASE WHEN l_orderkey % 9 > 0 THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS tokens FROM lineitem),
-      t AS (SELECT key, sum(tokens) AS s, count(*) AS n FROM c GROUP BY key) SELECT c.key, call_id, round(CASE WHEN s > 0 THEN o_totalprice * tokens / s ELSE o_totalprice / n END, 6) AS usd FROM c JOIN t USING (key) JOIN orders ON o_orderkey = c.key""",
+      t AS (SELECT key, sum(tokens) AS s, count(*) AS n FROM c GROUP BY key) SELECT c.key, call_id, floor(CASE WHEN s > 0 THEN o_totalprice * tokens / s ELSE o_totalprice / n END * 1e6 + 0.5) / 1e6 AS usd FROM c JOIN t USING (key) JOIN orders ON o_orderkey = c.key""",
     "sibling_chain_watermark": f"""WITH {_SPANS}, m AS (SELECT a.parent, a.span_id, a.start, b.span_id AS tail, b.stop, row_number() OVER (PARTITION BY a.parent, a.span_id ORDER BY b.stop DESC NULLS LAST, b.start DESC, b.span_id DESC) AS n
       FROM spans a LEFT JOIN spans b ON a.parent = b.parent AND (b.start, b.span_id) < (a.start, a.span_id))
       SELECT parent, span_id, CASE WHEN start >= stop THEN tail END AS tail_id, coalesce(start >= stop, false) AS chained FROM m WHERE n = 1""",
