@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own pools keep what batches have freed; a worker shares its executor's memory with others.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows and bytes of one Arrow batch handed to a Python worker; they bound a worker's memory.
 BATCH_ROWS = 2000
 BATCH_BYTES = 2 << 20

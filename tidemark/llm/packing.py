@@ -61,7 +61,7 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.starts, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,31 +85,37 @@ class WordIds:
         first = np.append(at, len(starts))[words.first]
         hashes = words.hash_of(starts, ends)
         found, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = self._slots(found.tolist(), [(int(starts[i]), int(ends[i])) for i in where.tolist()], data)
+        slots = self._slots(found, starts[where], ends[where], data)
         begin, size = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
         begin, size = begin[inverse], size[inverse]
         upto = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
         return ids, upto[first]
 
-    def _slots(self, hashes: list[int], spans: list[tuple[int, int]], data: bytes) -> np.ndarray:
-        if len(self.slot) > WORD_CACHE:
+    def _slots(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
+        """The slot of each word, given by sorted hashes and byte spans; new ones get the next slots."""
+        if len(self.keys) > WORD_CACHE:
             self._forget()
-        slot = self.slot
-        new = [i for i, h in enumerate(hashes) if h not in slot]
-        if new:
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        slots = np.zeros(len(hashes), np.int64)
+        slots[known] = self.slot[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
             # Lower case by the tokenizer; the hash took A-Z as a-z.
-            ids = self._tokenise([data[a:b].decode("utf-8", "surrogatepass") for a, b in (spans[i] for i in new)])
-            base = len(slot)
-            slot.update((hashes[i], base + k) for k, i in enumerate(new))
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            stops = self.used + np.cumsum([len(x) for x in ids])
-            self.starts = np.concatenate((self.starts, stops))
+            ids = self._tokenise([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            slots[new] = len(self.keys) + np.arange(len(new))
+            self.slot = np.insert(self.slot, at[new], slots[new])
+            self.keys = np.insert(self.keys, at[new], hashes[new])
+            flat = np.concatenate(ids)
+            self.starts = np.concatenate((self.starts, self.used + np.cumsum([len(x) for x in ids])))
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
             self.ids[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-        return np.fromiter(map(slot.__getitem__, hashes), np.int64, len(hashes))
+        return slots
 
     def _tokenise(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word.  Words of letters only end with their only word-end id, so a line of them is cut there."""
