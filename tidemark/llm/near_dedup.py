@@ -106,7 +106,8 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Pairs (hub, doc_id, …) with both sets, the hub's first."""
     found = _sets(docs, pairs.select("doc_id").unionAll(pairs.select(F.col("hub").alias("doc_id"))), size)
     hubs = found.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    return pairs.join(found, "doc_id").join(hubs, "hub")
+    # The hub's set first: what a hub of many documents makes uneven, the second join deals out again.
+    return pairs.join(hubs, "hub").join(found, "doc_id")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -166,7 +167,7 @@ def _left_over(posted: DataFrame, compared: DataFrame, docs: DataFrame, size: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["hub", "doc_id", "others"])
 
     other = _with_sets(group.select("hub", "doc_id"), docs, size).select("hub", "doc_id", "hub_shingles", "shingles").mapInArrow(others, "hub long, doc_id long, others array<long>")
-    other = materialise(other.select("hub", "doc_id", F.explode("others").alias("shingle")))
+    other = materialise(other.repartition("hub", "doc_id").select("hub", "doc_id", F.explode("others").alias("shingle")))
     often = materialise(other.groupBy("hub", "shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")).where(F.col("docs") <= RARE))
     rare = materialise(other.join(often.where("docs > 1").select("hub", "shingle"), ["hub", "shingle"]))
     counts = often.where("docs = 1").select("hub", "doc_id").unionAll(rare.select("hub", "doc_id")).groupBy("hub", "doc_id").agg(F.count("*").alias("rare"))
