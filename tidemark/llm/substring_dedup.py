@@ -26,6 +26,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -93,8 +94,8 @@ def _groups(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.n
 ENTRIES = "bucket int, kind int, doc_id long, keys binary, ids binary, places binary, ref_ids binary, ref_places binary"
 _NAMES = ["bucket", "kind", "doc_id", "keys", "ids", "places", "ref_ids", "ref_places"]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-#: Kinds of entries: sent to its bucket; already settled, by document; marked as a reference, by document.
-_SENT, _LATER, _REFERENCE = 0, 1, 2
+#: Kinds of entries: sent to its bucket; settled later windows, and references, of a document; the same as runs.
+_SENT, _LATER, _REFERENCE, _LATER_RUNS, _REFERENCE_RUNS = 0, 1, 2, 3, 4
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -126,14 +127,48 @@ def _by_document(kind: int, buckets: int, ids: np.ndarray, places: np.ndarray, r
     return rows
 
 
+def _as_runs(rows: list[tuple]) -> list[tuple]:
+    """Rows by document with runs in place of windows."""
+    out = []
+    for bucket, kind, doc, _, _, places, ref_ids, ref_places in rows:
+        at = np.frombuffer(places, np.uint32).astype(np.int64)
+        if kind == _LATER:
+            runs = later_runs(at, np.frombuffer(ref_ids, np.int64), np.frombuffer(ref_places, np.uint32).astype(np.int64))
+            out.append((bucket, _LATER_RUNS, doc, b"", b"", runs, b"", b""))
+        else:
+            out.append((bucket, _REFERENCE_RUNS, doc, b"", b"", reference_runs(at), b"", b""))
+    return out
+
+
+def reference_runs(at: np.ndarray) -> bytes:
+    """Pairs (start, stop) of consecutive windows."""
+    at = np.unique(at)
+    return np.array([(at[a], at[b - 1] + 1) for a, b in _runs(at)], np.int64).tobytes()
+
+
+def later_runs(at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray) -> bytes:
+    """Tuples (start, stop, reference, its start) of windows that are consecutive in both places."""
+    order = np.lexsort((at, at - ref_at, ref))
+    at, ref, ref_at = at[order], ref[order], ref_at[order]
+    return np.array([(at[a], at[b - 1] + 1, ref[a], ref_at[a]) for a, b in _runs(at, ref, ref_at)], np.int64).tobytes()
+
+
 def _settle(keys: np.ndarray, ids: np.ndarray, places: np.ndarray, buckets: int, references: bool) -> tuple[list[tuple], np.ndarray]:
-    """Rows by document for keys that occur again, and the rows that come first of their keys."""
+    """Rows by document for keys that occur again, and the rows that come first of their keys.
+
+    A later window refers to the one before it if that is in the same document (a
+    repeated line then is one long run), else to the first of all.
+    """
     order, first = _groups(keys, ids, places)
     later = (ids[order] != ids[first]) | (places[order] != places[first])
     firsts = np.unique(first)
     if references:
-        rows = _by_document(_LATER, buckets, ids[order][later], places[order][later], ids[first][later], places[first][later])
-        met = np.unique(first[later])
+        refer = first.copy()
+        before = np.flatnonzero(later[1:] & (ids[order][1:] == ids[order][:-1]) & (places[order][1:] != places[order][:-1])) + 1
+        refer[before] = order[before - 1]
+        refer = refer[later]
+        rows = _by_document(_LATER, buckets, ids[order][later], places[order][later], ids[refer], places[refer])
+        met = np.unique(refer)
         return rows + _by_document(_REFERENCE, buckets, ids[met], places[met]), firsts
     repeated = np.zeros(len(keys), bool)
     repeated[first[later]] = True
@@ -167,7 +202,14 @@ def _entries(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFra
             yield _table(rows + _sent(keys[firsts], ids[firsts], places[firsts], buckets))
 
     found = docs.mapInArrow(anchors, ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, False), ENTRIES)
-    return found.groupBy("doc_id").agg(F.expr("aggregate(collect_list(places), X'', (all, x) -> all || x)").alias("found"))
+    found = found.groupBy("doc_id").agg(F.collect_list("places").alias("found"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [zlib.compress(np.diff(np.unique(np.frombuffer(b"".join(x), np.uint32)), prepend=np.uint32(0)).tobytes(), 1) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
+
+    return found.mapInArrow(packed, "doc_id long, found binary")
 
 
 def _occurrences(docs: DataFrame, repeated: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
@@ -178,12 +220,12 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, window: int, anchor: int,
             b = _batch(batch, window, anchor)
             chosen = np.zeros(len(b.words.hash) + 1, bool)
             for doc, found in enumerate(batch.column(2).to_pylist()):
-                chosen[b.words.first[doc] + np.frombuffer(found, np.uint32).astype(np.int64)] = True
+                chosen[b.words.first[doc] + np.cumsum(np.frombuffer(zlib.decompress(found), np.uint32), dtype=np.int64)] = True
             at = b.starts[chosen[b.anchors]]
             ids, places = b.places(at)
             keys = window_hashes(b.words.hash, window)[at] if len(at) else np.zeros(0, _U)
             rows, firsts = _settle(keys, ids, places, buckets, True)
-            yield _table(rows + _sent(keys[firsts], ids[firsts], places[firsts], buckets))
+            yield _table(_as_runs(rows) + _sent(keys[firsts], ids[firsts], places[firsts], buckets))
 
     met = docs.join(repeated, "doc_id").select("doc_id", "text", "found")
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +233,8 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, window: int, anchor: int,
             own, later = [], []
             for found in batch.column(1).to_pylist():
                 load = lambda kind, name, of, found=found: np.frombuffer(b"".join(x[name] for x in found if x["kind"] == kind), of).astype(np.int64)
-                at = np.unique(load(_REFERENCE, "places", np.uint32))
-                own.append(np.array([(at[a], at[b - 1] + 1) for a, b in _runs(at)], np.int64).tobytes())
-                at, ref, ref_at = load(_LATER, "places", np.uint32), load(_LATER, "ref_ids", np.int64), load(_LATER, "ref_places", np.uint32)
-                order = np.lexsort((at, at - ref_at, ref))
-                at, ref, ref_at = at[order], ref[order], ref_at[order]
-                later.append(np.array([(at[a], at[b - 1] + 1, ref[a], ref_at[a]) for a, b in _runs(at, ref, ref_at)], np.int64).tobytes())
+                own.append(load(_REFERENCE_RUNS, "places", np.int64).tobytes() + reference_runs(load(_REFERENCE, "places", np.uint32)))
+                later.append(load(_LATER_RUNS, "places", np.int64).tobytes() + later_runs(load(_LATER, "places", np.uint32), load(_LATER, "ref_ids", np.int64), load(_LATER, "ref_places", np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(later, pa.binary())], names=["doc_id", "own", "later"])
 
     found = met.mapInArrow(windows, ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, True), ENTRIES)
@@ -216,6 +254,17 @@ def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
+def merged(ranges: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges (start, stop) in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))].tolist():
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 REGIONS = "shard int, kind int, doc_id long, place long, words binary"
 
 
@@ -227,7 +276,7 @@ def _regions(docs: DataFrame, occurrences: DataFrame, window: int, shards: int)
             rows = []
             for doc, text, own, later in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                for a, b in np.frombuffer(own, np.int64).reshape(-1, 2).tolist():
+                for a, b in merged(np.frombuffer(own, np.int64).reshape(-1, 2)):
                     rows.append((doc % shards, _REFERENCE, doc, a, b" ".join(words[a : b + window - 1])))
                 for a, b, ref, _ in np.frombuffer(later, np.int64).reshape(-1, 4).tolist():
                     rows.append((ref % shards, _LATER, doc, a, b" ".join(words[a : b + window - 1])))
@@ -331,7 +380,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """Rows (doc_id, text, copy, spans) for each document.
 
     copy: an equal text has a lesser id, so all its windows are repetitions; spans:
-    else the word ranges (start, stop) to remove, in no order and overlapping.
+    else the word ranges to remove, pairs (start, stop) of 64-bit integers.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -342,8 +391,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     single = named.where("not copy").select("doc_id", "text")
     repeated = broadcast_if_small(_entries(single, window, anchor, buckets), "octet_length(found)")
     occurrences = broadcast_if_small(_occurrences(single, repeated, window, anchor, buckets), "octet_length(own) + octet_length(later)")
-    spans = _spans(_regions(single, occurrences, window, buckets), window)
-    spans = broadcast_if_small(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "16L * size(spans)")
+    spans = _spans(_regions(single, occurrences, window, buckets), window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(merged(np.array([(x["start"], x["stop"]) for x in spans], np.int64)), np.int64).tobytes() for spans in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "spans"])
+
+    spans = broadcast_if_small(spans.mapInArrow(packed, "doc_id long, spans binary"), "octet_length(spans)")
     return named.join(spans, "doc_id", "left")
 
 
@@ -360,8 +415,8 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     words = []
                 elif spans and not copy:
                     stay = np.ones(n, bool)
-                    for span in spans:
-                        stay[span["start"] : span["stop"]] = False
+                    for a, b in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist():
+                        stay[a:b] = False
                     words = [words[i] for i in np.flatnonzero(stay).tolist()]
                 out.append((None if doc == _LAST else doc, n, n - len(words), b" ".join(words)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
