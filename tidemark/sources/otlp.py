@@ -29,7 +29,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     A file that isn't JSON is an error; JSON of another kind has all flags false.
     """
-    docs = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    docs = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return with_kinds(docs)
 
 
