@@ -212,3 +212,34 @@ def test_streaming_repeats(spark, tmp_path):
     query = streaming_repeats(stream).writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [tuple(r)[:3] for r in spark.table("pairs").collect()] == [("t", 0, 2)]
+
+
+def test_pi(spark, tmp_path):
+    from tidemark.sources import pi
+
+    def line(id_, parent, role=None, second=0, **more):
+        message = {"message": {"role": role} | more.pop("m", {})} if role else {}
+        return {"type": "message" if role else more.pop("type"), "id": id_, "parentId": parent, "timestamp": f"2024-01-01T00:00:{second:02}Z"} | message | more
+
+    entries = [
+        line("u", None, "user", 1, m={"content": "hi"}),
+        line("a", "u", "assistant", 2, m={"content": [{"type": "toolCall", "id": "c1", "name": "read", "arguments": {"p": 1}}, {"type": "toolCall", "id": "c2", "name": "gone"}], "model": "m", "usage": {"input": 3, "cacheRead": 4, "output": 5, "cost": {"total": 0.5}}}),
+        line("r", "a", "toolResult", 3, m={"toolCallId": "c1", "toolName": "read", "content": [{"text": "x"}]}),
+        line("b", "r", "assistant", 4, m={"content": [], "model": "m", "stopReason": "error", "usage": {"totalTokens": 9, "input": 9, "cost": {"total": 0}}}),
+        line("b2", "a", "assistant", 5, m={"content": [], "model": "m"}),
+        line("k", "b", type="compaction", second=6, summary="s", usage={"input": 1, "cost": {"total": 0.25}}),
+        line("p", "k", "assistant", 7, m={"stopReason": "pending"}),
+    ]
+    first = [{"type": "session", "id": "one", "version": 3}, *entries]
+    fork = [{"type": "session", "id": "two", "version": 3, "parentSession": str(tmp_path / "a.jsonl"), "timestamp": "2024-01-01T00:00:03Z"}, *entries[:4]]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, first)) + '\n{"partial')
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, fork)))
+    (tmp_path / "c.jsonl").write_text('{"type": "other"}\n')
+    got = events(pi.convert(pi.read_sessions(spark, str(tmp_path))))
+    assert [(e["step_index"], e["event_type"], e["name"], e["parent_id"], e["outcome"], e["cost_usd"]) for e in got if e["task_id"] == "one"] == [
+        (0, "llm_call", "m", None, "ok", 0.5), (1, "tool_call", "gone", 0, None, None), (2, "tool_call", "read", 0, None, None), (3, "tool_result", "read", 2, "ok", None),
+        (4, "llm_call", "m", 3, "error", None), (5, "llm_call", "m", 0, "ok", None), (6, "llm_call", "pi:compaction", None, None, 0.25),
+    ]
+    two = [e for e in got if e["task_id"] == "two"]
+    assert [e["event_type"] for e in two] == ["tool_result", "llm_call"] and two[0]["metadata"]["parent_task_id"] == "one" and two[0]["metadata"]["parent_task_link_kind"] == "continuation"
+    assert got[0]["tokens_in"] == 7 and got[6]["metadata"]["synthesized_cost_only"]
