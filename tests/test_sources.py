@@ -200,6 +200,7 @@ def test_unknown_source(folder):
 def test_adapt_a_folder(spark, folder, tmp_path):
     folder(traces(span("m", "llm", 2, 5, a=oi("LLM", "hello"))))
     assert adapt(spark, str(tmp_path)).count() == 1
+    assert adapt(spark, str(tmp_path), "openinference").count() == 1
 
 
 def test_streaming_repeats(spark, tmp_path):
@@ -243,3 +244,72 @@ def test_pi(spark, tmp_path):
     two = [e for e in got if e["task_id"] == "two"]
     assert [e["event_type"] for e in two] == ["tool_result", "llm_call"] and two[0]["metadata"]["parent_task_id"] == "one" and two[0]["metadata"]["parent_task_link_kind"] == "continuation"
     assert got[0]["tokens_in"] == 7 and got[6]["metadata"]["synthesized_cost_only"]
+
+
+def _opencode():
+    tool = lambda id_, status, out, tool="edit": {"id": id_, "type": "tool", "tool": tool, "state": {"status": status, "input": {"f": id_}, "output" if status == "completed" else "error": out, "time": {"start": 5000, "end": 6000}}}
+    messages = [
+        ({"id": "m1", "role": "user", "time": {"created": 1000}}, [{"id": "p1", "type": "text", "text": "hi"}]),
+        ({"id": "m2", "role": "assistant", "modelID": "m", "agent": "build", "time": {"created": 2000, "completed": 9000}}, [
+            {"id": "p1", "type": "step-start"}, tool("p2", "completed", "done"), {"id": "p3", "type": "step-finish", "reason": "tool", "cost": 0.5, "tokens": {"input": 1, "output": 2, "reasoning": 3, "cache": {"read": 4}}}, {"id": "p4", "type": "patch", "files": ["a"]},
+            {"id": "p5", "type": "step-start"}, tool("p6", "error", "[redacted:x]"), tool("p7", "running", None), {"id": "p8", "type": "step-finish", "cost": 0, "tokens": {"input": 1}},
+        ]),
+        ({"id": "m3", "role": "assistant", "modelID": "m", "time": {"created": 9500}, "error": {"name": "E"}}, []),
+    ]
+    return messages
+
+
+WANT = [
+    ("llm_call", "m", "ok", 0.5, None), ("tool_call", "edit", None, None, True), ("tool_result", "edit", "ok", None, None),
+    ("llm_call", "m", "ok", None, None), ("tool_call", "edit", None, None, None), ("tool_result", "edit", "error", None, None), ("tool_call", "edit", None, None, None), ("llm_call", "m", "error", None, None),
+]
+
+
+def test_opencode_exports(spark, tmp_path):
+    from tidemark.sources import opencode
+
+    doc = {"info": {"id": "ses_1", "parentID": "ses_0"}, "messages": [{"info": i, "parts": p} for i, p in _opencode()]}
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    (tmp_path / "c.json").write_text('{"info": {"id": "other"}, "messages": []}')
+    got = events(opencode.convert(opencode.read_exports(spark, str(tmp_path))))
+    assert [(e["event_type"], e["name"], e["outcome"], e["cost_usd"], e["metadata"]["write"]) for e in got] == WANT
+    assert (got[0]["tokens_in"], got[0]["tokens_out"], got[0]["workflow"]) == (5, 5, "build")
+    assert [e["metadata"]["content_basis"] for e in got] == ["prompt", "tool_input", "tool_output", "prompt", "tool_input", "opaque", "tool_input", "opaque"]
+    assert got[0]["metadata"]["parent_task_link_kind"] == "delegation"
+    assert [e["parent_id"] for e in got] == [None, *range(7)]
+
+
+def test_opencode_database(spark, tmp_path):
+    import sqlite3
+
+    from tidemark.sources import opencode
+
+    path = tmp_path / "o.db"
+    base = sqlite3.connect(path)
+    base.executescript("CREATE TABLE session (id, parent_id, agent, time_created); CREATE TABLE message (id, session_id, time_created, data); CREATE TABLE part (id, message_id, data);")
+    base.execute("INSERT INTO session VALUES ('ses_1', NULL, 'build', 1)")
+    for info, parts in _opencode():
+        base.execute("INSERT INTO message VALUES (?, 'ses_1', ?, ?)", (info["id"], info["time"]["created"], json.dumps(info)))
+        base.executemany("INSERT INTO part VALUES (?, ?, ?)", [(p["id"], info["id"], json.dumps(p)) for p in parts])
+    base.commit()
+    base.close()
+    got = events(opencode.convert(opencode.from_tables(**opencode.sqlite_tables(spark, str(path)))))
+    assert [(e["event_type"], e["name"], e["outcome"], e["cost_usd"], e["metadata"]["write"]) for e in got] == WANT
+
+
+def test_opencode_compaction():
+    from tidemark.sources.opencode import after_compaction
+
+    m = lambda id_, role, parts=(), **info: {"info": {"id": id_, "role": role} | info, "parts": list(parts)}
+    messages = [m("1", "user"), m("2", "assistant"), m("3", "user", [{"type": "compaction", "tail_start_id": "2"}]), m("4", "assistant", summary=True, finish="stop", parentID="3"), m("5", "user")]
+    assert [x["info"]["id"] for x in after_compaction(messages)] == ["3", "4", "2", "5"]
+    assert [x["info"]["id"] for x in after_compaction(messages[:3])] == ["1", "2", "3"]
+
+
+def test_adapt_native_sessions(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"type": "session", "id": "one"}\n{"type": "message", "message": {"role": "assistant", "model": "m"}}\n')
+    assert adapt(spark, str(tmp_path)).head().task_id == "one"
+    with pytest.raises(UnknownSource):
+        (tmp_path / "empty").mkdir()
+        adapt(spark, str(tmp_path / "empty"))

@@ -6,7 +6,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import coding_cli, cowork, openclaw, openclaw_localtrace, openinference, otlp
+from . import coding_cli, cowork, openclaw, openclaw_localtrace, opencode, openinference, otlp, pi
 
 #: In order of precedence.
 SOURCES: tuple[ModuleType, ...] = (coding_cli, cowork, openclaw, openclaw_localtrace, openinference)
@@ -27,8 +27,27 @@ def detect(docs: DataFrame, sources: tuple[ModuleType, ...] = SOURCES) -> tuple[
     raise UnknownSource(f"no source claims {counts['documents']} documents ({counts['traces']} traces, {counts['logs']} logs, {counts['metrics']} metrics)")
 
 
+def _opencode(spark: SparkSession, path: str) -> DataFrame:
+    if path.endswith((".db", ".sqlite")):
+        return opencode.convert(opencode.from_tables(**opencode.sqlite_tables(spark, path)))
+    return opencode.convert(opencode.read_exports(spark, path))
+
+
+#: Sources with files of their own, asked only if nothing is OTLP.
+NATIVE = {opencode.NAME: _opencode, pi.NAME: lambda spark, path: pi.convert(pi.read_sessions(spark, path))}
+
+
 def adapt(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """Events of a folder of OTLP documents."""
-    docs = otlp.read_documents(spark, path)
-    found = next(s for s in SOURCES if s.NAME == source) if source else detect(docs)[0]
-    return found.convert(docs)
+    """Events of a folder of OTLP documents, or of a source's own sessions."""
+    if source in NATIVE:
+        return NATIVE[source](spark, path)
+    if not path.endswith((".db", ".sqlite")):
+        docs = otlp.read_documents(spark, path)
+        if source or not docs.where("is_trace or is_log or is_metrics").isEmpty():
+            found = next(s for s in SOURCES if s.NAME == source) if source else detect(docs)[0]
+            return found.convert(docs)
+    for convert in NATIVE.values():
+        events = convert(spark, path)
+        if not events.isEmpty():
+            return events
+    raise UnknownSource(f"no source claims anything in {path}")
