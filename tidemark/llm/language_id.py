@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches
+from ._arrow import bounded_batches, releasing
 from ._words import mix64
 
 UNDETERMINED = "und"
@@ -295,4 +295,4 @@ def identify(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=[*kept, *made])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept).mapInArrow(predicted, f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.select(*kept).mapInArrow(releasing(predicted), f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")

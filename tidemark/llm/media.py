@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches
+from ._arrow import bounded_batches, releasing
 
 UNIT = 192
 
@@ -186,7 +186,7 @@ def encode_audio(docs: DataFrame, text_col: str = "text", media_col: str = "medi
             media = pa.array([write_mpeg(padded(p or b"")) for p in payloads], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], media], names=[*kept, media_col])
 
-    return docs.select(F.col(text_col).cast("string").alias("_payload"), *kept).mapInArrow(encoded, f"{schema}{', ' * bool(kept)}`{media_col}` binary")
+    return docs.select(F.col(text_col).cast("string").alias("_payload"), *kept).mapInArrow(releasing(encoded), f"{schema}{', ' * bool(kept)}`{media_col}` binary")
 
 
 def decode_audio(media: DataFrame, media_col: str = "media") -> DataFrame:
@@ -210,4 +210,4 @@ def decode_audio(media: DataFrame, media_col: str = "media") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*kept, media_col, "payload", "n_frames", "n_samples", "hertz", "duration_us", "seek_offsets"])
 
-    return media.select(*kept, media_col).mapInArrow(decoded, schema + ", payload binary, n_frames long, n_samples long, hertz int, duration_us long, seek_offsets array<long>")
+    return media.select(*kept, media_col).mapInArrow(releasing(decoded), schema + ", payload binary, n_frames long, n_samples long, hertz int, duration_us long, seek_offsets array<long>")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches, broadcast_if_small, materialise
+from ._arrow import bounded_batches, broadcast_if_small, materialise, releasing
 from ._components import connected_components
 from ._words import gram_hashes, mix64, words_of
 
@@ -89,7 +89,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 keys.append(posting_keys(signature(shingles)).tolist() if len(shingles) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_name", "keys"])
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, set_name binary, keys array<long>")
+    return docs.mapInArrow(releasing(rows), "doc_id long, n_shingles long, set_name binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.join(broadcast_if_small(ids.distinct()), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
+    return docs.join(broadcast_if_small(ids.distinct()), "doc_id", "left_semi").mapInArrow(releasing(sets), "doc_id long, shingles binary")
 
 
 def _with_sets(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -107,7 +107,8 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     found = _sets(docs, pairs.select("doc_id").unionAll(pairs.select(F.col("hub").alias("doc_id"))), size)
     hubs = found.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles"))
     # The hub's set first: what a hub of many documents makes uneven, the second join deals out again.
-    return pairs.join(hubs, "hub").join(found, "doc_id")
+    # Merge joins, so that the sets and what comes of them are made in stages, and workers, of their own.
+    return pairs.join(hubs.hint("merge"), "hub").join(found.hint("merge"), "doc_id")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -127,7 +128,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     pairs = materialise(pairs.select("hub", "doc_id").distinct())
     met = _with_sets(pairs, docs, size).select("hub", "doc_id", "hub_shingles", "shingles")
-    return materialise(met.mapInArrow(compared, "hub long, doc_id long, shared long, similar boolean"))
+    return materialise(met.mapInArrow(releasing(compared), "hub long, doc_id long, shared long, similar boolean"))
 
 
 def _links(compared: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def _left_over(posted: DataFrame, compared: DataFrame, docs: DataFrame, size: in
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["hub", "doc_id", "others"])
 
-    other = _with_sets(group.select("hub", "doc_id"), docs, size).select("hub", "doc_id", "hub_shingles", "shingles").mapInArrow(others, "hub long, doc_id long, others array<long>")
+    other = _with_sets(group.select("hub", "doc_id"), docs, size).select("hub", "doc_id", "hub_shingles", "shingles").mapInArrow(releasing(others), "hub long, doc_id long, others array<long>")
     other = materialise(other.repartition("hub", "doc_id").select("hub", "doc_id", F.explode("others").alias("shingle")))
     often = materialise(other.groupBy("hub", "shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")).where(F.col("docs") <= RARE))
     rare = materialise(other.join(often.where("docs > 1").select("hub", "shingle"), ["hub", "shingle"]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches, materialise
+from ._arrow import bounded_batches, materialise, releasing
 from ._words import words_of
 
 #: Distinct words whose ids a worker keeps; beyond it, it starts afresh.
@@ -159,7 +159,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(pieces), PIECES)
 
 
 class OpenBins:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches, broadcast_if_small
+from ._arrow import bounded_batches, broadcast_if_small, releasing
 from ._words import Words, window_hashes, words_of
 
 WINDOW, ANCHOR = 20, 10
@@ -201,7 +201,7 @@ def _entries(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFra
             rows, firsts = _settle(keys, ids, places, buckets, False)
             yield _table(rows + _sent(keys[firsts], ids[firsts], places[firsts], buckets))
 
-    found = docs.mapInArrow(anchors, ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, False), ENTRIES)
+    found = docs.mapInArrow(releasing(anchors), ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, False), ENTRIES)
     found = found.groupBy("doc_id").agg(F.collect_list("places").alias("found"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def _entries(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFra
             found = [zlib.compress(np.diff(np.unique(np.frombuffer(b"".join(x), np.uint32)), prepend=np.uint32(0)).tobytes(), 1) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
 
-    return found.mapInArrow(packed, "doc_id long, found binary")
+    return found.mapInArrow(releasing(packed), "doc_id long, found binary")
 
 
 def _occurrences(docs: DataFrame, repeated: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
@@ -237,9 +237,9 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, window: int, anchor: int,
                 later.append(load(_LATER_RUNS, "places", np.int64).tobytes() + later_runs(load(_LATER, "places", np.uint32), load(_LATER, "ref_ids", np.int64), load(_LATER, "ref_places", np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(later, pa.binary())], names=["doc_id", "own", "later"])
 
-    found = met.mapInArrow(windows, ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, True), ENTRIES)
+    found = met.mapInArrow(releasing(windows), ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, True), ENTRIES)
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places", "ref_ids", "ref_places")).alias("found"))
-    return found.mapInArrow(runs, "doc_id long, own binary, later binary")
+    return found.mapInArrow(releasing(runs), "doc_id long, own binary, later binary")
 
 
 def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
@@ -283,7 +283,7 @@ def _regions(docs: DataFrame, occurrences: DataFrame, window: int, shards: int)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "kind", "doc_id", "place", "words"])
 
-    return docs.join(occurrences, "doc_id").select("doc_id", "text", "own", "later").mapInArrow(cut, REGIONS)
+    return docs.join(occurrences, "doc_id").select("doc_id", "text", "own", "later").mapInArrow(releasing(cut), REGIONS)
 
 
 class SuffixAutomaton:
@@ -398,7 +398,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             found = [np.array(merged(np.array([(x["start"], x["stop"]) for x in spans], np.int64)), np.int64).tobytes() for spans in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "spans"])
 
-    spans = broadcast_if_small(spans.mapInArrow(packed, "doc_id long, spans binary"), "octet_length(spans)")
+    spans = broadcast_if_small(spans.mapInArrow(releasing(packed), "doc_id long, spans binary"), "octet_length(spans)")
     return named.join(spans, "doc_id", "left")
 
 
@@ -423,4 +423,4 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
     found = repeated_spans(docs, window, anchor, id_col, text_col).select("doc_id", "text", "copy", "spans")
-    return found.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept binary")
+    return found.mapInArrow(releasing(kept), "doc_id long, n_words long, n_removed long, kept binary")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches
+from ._arrow import bounded_batches, releasing
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -113,4 +113,4 @@ def count_tokens(docs: DataFrame, model_path: str, byte_fallback: bool = True, i
             found = [counter.count(t) for t in batch.column(1).fill_null("").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(counted, "doc_id long, n_tokens long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(counted), "doc_id long, n_tokens long, score double")
