@@ -97,3 +97,25 @@ def test_price_notes():
     assert pricing.age_note(None) is None and pricing.age_note("bad") is None
     assert pricing.projected_monthly(0.028, 16) == pytest.approx(52.5)
     assert pricing.projected_monthly(1, 0) is None
+
+
+def test_nearest_kept_ancestor_across_batches(spark):
+    from tidemark.operators.joins import nearest_kept_ancestor
+
+    rng = random.Random(6)
+    rows = [(t, s, rng.randint(0, 12) if rng.random() < 0.8 else None, rng.random() < 0.4) for t in range(200) for s in range(rng.randint(1, 10))]
+    table = {(t, s): (p, k) for t, s, p, k in rows}
+    want = set()
+    for t, s, p, _ in rows:
+        seen, at = {s}, p
+        while (t, at) in table and not table[t, at][1] and at not in seen:
+            seen.add(at)
+            at = table[t, at][0]
+        want.add((t, s, at if (t, at) in table and at not in seen else None))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        df = nearest_kept_ancestor(spark.createDataFrame(rows, "trace long, span_id long, parent_id long, kept boolean"))
+        got = {tuple(r) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want

@@ -92,25 +92,57 @@ def chain_all(spans: DataFrame) -> DataFrame:
 def nearest_kept_ancestor(spans: DataFrame) -> DataFrame:
     """Rows (trace, span_id, ancestor): the nearest ancestor that is kept, null if there is none.
 
-    spans: trace, span_id, parent_id, kept.  One trace is walked at a time, with what was
-    found for a span's parent remembered, so each span costs one step.
+    spans: trace, span_id, parent_id, kept.  Traces come one after another in batches of
+    many; what was found for a span's parent is remembered, so each span costs one step.
     """
 
-    def trace(table: pa.Table) -> pa.Table:
-        rows = {r["span_id"]: r for r in table.to_pylist()}
-        known: dict = {}
-        for start in rows:
-            path, at = [], start
-            while at is not None and at in rows and at not in known and at not in path:
+    def walk(table: pa.Table) -> pa.Table:
+        traces, ids, parents, kept = (table[c].to_pylist() for c in ("trace", "span_id", "parent_id", "kept"))
+        row = {key: i for i, key in enumerate(zip(traces, ids, strict=True))}
+        up = [row.get((t, p)) for t, p in zip(traces, parents, strict=True)]
+        known: dict[int, object] = {}
+        for start in range(len(ids)):
+            path, seen, at = [], set(), start
+            while at is not None and at not in known and at not in seen:
+                seen.add(at)
                 path.append(at)
-                at = rows[at]["parent_id"]
-            for span in reversed(path):
-                parent = rows[span]["parent_id"]
-                known[span] = None if parent not in rows else parent if rows[parent]["kept"] else known.get(parent)
-        return pa.table({"trace": table["trace"], "span_id": table["span_id"], "ancestor": pa.array([known[s] for s in table["span_id"].to_pylist()], table.schema.field("span_id").type)})
+                at = up[at]
+            if at is not None and at not in known:  # a cycle: each of its spans looks around for itself
+                for i in path:
+                    around, above = {i}, up[i]
+                    while above is not None and not kept[above] and above not in around:
+                        around.add(above)
+                        above = up[above]
+                    known[i] = None if above is None or above in around else ids[above]
+                continue
+            for i in reversed(path):
+                above = up[i]
+                known[i] = None if above is None else ids[above] if kept[above] else known.get(above)
+        return pa.table({"trace": table["trace"], "span_id": table["span_id"], "ancestor": pa.array([known[i] for i in range(len(ids))], table.schema.field("span_id").type)})
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            column = batch.column(0)
+            last = column[len(batch) - 1]
+            cut = len(batch)
+            while cut and column[cut - 1] == last:
+                cut -= 1
+            if cut:  # the last trace may go on
+                yield from walk(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+                held = []
+            elif held and held[-1].column(0)[len(held[-1]) - 1] != last:
+                yield from walk(pa.Table.from_batches(held)).to_batches()
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from walk(pa.Table.from_batches(held)).to_batches()
 
     kinds = dict(spans.dtypes)
-    return spans.select("trace", "span_id", "parent_id", "kept").groupBy("trace").applyInArrow(trace, f"trace {kinds['trace']}, span_id {kinds['span_id']}, ancestor {kinds['span_id']}")
+    ordered = spans.select("trace", "span_id", "parent_id", "kept").repartition("trace").sortWithinPartitions("trace")
+    return ordered.mapInArrow(walked, f"trace {kinds['trace']}, span_id {kinds['span_id']}, ancestor {kinds['span_id']}")
 
 
 def pair_greedily(calls: DataFrame, ends: DataFrame) -> DataFrame:
