@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._arrow import materialise, read_table
-from tidemark.llm.language_id import held_out, identify, train
+from tidemark.llm.language_id import PREDICTIONS, held_out, identify, train
 from tidemark.llm.mixing import mixed_rows
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
@@ -23,8 +23,11 @@ ORACLE_SQL = None
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that language ID rejects; documents without a language get the predicted one."""
-    found = identify(docs, train(docs.where(~held_out())))
-    return found.where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    model = train(docs.where(~held_out()))
+    # Columns of the documents' own that have the names of predictions step aside.
+    aside = {c: f"_own_{c}" for c in docs.columns if c in PREDICTIONS}
+    found = identify(docs.withColumnsRenamed(aside), model).where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return found.drop(*PREDICTIONS).withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

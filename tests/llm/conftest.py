@@ -13,7 +13,7 @@ def make_docs(spark):
         if clash:
             from pyspark.sql import functions as F
 
-            for name in ("text_hash", "kept", "score", "rejected", "spans", "component", "epoch", "n_tokens", "_key", "media", "payload", "rare", "key", "hub"):
+            for name in ("text_hash", "kept", "score", "rejected", "spans", "component", "epoch", "n_tokens", "_key", "media", "payload", "rare", "key", "hub", "weight", "full", "rest", "repeats", "lang_pred", "cross_entropy", "found", "copy", "value"):
                 df = df.withColumn(name, F.lit("x"))
         return df
 

@@ -21,7 +21,7 @@ def test_held_out_accuracy(spark, documents, sf_dir):
 def model():
     fit = [["the cat sat on the mat and the dog ran " * 3] * 8, ["der hund und die katze sind im garten " * 3] * 8]
     model = KneserNey(["de", "en"], fit[::-1])
-    model.calibrate([["und der garten ist im hund"], ["the dog and the cat"]])
+    model.calibrate([["und der garten ist im hund"] * 10, ["the dog and the cat"] * 10])
     return model
 
 

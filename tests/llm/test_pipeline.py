@@ -46,6 +46,24 @@ def test_run(spark, sf_dir, stages):
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect())) == Counter(map(tuple, stages[5].select("doc_id", "piece", "ids_crc32").collect()))
 
 
+def test_odd_rows_and_clashing_columns(spark, make_docs, odd, sf_dir):
+    import corpus_pipeline
+    from tidemark.llm._arrow import materialise
+
+    docs = make_docs([*odd, (None, "no id at all"), (3, "word")], clash=True)
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = materialise(stage(spark, out, sf_dir))
+        assert out.columns == docs.columns
+    rows = out.collect()
+    assert {r.score for r in rows} == {"x"} and {r.weight for r in rows} == {"x"}
+    assert {r.doc_id for r in rows} == {None, 3, 5, 7, 8, 9}
+    empty = make_docs([])
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf_dir)
+    assert empty.collect() == []
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

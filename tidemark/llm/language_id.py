@@ -42,6 +42,8 @@ MOST_LANGUAGES = 1000
 SLICE, BLOCK = 1 << 18, 1 << 20
 #: How far over the calibration part's largest standardised cross-entropy a text may lie.
 REJECT_MARGIN = 1.25
+#: Calibration texts below which no text with a letter is rejected.
+LEAST_CALIBRATION = 20
 
 _U = np.uint64
 
@@ -219,7 +221,8 @@ class KneserNey:
                 return -sum(float(np.log(self._posterior(e, scale)[:, lang] + 1e-12).sum()) for lang, e in found)
 
             self.scale = min((2.0**i for i in range(8)), key=loss)
-            self.limit = REJECT_MARGIN * max(4.0, float(np.max(np.concatenate(standard))))
+            standard = np.concatenate(standard)
+            self.limit = REJECT_MARGIN * max(4.0, float(standard.max())) if len(standard) >= LEAST_CALIBRATION else float("inf")
 
     def _standard(self, n: np.ndarray, entropy: np.ndarray, lang: np.ndarray) -> np.ndarray:
         mean, each, between = np.array(self.spread)[lang].T
@@ -278,12 +281,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return model
 
 
+PREDICTIONS = ("lang_pred", "score", "cross_entropy", "rejected")
+
+
 def identify(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataFrame:
-    """Add lang_pred, score (0 to 1), cross_entropy (nats a symbol) and rejected to rows; only the text decides."""
+    """Add lang_pred, score (0 to 1), cross_entropy (nats a symbol) and rejected to rows, in place of columns so named; only the text decides."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    made = ("lang_pred", "score", "cross_entropy", "rejected")
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c not in PREDICTIONS]
     place = kept.index(text_col)
     shared = spark.sparkContext.broadcast(model)
 
@@ -292,7 +297,7 @@ def identify(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataF
         table = model.table()
         for batch in batches:
             names, score, entropy, rejected = model.predict(batch.column(place).fill_null("").to_pylist(), table)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=[*kept, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=[*kept, *PREDICTIONS])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     return docs.select(*kept).mapInArrow(releasing(predicted), f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -120,13 +120,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return sized, materialise(cuts.select("_source", "full", "weight", "rest", "cut_block", "cut_key")), bits
 
 
-def times(docs: DataFrame, cuts: DataFrame, bits: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """Add ``repeats``: how often the mixture passes each row."""
-    key = _key(seed, F.col("full"), id_col)
+def times(docs: DataFrame, cuts: DataFrame, bits: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 0, made: str = "repeats") -> DataFrame:
+    """Add a column: how often the mixture passes each row."""
+    cuts = cuts.toDF(*[f"_{c.lstrip('_')}" for c in cuts.columns])
+    key = _key(seed, F.col("_full"), id_col)
     block = _block(key, bits)
-    more = (F.col("rest") > 0) & (F.col("cut_block").isNull() | (block < F.col("cut_block")) | ((block == F.col("cut_block")) & (key <= F.col("cut_key"))))
+    more = (F.col("_rest") > 0) & (F.col("_cut_block").isNull() | (block < F.col("_cut_block")) | ((block == F.col("_cut_block")) & (key <= F.col("_cut_key"))))
     joined = docs.join(F.broadcast(cuts), F.col(source_col).eqNullSafe(F.col("_source")))
-    return joined.select(*docs.columns, (F.col("full") + F.when(more, 1).otherwise(0)).alias("repeats"))
+    return joined.select(*docs.columns, (F.col("_full") + F.when(more, 1).otherwise(0)).alias(made))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **targets: object) -> DataFrame:
@@ -140,5 +141,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **targets: object) -> DataFrame:
     """The rows themselves, each as often as the mixture passes it."""
     _, cuts, bits = plan(docs, id_col, text_col, source_col, seed=seed, **targets)
-    passed = times(docs, cuts, bits, id_col, source_col, seed)
-    return passed.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.greatest("repeats", F.lit(1))))).where("repeats > 0").select(*docs.columns)
+    passed = times(docs, cuts, bits, id_col, source_col, seed, "_repeats").where("_repeats > 0")
+    return passed.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
