@@ -164,11 +164,20 @@ def near_same_task(spark: SparkSession, d: str) -> DataFrame:
     return repeats.near_repeats(events, repeats.exact_repeats(events), NEAR).select("task_id", "original_step", "repeat_step", "distance")
 
 
-def near_cross_task(spark: SparkSession, d: str) -> DataFrame:
-    found = cross_task.near_across(cross_task.candidates(traces.embedding_trace(spark, d)), NEAR, NEAR_WINDOW)
+def _near_across(spark: SparkSession, d: str, window: int) -> DataFrame:
+    found = cross_task.near_across(cross_task.candidates(traces.embedding_trace(spark, d)), NEAR, window)
     return found.select("task_id", "repeat_step", "original_task", "original_step", "distance")
 
 
+def near_cross_task(spark: SparkSession, d: str) -> DataFrame:
+    """With the small window of its SQL; near_cross_task_all has the operator's own."""
+    return _near_across(spark, d, NEAR_WINDOW)
+
+
+def near_cross_task_all(spark: SparkSession, d: str) -> DataFrame:
+    return _near_across(spark, d, cross_task.WINDOW)
+
+
 def hamming(spark: SparkSession, d: str) -> DataFrame:
     marks = traces.embedding_trace(spark, d)
     order = W.partitionBy("task_id").orderBy("step_index")
@@ -321,7 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         verdict_counts, effective_parent, terminal_outcome, call_filter, exact_repeat_pairs, call_result_link, write_signal, result_signal, pair_verdicts, verdict_reasons,
         slice_grouping_sets, slice_by_model, slice_by_workflow, coverage, cost_by_basis, comparability, verdicts_reached, top_highlights, sample_reasons, unpriced_samples, synthesized_samples,
         cross_exact_pairs, cross_exact_unclaimed, cross_split, bucket_counts, task_edges, task_components, continuation_hops, shape_distance, drift_details,
-        near_same_task, near_cross_task, hamming, bands, content_hash_text, content_hash_all, mask_counts, normalize_text, exact_duplicate_docs, simhash_docs,
+        near_same_task, near_cross_task, near_cross_task_all, hamming, bands, content_hash_text, content_hash_all, mask_counts, normalize_text, exact_duplicate_docs, simhash_docs,
         nearest_model_fill, prompt_window_claim, turn_cost_asof, positional_join, greedy_pairing, orphan_cost_rows, latest_counter_points, restart_windows, restart_window_calls,
         cost_apportion, sibling_chain_watermark, sibling_chain, nearest_kept_ancestor, price_estimate, hash_spec_guard, sessions_detected,
     )
