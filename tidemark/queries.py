@@ -211,12 +211,25 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", hashing.short_hash(hashing.normalized(F.col("text"))).alias("normal_hash"))
 
 
+def mask_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    docs = hashing.with_content_hash(read_table(spark, d, "documents"), "text", "masked_hash", "spans", integers=True)
+    return docs.select("doc_id", "masked_hash", "spans")
+
+
+def normalize_text_all(spark: SparkSession, d: str) -> DataFrame:
+    return hashing.with_normal_hash(read_table(spark, d, "documents"), "text").select("doc_id", "normal_hash")
+
+
 def exact_duplicate_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").withColumn("hash", hashing.short_hash(F.col("text")))
     return docs.groupBy("hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
 def simhash_docs(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", hashing.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+def simhash_turns(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "conversations").select("conv_id", "turn", hashing.fingerprint(F.col("text")).alias("fingerprint"))
 
 
@@ -330,7 +343,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         verdict_counts, effective_parent, terminal_outcome, call_filter, exact_repeat_pairs, call_result_link, write_signal, result_signal, pair_verdicts, verdict_reasons,
         slice_grouping_sets, slice_by_model, slice_by_workflow, coverage, cost_by_basis, comparability, verdicts_reached, top_highlights, sample_reasons, unpriced_samples, synthesized_samples,
         cross_exact_pairs, cross_exact_unclaimed, cross_split, bucket_counts, task_edges, task_components, continuation_hops, shape_distance, drift_details,
-        near_same_task, near_cross_task, near_cross_task_all, hamming, bands, content_hash_text, content_hash_all, mask_counts, normalize_text, exact_duplicate_docs, simhash_docs,
+        near_same_task, near_cross_task, near_cross_task_all, hamming, bands, content_hash_text, content_hash_all, mask_counts, normalize_text, mask_counts_all, normalize_text_all, exact_duplicate_docs, simhash_docs, simhash_turns,
         nearest_model_fill, prompt_window_claim, turn_cost_asof, positional_join, greedy_pairing, orphan_cost_rows, latest_counter_points, restart_windows, restart_window_calls,
         cost_apportion, sibling_chain_watermark, sibling_chain, nearest_kept_ancestor, price_estimate, hash_spec_guard, sessions_detected,
     )
