@@ -60,3 +60,18 @@ def test_band(make_docs):
     mark = lambda text: docs.limit(1).select(fingerprint(F.lit(text), kept).alias("h")).head().h[0]
     assert mark("common pair3 single6") == mark("pair3 single7")
     assert mark("pair3") != mark("pair4")
+
+
+def test_band_of_many_terms(make_docs, spark):
+    """However many terms: none of the band is lost, and hardly any of one document or of most documents comes in."""
+    docs = make_docs([" ".join(f"single{i}x{k} pair{i // 2}x{k}" for k in range(400)) + " common" for i in range(600)])
+    kept = lexicon(docs)
+
+    def share(*words):
+        texts = spark.createDataFrame([(w,) for w in words], "t string")
+        # A text without lexicon terms has its own hash in the first place.
+        return texts.select((fingerprint(F.col("t"), kept)[0] != F.xxhash64("t")).alias("inside")).where("inside").count() / len(words)
+
+    assert share(*[f"pair{i}x{k}" for i in range(300) for k in range(0, 400, 20)]) == 1
+    assert share(*[f"single{i}x{k}" for i in range(600) for k in range(0, 400, 20)]) < 0.01
+    assert share("common") == 0
