@@ -67,3 +67,9 @@ def test_redact(make_docs):
 def test_no_python_on_executors(documents):
     plan = find_candidates(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_first_digit_late_in_a_bare_token(make_docs):
+    late, word = "aB" * 50 + "7" + "xY" * 10, "aB" * 60
+    rows = {r.doc_id: r.spans for r in scan_secrets(make_docs([f"see {late} here", f"see {word} here"])).collect()}
+    assert [(s.kind, s.at, s.until) for s in rows[0]] == [("owned", 4, 4 + len(late))] and rows[1] == []

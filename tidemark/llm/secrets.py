@@ -28,7 +28,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 #: Bare tokens: 24 or more characters with a digit among them (letters without one are ordinary long words).
-BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{24,}"
+BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}"
 #: A value held by at most so many owners looks live.
 MOST_OWNERS = 2
 
