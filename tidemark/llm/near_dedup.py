@@ -1,13 +1,19 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Every document's set of distinct word shingles gets a MinHash signature.  Documents
-are posted under coordinate-value keys; a key merges ``ROWS`` consecutive
-coordinates, the prefix that a candidate must share, so lists of documents that
-share one frequent passage only aren't merged (they are skipped).  Candidates are
-confirmed on the full sets, and links are closed to components.
+Every document's set of distinct word shingles gets a MinHash signature of ``COORDINATES``
+values.  Documents are posted under each coordinate-value pair, collisions are counted,
+and pairs that collide in ``MATCHES`` coordinates or more are confirmed on the full sets
+of 64-bit shingle hashes.  Links are closed to components.
+
+Lists are merged with prefix and skip.  A document's pairs are put in order, the rarest
+first; two documents that collide ``MATCHES`` times share a list among the first
+``COORDINATES - MATCHES + 1`` of each, so only these are merged, and the ``MATCHES - 1``
+longest lists of each document are skipped.  Documents with fewer than ``MATCHES`` shared
+pairs are out.  Pairs that the merged lists don't settle look the skipped coordinates up
+in both signatures.
 
 No pairs are listed within a group of copies.  Equal sets are one representative.  A
-list of n documents gives n-1 candidates with its hub, the document that meets the
+merged list of n documents gives n-1 candidates with its hub, the document that meets the
 most others over all its lists (the least edited of a group of near copies).  What
 that leaves in different components meets once more:
 
@@ -21,8 +27,8 @@ that leaves in different components meets once more:
 
 Defined results: a null text, or one without words, has an empty set, is linked
 with nothing and is its own component; a text of fewer words than a shingle has one
-shingle, the whole; repeated rows share a component; ties go to the least id; an
-empty table gives an empty result.
+shingle, the whole; repeated rows share a component and all stay or go together; ties
+go to the least id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,14 +47,13 @@ from ._words import gram_hashes, mix64, words_of
 
 SHINGLE = 5
 PERCENT = 80
-#: Keys and coordinates of a key: a pair of similarity 0.8 shares none with probability (1 - 0.8**3)**30, under 1e-9.
-KEYS, ROWS = 30, 3
-#: Keys that a pair must share to meet once more; one of similarity 0.8 shares fewer with probability 2e-8.
-MATCHES = 2
+#: Coordinates of a signature, and collisions from which a pair is confirmed: one of similarity 0.8 has fewer with probability 1e-9.
+COORDINATES, MATCHES = 64, 30
 LIST, RARE = 32, 16
 
 _U = np.uint64
-_MULTIPLIERS = (mix64(np.arange(1, KEYS * ROWS + 1, dtype=_U) << _U(8)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+_SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=_U) << _U(8))
+_MULTIPLIERS = mix64(_SEEDS) | _U(1)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -59,22 +64,12 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash coordinates of a non-empty set."""
-    short = (shingles >> _U(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    least = np.full(KEYS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(short), 1024):
-        np.minimum(least, (short[at : at + 1024, None] * _MULTIPLIERS).min(axis=0), out=least)
-    return least
-
-
-def posting_keys(least: np.ndarray) -> np.ndarray:
-    """One key for each group of ROWS coordinates."""
-    rows = least.reshape(KEYS, ROWS).astype(_U)
-    key = np.arange(1, KEYS + 1, dtype=_U)
+    """The coordinate-value pairs of a non-empty set, each as one 64-bit key."""
+    least = np.full(COORDINATES, 0xFFFFFFFFFFFFFFFF, _U)
     with np.errstate(over="ignore"):
-        for i in range(ROWS):
-            key = mix64(key * _U(0x9E3779B97F4A7C15) + rows[:, i])
-    return key.view(np.int64)
+        for at in range(0, len(shingles), 512):
+            np.minimum(least, (shingles[at : at + 512, None] * _MULTIPLIERS).min(axis=0), out=least)
+        return mix64(least ^ _SEEDS).view(np.int64)
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
@@ -86,7 +81,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             for shingles in shingle_sets(batch.column(1), size):
                 counts.append(len(shingles))
                 names.append(blake2b(shingles.tobytes(), digest_size=16).digest())
-                keys.append(posting_keys(signature(shingles)).tolist() if len(shingles) else [])
+                keys.append(signature(shingles).tolist() if len(shingles) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_name", "keys"])
 
     return docs.mapInArrow(releasing(rows), "doc_id long, n_shingles long, set_name binary, keys array<long>")
@@ -99,40 +94,47 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.join(broadcast_if_small(ids.distinct()), "doc_id", "left_semi").mapInArrow(releasing(sets), "doc_id long, shingles binary")
+    found = docs.join(broadcast_if_small(ids.distinct()), "doc_id", "left_semi").mapInArrow(releasing(sets), "doc_id long, shingles binary")
+    return materialise(found.dropDuplicates(["doc_id"]))
 
 
-def _with_sets(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Pairs (hub, doc_id, …) with both sets, the hub's first."""
-    found = _sets(docs, pairs.select("doc_id").unionAll(pairs.select(F.col("hub").alias("doc_id"))), size)
-    hubs = found.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    # The hub's set first: what a hub of many documents makes uneven, the second join deals out again.
-    # Merge joins, so that the sets and what comes of them are made in stages, and workers, of their own.
-    return pairs.join(hubs.hint("merge"), "hub").join(found.hint("merge"), "doc_id")
+def _beside(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Pairs (hub, doc_id, members, …) with a value of both beside them, as hub_name and name.
 
+    A hub of many members is sent in several parts, about the root of their number, so that no task has all of its pairs.
+    """
+    parts = pairs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.sqrt("members") / 8)))
+    # Merge joins, so that the values and what comes of them are made in stages, and workers, of their own.
+    hubs = parts.select("hub", "part").distinct().join(values.select(F.col("doc_id").alias("hub"), F.col(name).alias(f"hub_{name}")).hint("merge"), "hub")
+    return parts.join(hubs.hint("merge"), ["hub", "part"]).drop("part").join(values.select("doc_id", name).hint("merge"), "doc_id")
+
+
+def _retained(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (hub, doc_id, members) of enough collisions; ``matches`` counts those of the merged lists."""
+    pairs = materialise(pairs.groupBy("hub", "doc_id").agg(F.sum("matches").alias("matches"), F.max("members").alias("members")))
+    sides = _beside(pairs.where(F.col("matches") < MATCHES), signed, "keys")
+    collisions = F.size(F.filter(F.zip_with("hub_keys", "keys", lambda x, y: x == y), lambda same: same))
+    found = sides.where(collisions >= MATCHES).unionByName(pairs.where(F.col("matches") >= MATCHES), allowMissingColumns=True)
+    return materialise(found.select("hub", "doc_id", "members"))
 
-def _compared(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Candidates (hub, doc_id) with the size of their intersection and whether that links them."""
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b): pairs that are similar enough on their full sets."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, similar = [], []
+            similar = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 n = int((both[1:] == both[:-1]).sum())
-                shared.append(n)
                 similar.append(100 * n >= percent * (len(both) - n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(similar, pa.bool_())], names=["hub", "doc_id", "shared", "similar"])
-
-    pairs = materialise(pairs.select("hub", "doc_id").distinct())
-    met = _with_sets(pairs, docs, size).select("hub", "doc_id", "hub_shingles", "shingles")
-    return materialise(met.mapInArrow(releasing(compared), "hub long, doc_id long, shared long, similar boolean"))
+            similar = pa.array(similar, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(similar), batch.column(1).filter(similar)], names=["a", "b"])
 
-
-def _links(compared: DataFrame) -> DataFrame:
-    return compared.where("similar").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    met = _beside(pairs, sets, "shingles").select("hub", "doc_id", "hub_shingles", "shingles")
+    return materialise(met.mapInArrow(releasing(compared), "a long, b long"))
 
 
 def _sizes(x: F.Column, y: F.Column, percent: int) -> F.Column:
@@ -144,20 +146,33 @@ def _pairs_of(x: DataFrame, y: DataFrame, on: str, more: F.Column) -> DataFrame:
     return x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & more).select(F.least("x.doc_id", "y.doc_id").alias("hub"), F.greatest("x.doc_id", "y.doc_id").alias("doc_id"))
 
 
-def _left_over(posted: DataFrame, compared: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Candidates (hub, doc_id) that share lists, lie in different components and can be similar enough."""
-    components = connected_components(_links(compared)).withColumnRenamed("node", "doc_id")
+def _posted(single: DataFrame) -> DataFrame:
+    """Rows (key, members, doc_id, n_shingles, hub): the lists to merge, without those of one document."""
+    postings = single.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    shared = postings.join(postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
+    # A document holds at most COORDINATES keys; those of no other document come before the shared ones.
+    own = shared.groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("lists")).where(F.size("lists") >= MATCHES)
+    prefix = own.select("doc_id", "n_shingles", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (MATCHES - 1))["key"]).alias("key"))
+    prefix = materialise(prefix)
+    posted = materialise(prefix.join(prefix.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"))
+    posted = posted.join(posted.groupBy("doc_id").agg(F.sum("members").alias("met")), "doc_id")
+    hubs = posted.groupBy("key").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("least")))["least"]).alias("hub"))
+    return materialise(posted.drop("met").join(hubs, "key"))
+
+
+def _left_over(posted: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, doc_id, matches, members) that share merged lists, lie in different components and can be similar enough."""
+    components = connected_components(links).withColumnRenamed("node", "doc_id")
     rows = posted.where("members > 2").join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = materialise(rows.join(split, "key", "left_semi").where("doc_id <> hub"))
+    split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("of_hub")).where("lo < hi").select("key", "of_hub")
+    rows = materialise(rows.join(split, "key").where("doc_id <> hub"))
     sizes = _sizes(F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
 
     short = rows.where(F.col("members") <= LIST)
     within = (F.col("x.component") < F.col("y.component")) & sizes
-    pairs = _pairs_of(short.alias("x"), short.alias("y"), "key", within).groupBy("hub", "doc_id").agg(F.count("*").alias("matches")).where(F.col("matches") >= MATCHES).drop("matches")
+    pairs = _pairs_of(short.alias("x"), short.alias("y"), "key", within).select("hub", "doc_id", F.lit(1).alias("matches"), F.lit(LIST).alias("members"))
 
-    group = rows.where(F.col("members") > LIST).select("hub", "doc_id", "n_shingles", "component").distinct()
-    group = materialise(group.join(compared.select("hub", "doc_id", "shared"), ["hub", "doc_id"]))
+    group = materialise(rows.where(F.col("members") > LIST).groupBy("hub", "doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("component").alias("component"), F.max("members").alias("members"), F.first("of_hub").alias("of_hub")))
     if group.isEmpty():
         return pairs
 
@@ -167,29 +182,32 @@ def _left_over(posted: DataFrame, compared: DataFrame, docs: DataFrame, size: in
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["hub", "doc_id", "others"])
 
-    other = _with_sets(group.select("hub", "doc_id"), docs, size).select("hub", "doc_id", "hub_shingles", "shingles").mapInArrow(releasing(others), "hub long, doc_id long, others array<long>")
+    other = _beside(group.select("hub", "doc_id", "members"), sets, "shingles").select("hub", "doc_id", "hub_shingles", "shingles").mapInArrow(releasing(others), "hub long, doc_id long, others array<long>")
+    other = materialise(other)
+    shared = other.select("hub", "doc_id", F.size("others").alias("own"))
     other = materialise(other.repartition("hub", "doc_id").select("hub", "doc_id", F.explode("others").alias("shingle")))
     often = materialise(other.groupBy("hub", "shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")).where(F.col("docs") <= RARE))
     rare = materialise(other.join(often.where("docs > 1").select("hub", "shingle"), ["hub", "shingle"]))
     counts = often.where("docs = 1").select("hub", "doc_id").unionAll(rare.select("hub", "doc_id")).groupBy("hub", "doc_id").agg(F.count("*").alias("rare"))
-    group = group.join(counts, ["hub", "doc_id"], "left")
-    # What a document can share with another one but rare shingles.
-    group = materialise(group.withColumn("frequent", F.col("n_shingles") - F.coalesce("rare", F.lit(0)) - F.col("shared")).drop("rare"))
+    group = group.join(shared, ["hub", "doc_id"]).join(counts, ["hub", "doc_id"], "left")
+    # What a document shares with the hub, and what it can share with another one besides that and rare shingles.
+    group = materialise(group.withColumn("shared", F.col("n_shingles") - F.col("own")).withColumn("frequent", F.col("own") - F.coalesce("rare", F.lit(0))).drop("rare", "own"))
     enough = lambda extra: (100 + percent) * (F.least("x.shared", "y.shared") + F.least("x.frequent", "y.frequent") + extra) >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
 
-    able = group.join(group.groupBy("hub").agg(F.min("n_shingles").alias("fewest")), "hub").where((100 + percent) * (F.col("shared") + F.col("frequent")) >= percent * (F.col("n_shingles") + F.col("fewest")))
-    able = able.join(components.select(F.col("doc_id").alias("hub"), F.col("component").alias("_of_hub")), "hub", "left").withColumn("outside", F.col("component") != F.coalesce("_of_hub", "hub"))
+    # A partner has at least percent of a document's shingles.
+    able = group.where(100 * (F.col("shared") + F.col("frequent")) >= percent * F.col("n_shingles")).withColumn("outside", F.col("component") != F.col("of_hub"))
     apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.component") < F.col("y.component"))) & sizes & enough(F.lit(0))
-    pairs = pairs.unionAll(_pairs_of(able.where("outside").alias("x"), able.alias("y"), "hub", apart))
+    met = _pairs_of(able.where("outside").alias("x"), able.alias("y"), "hub", apart)
 
     named = rare.join(group, ["hub", "doc_id"])
     x, y = named.alias("x"), named.alias("y")
-    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & sizes)
     both = ["n_shingles", "shared", "frequent"]
-    met = met.groupBy(F.col("x.hub").alias("at"), F.col("x.doc_id").alias("xd"), F.col("y.doc_id").alias("yd")).agg(F.count("*").alias("n"), *[F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in both])
+    found = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & sizes)
+    found = found.groupBy(F.col("x.hub").alias("at"), F.col("x.doc_id").alias("xd"), F.col("y.doc_id").alias("yd")).agg(F.count("*").alias("n"), *[F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in both])
     overlap = F.least("x_shared", "y_shared") + F.least("x_frequent", "y_frequent") + F.col("n")
-    met = met.where((100 + percent) * overlap >= percent * (F.col("x_n_shingles") + F.col("y_n_shingles")))
-    return pairs.unionAll(met.select(F.least("xd", "yd").alias("hub"), F.greatest("xd", "yd").alias("doc_id")))
+    found = found.where((100 + percent) * overlap >= percent * (F.col("x_n_shingles") + F.col("y_n_shingles")))
+    met = met.unionAll(found.select(F.least("xd", "yd").alias("hub"), F.greatest("xd", "yd").alias("doc_id"))).distinct()
+    return pairs.unionAll(met.select("hub", "doc_id", F.lit(0).alias("matches"), F.lit(LIST * LIST).alias("members")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,19 +221,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     signed = materialise(_signed(docs, shingle))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     least = filled.groupBy("set_name").agg(F.min("doc_id").alias("doc_id"))
-    single = filled.join(least, ["set_name", "doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("keys").alias("key")).distinct()
-    lists = single.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    posted = materialise(single.join(lists, "key"))
-    met = posted.groupBy("doc_id").agg(F.sum("members").alias("met"))
-    posted = posted.join(met, "doc_id")
-    hubs = posted.groupBy("key").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("least")))["least"]).alias("hub"))
-    posted = materialise(posted.drop("met").join(hubs, "key"))
-    compared = _compared(posted.where("doc_id <> hub"), docs, shingle, percent)
-    more = _compared(_left_over(posted, compared, docs, shingle, percent), docs, shingle, percent)
-    links = _links(compared).unionAll(_links(more))
+    single = materialise(filled.join(least, ["set_name", "doc_id"], "left_semi").dropDuplicates(["set_name", "doc_id"]).select("doc_id", "n_shingles", "keys"))
+    posted = _posted(single)
+    sets = _sets(docs, posted.select("doc_id"), shingle)
+    first = posted.where("doc_id <> hub").select("hub", "doc_id", F.lit(1).alias("matches"), "members")
+    links = _links(_retained(first, single), sets, percent)
+    links = links.unionAll(_links(_retained(_left_over(posted, links, sets, percent), single), sets, percent))
 
     found = connected_components(links).withColumnRenamed("node", "least")
     of_set = least.select("set_name", F.col("doc_id").alias("least")).join(found, "least", "left").select("set_name", F.coalesce("component", "least").alias("component_id"))
-    out = signed.join(of_set, "set_name", "left")
+    out = signed.select("doc_id", "n_shingles", "set_name").join(of_set, "set_name", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
