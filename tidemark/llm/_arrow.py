@@ -7,7 +7,7 @@ import ctypes
 import gc
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Arrow's own pools keep what batches have freed; a worker shares its executor's memory with others.
@@ -72,10 +72,10 @@ def broadcast_if_small(df: DataFrame, payload: str | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def column(*path: str) -> Column:
+    """A column, or a field of one, by its exact name."""
+    return F.col(".".join("`" + name.replace("`", "``") + "`" for name in path))
 
 
-def hex_digest(column) -> F.Column:
-    """Lowercase SHA-256 of a binary or string column."""
-    return F.sha2(column.cast("binary"), 256)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
