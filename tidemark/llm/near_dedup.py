@@ -12,10 +12,12 @@ longest lists of each document are skipped.  Documents with fewer than ``MATCHES
 pairs are out.  Pairs that the merged lists don't settle look the skipped coordinates up
 in both signatures.
 
-No pairs are listed within a group of copies.  Equal sets are one representative.  A
-merged list of n documents gives n-1 candidates with its hub, the document that meets the
-most others over all its lists (the least edited of a group of near copies).  What
-that leaves in different components meets once more:
+No pairs are listed within a group of copies.  Equal sets are one representative.  The
+hub of a merged list is the document that meets the most others over all its lists (the
+least edited of a group of near copies).  Each document is first a candidate of the one
+hub with which it collides most; then, in lists that are still in several components, of
+the hubs of other components, n-1 candidates at most in a list of n documents.  What that
+leaves in different components meets once more:
 
 * in lists of up to ``LIST`` documents each with each, a number of pairs in
   proportion to the postings;
@@ -147,7 +149,7 @@ def _pairs_of(x: DataFrame, y: DataFrame, on: str, more: F.Column) -> DataFrame:
 
 
 def _posted(single: DataFrame) -> DataFrame:
-    """Rows (key, members, doc_id, n_shingles, hub): the lists to merge, without those of one document."""
+    """Rows (key, members, doc_id, n_shingles, hub, met): the lists to merge, without those of one document; met is the hub's."""
     postings = single.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     shared = postings.join(postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
     # A document holds at most COORDINATES keys; those of no other document come before the shared ones.
@@ -156,16 +158,21 @@ def _posted(single: DataFrame) -> DataFrame:
     prefix = materialise(prefix)
     posted = materialise(prefix.join(prefix.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"))
     posted = posted.join(posted.groupBy("doc_id").agg(F.sum("members").alias("met")), "doc_id")
-    hubs = posted.groupBy("key").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("least")))["least"]).alias("hub"))
+    hubs = posted.groupBy("key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("of")).select("key", (-F.col("of.least")).alias("hub"), "of.met")
     return materialise(posted.drop("met").join(hubs, "key"))
 
 
-def _left_over(posted: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, doc_id, matches, members) that share merged lists, lie in different components and can be similar enough."""
+def _in_components(posted: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (key, members, doc_id, n_shingles, hub, component, of_hub) of the lists that lie in several components, without their hubs."""
     components = connected_components(links).withColumnRenamed("node", "doc_id")
-    rows = posted.where("members > 2").join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = posted.drop("met").join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("of_hub")).where("lo < hi").select("key", "of_hub")
-    rows = materialise(rows.join(split, "key").where("doc_id <> hub"))
+    return materialise(rows.join(split, "key").where("doc_id <> hub"))
+
+
+def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, doc_id, matches, members) that share merged lists, lie in different components and can be similar enough."""
+    rows = rows.where("members > 2")
     sizes = _sizes(F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
 
     short = rows.where(F.col("members") <= LIST)
@@ -224,9 +231,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     single = materialise(filled.join(least, ["set_name", "doc_id"], "left_semi").dropDuplicates(["set_name", "doc_id"]).select("doc_id", "n_shingles", "keys"))
     posted = _posted(single)
     sets = _sets(docs, posted.select("doc_id"), shingle)
-    first = posted.where("doc_id <> hub").select("hub", "doc_id", F.lit(1).alias("matches"), "members")
-    links = _links(_retained(first, single), sets, percent)
-    links = links.unionAll(_links(_retained(_left_over(posted, links, sets, percent), single), sets, percent))
+    confirmed = lambda pairs: _links(_retained(pairs, single), sets, percent)
+    matches = posted.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("matches"), F.max("members").alias("members"), F.first("met").alias("met"))
+    best = matches.groupBy("doc_id").agg(F.max(F.struct("matches", "met", (-F.col("hub")).alias("hub"), "members")).alias("b"))
+    links = confirmed(best.select((-F.col("b.hub")).alias("hub"), "doc_id", "b.matches", "b.members"))
+    rows = _in_components(posted, links)
+    links = links.unionAll(confirmed(rows.where("component <> of_hub").select("hub", "doc_id", F.lit(1).alias("matches"), "members")))
+    links = links.unionAll(confirmed(_left_over(_in_components(posted, links), sets, percent)))
 
     found = connected_components(links).withColumnRenamed("node", "least")
     of_set = least.select("set_name", F.col("doc_id").alias("least")).join(found, "least", "left").select("set_name", F.coalesce("component", "least").alias("component_id"))
