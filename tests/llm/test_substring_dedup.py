@@ -86,3 +86,27 @@ def test_covered_words_need_an_earlier_reference():
     words = b"a b c d e f"
     assert covered_words([(1, 0, words)], [(2, 5, words)], 3) == [(2, 5, 11)]
     assert covered_words([(2, 0, words)], [(1, 5, words)], 3) == []
+
+
+def test_hot_passage_in_slices(make_docs, monkeypatch):
+    """A passage of many documents is dealt over slices of its shard, and shards are many."""
+    from tidemark.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 50)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(45)]
+    docs = []
+    for i in range(150):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 50))]
+        a = rng.randint(0, 20)
+        docs.append((i, " ".join([*own, *passage[a : a + rng.randint(15, 45)], *own[:25]])))
+    assert got(make_docs(docs)) == brute(docs)
+
+
+def test_without_broadcasts(make_docs, documents, monkeypatch):
+    from tidemark.llm import _arrow
+
+    monkeypatch.setattr(_arrow, "BROADCAST_ROWS", -1)
+    docs = [(r.doc_id, r.text) for r in documents.collect()]
+    assert got(documents) == brute(docs)

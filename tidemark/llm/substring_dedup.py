@@ -1,18 +1,24 @@
 """Substring deduplication by suffix automata of reference shards.
 
 Of every run of ``WINDOW`` words that the corpus holds more than once only the first
-occurrence stays.  References are the regions where repeated windows occur first;
-they are dealt into shards, each shard becomes a suffix automaton over words, and
-the later occurrences are streamed through it for matching statistics.  What the
-automaton confirms word for word as an earlier occurrence is removed.
+occurrence stays.  References are the regions where repeated windows occur first.
+They are dealt into shards of bounded size, each shard becomes a suffix automaton over
+words, copied to every task that streams documents through it, and the matching
+statistics find the spans: maximal runs of words in matches of ``WINDOW`` words or more
+whose first end in the references lies earlier than the place read.
 
 An automaton of a whole corpus fits nowhere, and streaming every document through
-every shard would be quadratic.  So hashes decide only who meets whom:
+every shard would be quadratic.  So hashes prune what can't match, and nothing else:
 
 1. equal texts: all but the one of least id are later occurrences as a whole;
 2. anchors (the least 10-word hash of each window) that occur once are dropped;
-3. windows of the remaining anchors find their first occurrence by hash;
-4. runs of such windows are cut out of the texts and meet their reference's shard.
+3. windows of the remaining anchors name the references and the shards that a document
+   has to be streamed through;
+4. of a document the stretches around such windows are streamed, a window more on
+   either side; where spans begin and end only the automaton says.
+
+The stretches of a shard are dealt into slices of bounded size, each a task with the
+shard's automaton, so a passage that many documents share is no large task.
 
 A batch of documents sends an anchor or a window once, however often it holds it, and
 settles its own repetitions against its own first occurrence; so a passage that a
@@ -21,7 +27,7 @@ third of all documents share is a few entries a batch.
 Defined results: words are maximal runs of bytes but white space; a null text has no
 words; texts of fewer words than a window lose nothing; rows with the same id are
 one place, so equal ones don't remove each other; rows without an id come last; an
-empty table gives an empty result.
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches, broadcast_if_small, releasing
+from ._arrow import bounded_batches, broadcast_if_small, materialise, releasing
 from ._words import Words, window_hashes, words_of
 
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text for each bucket of hashes and each shard, about; the bound of a task's memory.
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 32
+#: Words of references in a shard, and bytes of stretches in a slice, about.
+SHARD_WORDS, SLICE_BYTES = 500_000, 8 << 20
 
 _LAST = (1 << 63) - 1
 _U = np.uint64
@@ -228,18 +236,20 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, window: int, anchor: int,
             yield _table(_as_runs(rows) + _sent(keys[firsts], ids[firsts], places[firsts], buckets))
 
     met = docs.join(repeated, "doc_id").select("doc_id", "text", "found")
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, later = [], []
+            own, later, words = [], [], []
             for found in batch.column(1).to_pylist():
                 load = lambda kind, name, of, found=found: np.frombuffer(b"".join(x[name] for x in found if x["kind"] == kind), of).astype(np.int64)
                 own.append(load(_REFERENCE_RUNS, "places", np.int64).tobytes() + reference_runs(load(_REFERENCE, "places", np.uint32)))
+                words.append(sum(b + window - 1 - a for a, b in merged(np.frombuffer(own[-1], np.int64).reshape(-1, 2))))
                 later.append(load(_LATER_RUNS, "places", np.int64).tobytes() + later_runs(load(_LATER, "places", np.uint32), load(_LATER, "ref_ids", np.int64), load(_LATER, "ref_places", np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(later, pa.binary())], names=["doc_id", "own", "later"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(later, pa.binary()), pa.array(words, pa.int64())], names=["doc_id", "own", "later", "words"])
 
     found = met.mapInArrow(releasing(windows), ENTRIES).groupBy("bucket").applyInArrow(_resolve(buckets, True), ENTRIES)
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places", "ref_ids", "ref_places")).alias("found"))
-    return found.mapInArrow(releasing(runs), "doc_id long, own binary, later binary")
+    return found.mapInArrow(releasing(runs), "doc_id long, own binary, later binary, words long")
 
 
 def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
@@ -269,7 +279,7 @@ REGIONS = "shard int, kind int, doc_id long, place long, words binary"
 
 
 def _regions(docs: DataFrame, occurrences: DataFrame, window: int, shards: int) -> DataFrame:
-    """Regions of text for the shards: references, and later occurrences of them."""
+    """Regions of text for the shards: references, and stretches of documents around windows that a shard's references hold."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,8 +288,12 @@ def _regions(docs: DataFrame, occurrences: DataFrame, window: int, shards: int)
                 words = text.encode("utf-8", "surrogatepass").split()
                 for a, b in merged(np.frombuffer(own, np.int64).reshape(-1, 2)):
                     rows.append((doc % shards, _REFERENCE, doc, a, b" ".join(words[a : b + window - 1])))
-                for a, b, ref, _ in np.frombuffer(later, np.int64).reshape(-1, 4).tolist():
-                    rows.append((ref % shards, _LATER, doc, a, b" ".join(words[a : b + window - 1])))
+                runs = np.frombuffer(later, np.int64).reshape(-1, 4)
+                shard = runs[:, 2] % shards
+                for k in np.unique(shard).tolist():
+                    near = runs[shard == k, :2] + np.array([-window, 2 * window - 1])
+                    for a, b in merged(np.clip(near, 0, len(words))):
+                        rows.append((k, _LATER, doc, a, b" ".join(words[a:b])))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "kind", "doc_id", "place", "words"])
 
@@ -338,7 +352,7 @@ class SuffixAutomaton:
 
 
 def covered_words(references: list[tuple[int, int, bytes]], later: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
-    """(doc, from, to): words of the later regions in windows that a reference holds earlier.
+    """(doc, from, to): words of the stretches in windows that a reference holds earlier.
 
     Regions are (doc, place of the first word, words joined by a space).
     """
@@ -366,6 +380,8 @@ def covered_words(references: list[tuple[int, int, bytes]], later: list[tuple[in
 
 
 def _spans(regions: DataFrame, window: int) -> DataFrame:
+    """Rows (doc_id, start, stop): what the automata find in the stretches."""
+
     def matched(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_pylist()
         rows = list(zip(table["doc_id"].to_pylist(), table["place"].to_pylist(), table["words"].to_pylist(), strict=True))
@@ -373,7 +389,13 @@ def _spans(regions: DataFrame, window: int) -> DataFrame:
         columns = list(zip(*found, strict=True)) if found else [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "stop"])
 
-    return regions.groupBy("shard").applyInArrow(matched, "doc_id long, start long, stop long")
+    regions = materialise(regions)
+    slices = F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("words").cast("long")) / SLICE_BYTES)).cast("int")
+    load = broadcast_if_small(regions.where(F.col("kind") == _LATER).groupBy("shard").agg(slices.alias("slices")))
+    regions = regions.join(load, "shard")  # a shard without stretches has nothing to find
+    stretches = regions.where(F.col("kind") == _LATER).withColumn("slice", F.pmod(F.xxhash64("doc_id", "place"), F.col("slices")).cast("int"))
+    references = regions.where(F.col("kind") == _REFERENCE).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return stretches.unionByName(references).groupBy("shard", "slice").applyInArrow(matched, "doc_id long, start long, stop long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,12 +408,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    equal = docs.groupBy(F.md5("text").alias("name")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
-    named = docs.join(broadcast_if_small(equal), F.md5("text") == F.col("name"), "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"))
+    # Copies are found by name and id alone, so texts never meet by a name that many rows share.
+    named = materialise(docs.select("doc_id", F.md5("text").alias("name")))
+    equal = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
+    copies = named.join(equal, "name").where("doc_id > least").select("doc_id", "name", F.lit(True).alias("copy")).distinct()
+    named = docs.withColumn("name", F.md5("text")).join(broadcast_if_small(copies), ["doc_id", "name"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
     single = named.where("not copy").select("doc_id", "text")
     repeated = broadcast_if_small(_entries(single, window, anchor, buckets), "octet_length(found)")
     occurrences = broadcast_if_small(_occurrences(single, repeated, window, anchor, buckets), "octet_length(own) + octet_length(later)")
-    spans = _spans(_regions(single, occurrences, window, buckets), window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    words = occurrences.agg(F.sum("words")).head()[0] or 0
+    shards = max(LEAST_BUCKETS, -(-words // SHARD_WORDS))
+    spans = _spans(_regions(single, occurrences, window, shards), window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
