@@ -2,7 +2,7 @@ import zlib
 
 import pytest
 
-from tidemark.llm.language_id import KneserNey, SortedHashes, held_out, identify, train
+from tidemark.llm.language_id import KneserNey, SortedHashes, held_out, identify, symbols_of, train
 from tidemark.llm.queries import op1_language_id
 
 
@@ -25,21 +25,111 @@ def model():
     return model
 
 
+def logs_of(model, text):
+    """Log-probabilities of a text's symbols, a row each."""
+    s = symbols_of([text], model.table())
+    return model.log_probability(s.hashes(0, len(s.weight), model.order)).astype(float)
+
+
 def test_probabilities_sum_to_one(model):
     import numpy as np
 
-    letters = np.arange(model.alphabet, dtype=np.uint64)
-    for context in ("", "t", "th", "the ", "qzzx"):
-        codes = [0 if c == " " else 2 + model.letters.index(c) if c in model.letters else 1 for c in context]
-        for order in range(1, 6):
-            own = codes[-(order - 1) :] if order > 1 else []
-            if len(own) < order - 1:
-                continue
-            code = np.zeros(len(letters), np.uint64)
-            for c in own:
-                code = (code | np.uint64(c)) << np.uint64(12)
-            total = np.exp(model.log_probability(code | letters, order).astype(float)).sum(axis=0)
-            assert total == pytest.approx([1, 1], abs=1e-4), (context, order)
+    for context in ("a", "t", "th", "the d", "qzzx", "the dog r"):
+        # Every letter, one never seen, and what isn't a letter.
+        total = sum(np.exp(logs_of(model, context + c)[-1]) for c in [*model.letters, "щ", "."])
+        assert total == pytest.approx([1, 1], abs=1e-4), context
+
+
+def plain_kneser_ney(texts, order, alphabet):
+    """log P(symbol | symbols before) by recursion over dictionaries; texts are lists of symbols, None stands before them."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    grams = {order: Counter()}
+    for t in texts:
+        padded = [0] * (order - 1) + t
+        grams[order].update(tuple(padded[i : i + order]) for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    sums, kinds = {}, {}
+    for k, own in grams.items():
+        sums[k], kinds[k] = defaultdict(int), defaultdict(int)
+        for g, n in own.items():
+            sums[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+    discounts = {}
+    for k, own in grams.items():
+        ones, twos = sum(n == 1 for n in own.values()), sum(n == 2 for n in own.values())
+        discounts[k] = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.95)
+
+    def p(gram):
+        k = len(gram)
+        lower = p(gram[1:]) if k > 1 else 1 / alphabet
+        total = sums[k].get(gram[:-1], 0)
+        if not total:
+            return lower
+        return max(grams[k][gram] - discounts[k], 0) / total + discounts[k] * kinds[k][gram[:-1]] / total * lower
+
+    return lambda symbols: [log(p(tuple(([0] * (order - 1) + symbols[: i + 1])[-order:]))) for i in range(len(symbols))]
+
+
+def as_symbols(text, letters):
+    import re
+
+    return [0 if not c.isalpha() else c if c in letters else "unseen" for c in re.sub(r"[^\w]+|_+", " ", text.lower()).lstrip()]
+
+
+def test_against_plain_kneser_ney():
+    import random
+
+    rng = random.Random(4)
+    texts = [["".join(rng.choice(letters + "  ") for _ in range(rng.randint(1, 60))) for _ in range(25)] for letters in ("abcde", "cdefg한글", "aeiouxyz")]
+    model = KneserNey(["a", "b", "c"], texts)
+    assert len(model.models) == 1
+    for lang, own in enumerate(texts):
+        want = plain_kneser_ney([as_symbols(t, model.letters) for t in own], 5, model.alphabet)
+        for probe in ["abc cde", "xyz한글 q", *own[:5], "aeiou" * 8]:
+            assert logs_of(model, probe)[:, lang] == pytest.approx(want(as_symbols(probe, model.letters)), abs=1e-4)
+
+
+def test_groups_of_languages_don_t_change_the_models(monkeypatch):
+    import numpy as np
+
+    from tidemark.llm import language_id
+
+    texts = [["the cat sat"], ["der hund lief"], ["le chat dort"]]
+    together = logs_of(KneserNey(list("abc"), texts), "the hund dort")
+    monkeypatch.setattr(language_id, "TOGETHER", 1)
+    assert np.allclose(logs_of(KneserNey(list("abc"), texts), "the hund dort"), together, atol=1e-6)
+
+
+def test_large_alphabets(make_docs):
+    """Over 5,000 letters: Korean after Chinese isn't one unseen symbol."""
+    import random
+
+    rng = random.Random(9)
+    han, hangul = [chr(0x4E00 + i) for i in range(5000)], [chr(0xAC00 + i) for i in range(900)]
+    texts = ["".join(rng.choice(own[: len(own) * 4 // 5] if i % 9 else own) for _ in range(600)) for i, own in enumerate([han, hangul] * 40)]
+    model = KneserNey(["ko", "zh"], [texts[1::2], texts[::2]])
+    assert set(model.letters) == set("".join(texts)) and len(model.letters) > 5000
+    rows = identify(make_docs(["".join(rng.choices(hangul, k=50)), "".join(rng.choices(han, k=50))]), model).collect()
+    assert [r.lang_pred for r in sorted(rows, key=lambda r: r.doc_id)] == ["ko", "zh"]
+
+
+def test_a_language_of_long_texts_only_is_learned(make_docs):
+    from pyspark.sql import functions as F
+
+    docs = make_docs([("the cat sat on the mat " if i % 2 else "der hund lief im garten ") * (3000 if i % 2 else 3) for i in range(60)])
+    model = train(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de")))
+    assert model.languages == ["de", "en"]
+
+
+def test_more_than_a_thousand_languages(spark):
+    docs = spark.createDataFrame([(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i // 2)} " * 4, f"l{i:04d}") for i in range(1001)], "doc_id long, text string, lang string")
+    model = train(docs)
+    assert len(model.languages) == 1001
+    rows = {r.doc_id: r.lang_pred for r in identify(docs.where("doc_id % 100 = 0"), model).collect()}
+    assert all(rows[i] == f"l{i:04d}" for i in rows)
 
 
 def test_odd_texts(make_docs, odd, model):

@@ -2,17 +2,20 @@
 
 One character model per language, trained here on a bounded sample of labelled
 documents and stored as sorted hash arrays: for each order, the sorted hashes of
-all n-grams seen in any language with one row of log-probabilities (a column per
-language), and the sorted hashes of contexts with their back-off weights.  A text
-gets the language of lowest length-normalised cross-entropy.  Rejection is
+n-grams with their log-probabilities, and the sorted hashes of contexts with their
+back-off weights.  Up to ``TOGETHER`` languages share an array, with a column each,
+so one search serves them all; arrays grow in proportion to the languages.  Hashes
+are polynomials over a random weight for each letter, so the alphabet has no bound.
+A text gets the language of lowest length-normalised cross-entropy.  Rejection is
 calibrated on a part of the sample: a text is rejected if its cross-entropy,
 standardised for its length, lies well over the largest of its language there, and
 is also nearer to what texts of other languages have under the same model.
 
 Defined results: a null text or one without any letter is ``und`` with score 0 and
-is rejected; rows with null ids or labels are never learned from; without any
-labelled row every text is ``und``; columns beyond those named are ignored by the
-prediction; repeated rows are predicted each for itself.
+is rejected; rows with null ids or labels are never learned from; of a long labelled
+text a slice is learned from; without any labelled row every text is ``und``; columns
+beyond those named are ignored by the prediction; repeated rows are predicted each for
+itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,18 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches, releasing
+from ._arrow import bounded_batches, broadcast_if_small, releasing
 from ._words import mix64
 
 UNDETERMINED = "und"
 ORDER = 5
-#: The bound of the training sample: so many documents of at most so many characters a language.
+#: The bound of the training sample: so many documents a language, and so many characters of each (a slice of a longer one).
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 20_000
-#: Symbols are 12 bits: 0 for anything but letters, 1 for letters not seen in training.
-SYMBOL_BITS = 12
-#: Training refuses more languages than this, so what it collects and broadcasts is bounded.
-MOST_LANGUAGES = 1000
+SAMPLE_CHARS = 4_000
+#: Languages that share their arrays.
+TOGETHER = 8
 #: Symbols scored at once, and characters of texts turned into symbols at once (a longer text is taken alone).
 SLICE, BLOCK = 1 << 18, 1 << 20
 #: How far over the calibration part's largest standardised cross-entropy a text may lie.
@@ -46,6 +47,11 @@ REJECT_MARGIN = 1.25
 LEAST_CALIBRATION = 20
 
 _U = np.uint64
+#: Base of the hashes of n-grams, odd, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = _U(pow(_BASE, -1, 1 << 64))
+#: The weight of letters not seen in training; non-letters and what comes before a text have weight 0.
+_UNSEEN = mix64(np.array([1 << 32], _U))[0]
 
 
 @lru_cache(1)
@@ -57,99 +63,94 @@ def _letters() -> np.ndarray:
 class Symbols:
     """The symbols of some texts, one after another; runs of non-letters are one 0."""
 
-    value: np.ndarray  # uint16
+    weight: np.ndarray  # uint64
     position: np.ndarray  # within its text
     first: np.ndarray  # of each text, and the end
 
+    def hashes(self, start: int, stop: int, order: int) -> list[np.ndarray]:
+        """For each order the hashes of the n-grams that end at symbols start..stop; before a text's start all is 0."""
+        out, power = [self.weight[start:stop]], 1
+        with np.errstate(over="ignore"):
+            for back in range(1, order):
+                power = power * _BASE % (1 << 64)
+                before = np.zeros(stop - start, _U)
+                lo = max(start - back, 0)
+                before[lo + back - start :] = self.weight[lo : max(lo, stop - back)]
+                before[self.position[start:stop] < back] = 0
+                out.append(out[-1] + before * _U(power))
+        return out
+
 
 def symbols_of(texts: list[str], table: np.ndarray) -> Symbols:
     lowered = [t.lower() for t in texts]
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in lowered], out=bounds[1:])
-    value = table[points]
-    keep = value > 0
-    keep[1:] |= value[:-1] > 0
-    starts = bounds[:-1][bounds[:-1] < len(value)]
-    keep[starts] = value[starts] > 0
-    total = np.zeros(len(value) + 1, np.int64)
+    weight = table[points]
+    keep = weight > 0
+    keep[1:] |= weight[:-1] > 0
+    starts = bounds[:-1][bounds[:-1] < len(weight)]
+    keep[starts] = weight[starts] > 0
+    total = np.zeros(len(weight) + 1, np.int64)
     np.cumsum(keep, out=total[1:])
     first = total[bounds]
-    value = value[keep]
-    return Symbols(value, np.arange(len(value)) - np.repeat(first[:-1], np.diff(first)), first)
+    weight = weight[keep]
+    return Symbols(weight, np.arange(len(weight)) - np.repeat(first[:-1], np.diff(first)), first)
 
 
-def grams(s: Symbols, start: int, stop: int, order: int) -> np.ndarray:
-    """Codes of the n-grams that end at symbols start..stop; before a text's start all is 0."""
-    code = s.value[start:stop].astype(_U)
-    for back in range(1, order):
-        before = np.zeros(stop - start, _U)
-        lo = max(start - back, 0)
-        before[lo + back - start :] = s.value[lo : stop - back]
-        before[s.position[start:stop] < back] = 0
-        code |= before << _U(SYMBOL_BITS * back)
-    return code
+def contexts_of(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hashes of n-grams without their last symbols, given by weight."""
+    with np.errstate(over="ignore"):
+        return (hashes - last) * _INVERSE
 
 
 @dataclass
 class SortedHashes:
-    """Rows of float32 by the hash of a code."""
+    """Rows of float32 by hash."""
 
     hashes: np.ndarray
     rows: np.ndarray
 
     @classmethod
-    def of(cls, codes: np.ndarray, rows: np.ndarray) -> SortedHashes:
-        hashes = mix64(codes)
+    def of(cls, hashes: np.ndarray, rows: np.ndarray) -> SortedHashes:
         order = np.argsort(hashes)
         return cls(hashes[order], rows[order].astype(np.float32))
 
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, found?) of codes."""
-        hashes = mix64(codes)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, found?) of hashes."""
         at = np.searchsorted(self.hashes, hashes)
         at[at == len(self.hashes)] = 0
-        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(codes), bool)
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
 
-class KneserNey:
-    """Character models of several languages."""
+class Models:
+    """Interpolated Kneser-Ney models of a few languages in shared arrays."""
 
-    def __init__(self, languages: list[str], texts: list[list[str]], order: int = ORDER):
-        self.languages, self.order = languages, order
-        letters = sorted({c for own in texts for t in own for c in t.lower() if c.isalpha()})[: (1 << SYMBOL_BITS) - 2]
-        self.letters = "".join(letters)
-        self.alphabet = len(letters) + 2
+    def __init__(self, texts: list[list[str]], order: int, alphabet: int, table: np.ndarray):
+        self.languages, self.alphabet, top = len(texts), alphabet, order
         self.probabilities: list[SortedHashes] = []
         self.backoffs: list[SortedHashes] = []
-        self._fit(texts)
-        self.spread, self.scale, self.limit = [(0.0, 1.0, 1.0)] * len(languages), 8.0, float("inf")
-        self.halfway = [float("inf")] * len(languages)
-
-    def table(self) -> np.ndarray:
-        out = _letters().astype(np.uint16)
-        out[[ord(c) for c in self.letters]] = np.arange(2, 2 + len(self.letters))
-        return out
-
-    def _fit(self, texts: list[list[str]]) -> None:
-        table, top = self.table(), self.order
-        counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        #: By order, for each language: n-gram hashes, their last symbols, their hashes without the first symbol, counts.
+        counts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(top)]
         for own in texts:
             s = symbols_of(own, table)
-            codes, n = np.unique(grams(s, 0, len(s.value), top), return_counts=True)
-            each = {top: (codes, n)}
-            for k in range(top - 1, 0, -1):  # continuation counts: distinct symbols before an n-gram
-                each[k] = np.unique(each[k + 1][0] & _U((1 << SYMBOL_BITS * k) - 1), return_counts=True)
-            counts.append([each[k] for k in range(1, top + 1)])
-        uniform = 1.0 / self.alphabet
-        for k in range(1, top + 1):
-            seen = np.unique(np.concatenate([c[k - 1][0] for c in counts])) if counts else np.zeros(0, _U)
-            contexts = np.unique(seen >> _U(SYMBOL_BITS))
-            lower = np.full((len(seen), len(counts)), uniform) if k == 1 else self._probability(seen & _U((1 << SYMBOL_BITS * (k - 1)) - 1), k - 1)
-            p, backoff = np.zeros((len(seen), len(counts))), np.ones((len(contexts), len(counts)))
-            in_context = np.searchsorted(contexts, seen >> _U(SYMBOL_BITS))
-            for lang, own in enumerate(counts):
-                codes, n = own[k - 1]
+            hashes = s.hashes(0, len(s.weight), top)
+            at = np.arange(len(s.weight))
+            for k in range(top, 0, -1):
+                # Below the top continuation counts: distinct symbols before an n-gram.
+                found, first, n = np.unique(hashes[k - 1][at], return_index=True, return_counts=True)
+                at = at[first]
+                counts[k - 1].append((found, s.weight[at], hashes[k - 2][at] if k > 1 else found, n))
+        for k, each in enumerate(counts, 1):
+            seen, first = np.unique(np.concatenate([c[0] for c in each]), return_index=True)
+            own_contexts = contexts_of(seen, np.concatenate([c[1] for c in each])[first])
+            contexts, in_context = np.unique(own_contexts, return_inverse=True)
+            lower = np.full((len(seen), len(each)), 1.0 / alphabet)
+            if k > 1:
+                at, _ = self.probabilities[-1].find(np.concatenate([c[2] for c in each])[first])
+                lower = np.exp(self.probabilities[-1].rows[at].astype(np.float64))
+            p, backoff = np.zeros((len(seen), len(each))), np.ones((len(contexts), len(each)))
+            for lang, (codes, _, _, n) in enumerate(each):
                 discount = (once := float((n == 1).sum())) / max(1.0, once + 2.0 * float((n == 2).sum()))
                 discount = min(max(discount, 0.1), 0.95)
                 mine, sums, kinds = np.zeros(len(seen)), np.zeros(len(contexts)), np.zeros(len(contexts))
@@ -161,41 +162,60 @@ class KneserNey:
             self.probabilities.append(SortedHashes.of(seen, np.log(p)))
             self.backoffs.append(SortedHashes.of(contexts, np.log(backoff)))
 
-    def _probability(self, codes: np.ndarray, k: int) -> np.ndarray:
-        return np.exp(self.log_probability(codes, k)).astype(np.float64)
-
-    def log_probability(self, codes: np.ndarray, k: int) -> np.ndarray:
+    def log_probability(self, hashes: list[np.ndarray], k: int, at: np.ndarray | None = None) -> np.ndarray:
         """A row for each k-gram: its log-probability in each language."""
-        at, found = self.probabilities[k - 1].find(codes)
+        chosen = hashes[k - 1] if at is None else hashes[k - 1][at]
+        place, found = self.probabilities[k - 1].find(chosen)
         rows = self.probabilities[k - 1].rows
-        out = rows[at] if len(rows) else np.zeros((len(codes), len(self.languages)), np.float32)
+        out = rows[place] if len(rows) else np.zeros((len(chosen), self.languages), np.float32)
         missing = np.flatnonzero(~found)
         if len(missing):
-            rest = codes[missing]
-            if k == 1:
-                lower = np.full((len(rest), len(self.languages)), -np.log(self.alphabet), np.float32)
-            else:
-                lower = self.log_probability(rest & _U((1 << SYMBOL_BITS * (k - 1)) - 1), k - 1)
-            there, known = self.backoffs[k - 1].find(rest >> _U(SYMBOL_BITS))
+            rest = missing if at is None else at[missing]
+            lower = np.full((len(rest), self.languages), -np.log(self.alphabet), np.float32) if k == 1 else self.log_probability(hashes, k - 1, rest)
+            there, known = self.backoffs[k - 1].find(contexts_of(hashes[k - 1][rest], hashes[0][rest]))
             if len(self.backoffs[k - 1].rows):
                 lower = lower + np.where(known[:, None], self.backoffs[k - 1].rows[there], 0)
             out[missing] = lower
         return out
 
+
+class KneserNey:
+    """Character models of several languages."""
+
+    def __init__(self, languages: list[str], texts: list[list[str]], order: int = ORDER):
+        self.languages, self.order = languages, order
+        self.letters = "".join(sorted({c for own in texts for t in own for c in t.lower() if c.isalpha()}))
+        self.alphabet = len(self.letters) + 2
+        table = self.table()
+        self.models = [Models(texts[i : i + TOGETHER], order, self.alphabet, table) for i in range(0, len(texts), TOGETHER)]
+        self.spread, self.scale, self.limit = [(0.0, 1.0, 1.0)] * len(languages), 8.0, float("inf")
+        self.halfway = [float("inf")] * len(languages)
+
+    def table(self) -> np.ndarray:
+        """The weight of each code point."""
+        out = np.where(_letters(), _UNSEEN, _U(0))
+        points = np.array([ord(c) for c in self.letters], np.int64)
+        out[points] = mix64(points.astype(_U) + _U(1))
+        return out
+
+    def log_probability(self, hashes: list[np.ndarray]) -> np.ndarray:
+        """A row for each symbol: its log-probability in each language after the symbols before it."""
+        return np.concatenate([m.log_probability(hashes, self.order) for m in self.models], axis=1)
+
     def cross_entropies(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, a row of cross-entropies by language) of each text; 0 symbols if it has no letter."""
         s = symbols_of(texts, table)
         total = np.zeros((len(texts), len(self.languages)))
-        for start in range(0, len(s.value), SLICE):
-            stop = min(start + SLICE, len(s.value))
-            logs = self.log_probability(grams(s, start, stop, self.order), self.order)
+        for start in range(0, len(s.weight), SLICE):
+            stop = min(start + SLICE, len(s.weight))
+            logs = self.log_probability(s.hashes(start, stop, self.order))
             lo, hi = np.searchsorted(s.first, start, "right") - 1, np.searchsorted(s.first, stop, "left")
             edges = np.clip(s.first[lo:hi], start, stop) - start
             own = np.flatnonzero(np.diff(np.append(edges, stop - start)) > 0)
-            total[lo + own] += np.add.reduceat(logs.astype(np.float64), edges[own], axis=0)
+            total[lo + own] += np.add.reduceat(logs, edges[own], axis=0, dtype=np.float64)
         n = np.diff(s.first)
-        lettered = np.zeros(len(s.value) + 1, np.int64)
-        np.cumsum(s.value > 0, out=lettered[1:])
+        lettered = np.zeros(len(s.weight) + 1, np.int64)
+        np.cumsum(s.weight > 0, out=lettered[1:])
         n = np.where(np.diff(lettered[s.first]) > 0, n, 0)
         return n, -total / np.maximum(n, 1)[:, None]
 
@@ -258,17 +278,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
-    """Fit and calibrate on a sample of at most ``sample_docs`` rows of at most ``sample_chars`` characters a language.
+    """Fit and calibrate on a sample of at most ``sample_docs`` rows a language, and ``sample_chars`` neighbouring characters of each.
 
     Rows are taken by the least hash of their ids; three in four fit the models, the rest calibrates.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.abs(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))).alias("at"))
-    there = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(there) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    there = rows.groupBy("lang").count().collect()  # a row a language
     # A share by language that keeps a fifth more rows than asked for, so that a hot language isn't sorted whole.
     share = [(r["lang"], float(1 << 63) * min(1.0, (1.2 * sample_docs + 40) / r["count"])) for r in there]
-    taken = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(share, "lang string, below double")), "lang").where((F.col("at") <= F.col("below")) & (F.length("text") <= sample_chars)).select("lang", "at", "text").collect()
+    shares = broadcast_if_small(labelled.sparkSession.createDataFrame(share, "lang string, below double"))
+    begin = F.pmod("at", F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1
+    taken = rows.join(shares, "lang").where(F.col("at") <= F.col("below")).select("lang", "at", F.substring(F.col("text"), begin.cast("int"), F.lit(sample_chars)).alias("text")).collect()
     by: dict[str, list] = {}
     for row in sorted(taken, key=lambda r: (r["lang"], r["at"], r["text"])):
         if len(own := by.setdefault(row["lang"], [])) < sample_docs:
