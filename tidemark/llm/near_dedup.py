@@ -10,7 +10,7 @@ first; two documents that collide ``MATCHES`` times share a list among the first
 ``COORDINATES - MATCHES + 1`` of each, so only these are merged, and the ``MATCHES - 1``
 longest lists of each document are skipped.  Documents with fewer than ``MATCHES`` shared
 pairs are out.  Pairs that the merged lists don't settle look the skipped coordinates up
-in both signatures.
+in both signatures before their sets are compared.
 
 No pairs are listed within a group of copies.  Equal sets are one representative.  The
 hub of a merged list is the document that meets the most others over all its lists (the
@@ -50,7 +50,7 @@ from ._words import gram_hashes, mix64, words_of
 SHINGLE = 5
 PERCENT = 80
 #: Coordinates of a signature, and collisions from which a pair is confirmed: one of similarity 0.8 has fewer with probability 1e-9.
-COORDINATES, MATCHES = 64, 30
+COORDINATES, MATCHES = 40, 15
 LIST, RARE = 32, 16
 
 _U = np.uint64
@@ -90,52 +90,49 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, shingles): the sets of some documents, packed."""
+    """Rows (doc_id, packed): the signatures and, after them, the sets of some documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], names=["doc_id", "shingles"])
+            packed = [signature(s).tobytes() + s.tobytes() for s in shingle_sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-    found = docs.join(broadcast_if_small(ids.distinct()), "doc_id", "left_semi").mapInArrow(releasing(sets), "doc_id long, shingles binary")
+    found = docs.join(broadcast_if_small(ids.distinct()), "doc_id", "left_semi").mapInArrow(releasing(sets), "doc_id long, packed binary")
     return materialise(found.dropDuplicates(["doc_id"]))
 
 
-def _beside(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """Pairs (hub, doc_id, members, …) with a value of both beside them, as hub_name and name.
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (hub, doc_id, members, …) with what is packed of both beside them, as x and y.
 
     A hub of many members is sent in several parts, about the root of their number, so that no task has all of its pairs.
     """
     parts = pairs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.sqrt("members") / 8)))
-    # Merge joins, so that the values and what comes of them are made in stages, and workers, of their own.
-    hubs = parts.select("hub", "part").distinct().join(values.select(F.col("doc_id").alias("hub"), F.col(name).alias(f"hub_{name}")).hint("merge"), "hub")
-    return parts.join(hubs.hint("merge"), ["hub", "part"]).drop("part").join(values.select("doc_id", name).hint("merge"), "doc_id")
+    # Merge joins, so that the sets and what comes of them are made in stages, and workers, of their own.
+    hubs = parts.select("hub", "part").distinct().join(sets.select(F.col("doc_id").alias("hub"), F.col("packed").alias("x")).hint("merge"), "hub")
+    return parts.join(hubs.hint("merge"), ["hub", "part"]).drop("part").join(sets.select("doc_id", F.col("packed").alias("y")).hint("merge"), "doc_id")
 
 
-def _retained(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (hub, doc_id, members) of enough collisions; ``matches`` counts those of the merged lists."""
-    pairs = materialise(pairs.groupBy("hub", "doc_id").agg(F.sum("matches").alias("matches"), F.max("members").alias("members")))
-    sides = _beside(pairs.where(F.col("matches") < MATCHES), signed, "keys")
-    collisions = F.size(F.filter(F.zip_with("hub_keys", "keys", lambda x, y: x == y), lambda same: same))
-    found = sides.where(collisions >= MATCHES).unionByName(pairs.where(F.col("matches") >= MATCHES), allowMissingColumns=True)
-    return materialise(found.select("hub", "doc_id", "members"))
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of pairs (hub, doc_id, matches, members): those of enough collisions that are similar enough on their full sets.
 
+    matches counts the collisions in the merged lists; where they aren't enough, the skipped ones are looked up in both signatures.
+    """
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b): pairs that are similar enough on their full sets."""
+    def linked(x: np.ndarray, y: np.ndarray, matches: int) -> bool:
+        if matches < MATCHES and int((x[:COORDINATES] == y[:COORDINATES]).sum()) < MATCHES:
+            return False
+        both = np.concatenate((x[COORDINATES:], y[COORDINATES:]))
+        both.sort(kind="stable")
+        n = int((both[1:] == both[:-1]).sum())
+        return 100 * n >= percent * (len(both) - n)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            similar = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                similar.append(100 * n >= percent * (len(both) - n))
-            similar = pa.array(similar, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(similar), batch.column(1).filter(similar)], names=["a", "b"])
-
-    met = _beside(pairs, sets, "shingles").select("hub", "doc_id", "hub_shingles", "shingles")
+            same = pa.array([linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), m) for x, y, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), batch.column(1).filter(same)], names=["a", "b"])
+
+    pairs = materialise(pairs.groupBy("hub", "doc_id").agg(F.sum("matches").alias("matches"), F.max("members").alias("members")))
+    met = _beside(pairs, sets).select("hub", "doc_id", "x", "y", "matches")
     return materialise(met.mapInArrow(releasing(compared), "a long, b long"))
 
 
@@ -185,11 +182,11 @@ def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.setdiff1d(np.frombuffer(y.as_buffer(), _U), np.frombuffer(x.as_buffer(), _U), assume_unique=True).view(np.int64) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            found = [np.setdiff1d(np.frombuffer(y.as_buffer(), _U)[COORDINATES:], np.frombuffer(x.as_buffer(), _U)[COORDINATES:], assume_unique=True).view(np.int64) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["hub", "doc_id", "others"])
 
-    other = _beside(group.select("hub", "doc_id", "members"), sets, "shingles").select("hub", "doc_id", "hub_shingles", "shingles").mapInArrow(releasing(others), "hub long, doc_id long, others array<long>")
+    other = _beside(group.select("hub", "doc_id", "members"), sets).select("hub", "doc_id", "x", "y").mapInArrow(releasing(others), "hub long, doc_id long, others array<long>")
     other = materialise(other)
     shared = other.select("hub", "doc_id", F.size("others").alias("own"))
     other = materialise(other.repartition("hub", "doc_id").select("hub", "doc_id", F.explode("others").alias("shingle")))
@@ -231,13 +228,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     single = materialise(filled.join(least, ["set_name", "doc_id"], "left_semi").dropDuplicates(["set_name", "doc_id"]).select("doc_id", "n_shingles", "keys"))
     posted = _posted(single)
     sets = _sets(docs, posted.select("doc_id"), shingle)
-    confirmed = lambda pairs: _links(_retained(pairs, single), sets, percent)
     matches = posted.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("matches"), F.max("members").alias("members"), F.first("met").alias("met"))
     best = matches.groupBy("doc_id").agg(F.max(F.struct("matches", "met", (-F.col("hub")).alias("hub"), "members")).alias("b"))
-    links = confirmed(best.select((-F.col("b.hub")).alias("hub"), "doc_id", "b.matches", "b.members"))
+    links = _links(best.select((-F.col("b.hub")).alias("hub"), "doc_id", "b.matches", "b.members"), sets, percent)
     rows = _in_components(posted, links)
-    links = links.unionAll(confirmed(rows.where("component <> of_hub").select("hub", "doc_id", F.lit(1).alias("matches"), "members")))
-    links = links.unionAll(confirmed(_left_over(_in_components(posted, links), sets, percent)))
+    links = links.unionAll(_links(rows.where("component <> of_hub").select("hub", "doc_id", F.lit(1).alias("matches"), "members"), sets, percent))
+    links = links.unionAll(_links(_left_over(_in_components(posted, links), sets, percent), sets, percent))
 
     found = connected_components(links).withColumnRenamed("node", "least")
     of_set = least.select("set_name", F.col("doc_id").alias("least")).join(found, "least", "left").select("set_name", F.coalesce("component", "least").alias("component_id"))
