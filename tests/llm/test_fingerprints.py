@@ -22,18 +22,71 @@ def test_query(spark, documents, sf_dir):
     assert statistics.mean(r.near_edited for r in rows.values()) > 5 * statistics.mean(r.near_next for r in rows.values())
 
 
-def test_neighbours_across_buckets(make_docs, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET", 4)
-    ids = [i * i for i in range(60)] + [None, None]
-    docs = make_docs([(i, f"t{i}{k}") for k, i in enumerate(ids)])
-    rows = with_next(docs, F.col("text")).collect()
-    after = {r.value: r.next_value for r in rows}
-    texts = [f"t{i}{k}" for k, i in sorted(enumerate(ids[:60]), key=lambda x: -x[1])]
-    assert [after[t] for t in texts[:-1]] == texts[1:]
-    unnamed = {"tNone60", "tNone61"}
-    assert after[texts[-1]] in unnamed, "null ids come last"
-    last = (unnamed - {after[texts[-1]]}).pop()
-    assert after[after[texts[-1]]] == last and after[last] == texts[0]
+def plain(docs, kept):
+    """I-Match by dictionaries: {doc: (fingerprint, terms in the lexicon)}; terms that the filter lets in by chance count as it says."""
+    import re
+    import struct
+    from collections import Counter
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hash_of = lambda data, seed=42: signed(xxhash.xxh64_intdigest(data, seed % (1 << 64)))
+    of_longs = lambda values: __import__("functools").reduce(lambda seed, v: hash_of(struct.pack("<q", v), seed), values, 42)
+    words = {d: {hash_of(w.encode()) for w in re.split(r"[^\w]|_", (t or "").lower()) if w} for d, t in docs}
+    counts = Counter(w for own in words.values() for w in own)
+    band = {w for w, n in counts.items() if 2 <= n <= max(2, int(0.2 * len(docs)))}
+    bits = 7 * len(kept)
+    inside = lambda t: all(kept[p // 7] >> p % 7 & 1 for p in (t % bits, hash_of(struct.pack("<q", t)) % bits))
+    assert all(map(inside, band))
+    out = {}
+    for d, text in docs:
+        own = sorted(w for w in words[d] if w in band or inside(w))
+        marks = [of_longs(own) if own else hash_of((text or "").encode())]
+        for seed in range(SEEDS):
+            for b in BITS:
+                chosen = [t for t in own if (t % (1 << 64)) >> (10 * seed) & ((1 << b) - 1) == 0]
+                marks.append(of_longs(chosen) if chosen else None)
+        out[d] = marks
+    return out
+
+
+def test_against_plain_i_match(spark, documents, sf_dir):
+    kept = lexicon(documents)
+    docs = sorted(((r.doc_id, r.text) for r in documents.collect()), reverse=True)
+    edited = {}
+    for i, (doc, text) in enumerate(docs):
+        half = len(text) // 2
+        edited[doc] = text[: len(text) - half] + docs[(i + 1) % len(docs)][1][:half]
+    own = plain(docs, kept)
+    show = lambda marks: ".".join("-" if m is None else f"{m % (1 << 64):016x}" for m in marks)
+
+    def alike(x, y):
+        used = [(a, b) for a, b in zip(x, y, strict=True) if a is not None or b is not None]
+        return sum(a == b for a, b in used) / len(used)
+
+    got = {r.doc_id: r for r in op4_fingerprints(spark, sf_dir).collect()}
+    assert {d: r.fingerprint for d, r in got.items()} == {d: show(m) for d, m in own.items()}
+    for i, (doc, _) in enumerate(docs[:60]):
+        changed = got[doc].edited_fingerprint.split(".")
+        assert got[doc].near_next == alike(own[doc], own[docs[(i + 1) % len(docs)][0]])
+        marks = [None if m == "-" else m for m in changed]
+        assert got[doc].near_edited == alike([None if m == "-" else m for m in show(own[doc]).split(".")], marks)
+
+
+def test_neighbours_across_cells(make_docs, monkeypatch):
+    """Far-off ids, ids without an order of magnitude in common, and more heads than one cell holds."""
+    for cell, ids in ((4, [i * i for i in range(60)]), (8, [*range(400), 2**62, -(2**63), 2**63 - 1]), (8, [2**i for i in range(62)] + [-(2**i) for i in range(62)])):
+        monkeypatch.setattr(fingerprints, "CELL", cell)
+        docs = make_docs([(i, f"t{i}") for i in ids] + [(None, "tNone60"), (None, "tNone61")], clash=True)
+        rows = with_next(docs, lambda text: text).collect()
+        after = {r.value: r.next_value for r in rows}
+        texts = [f"t{i}" for i in sorted(ids, reverse=True)]
+        assert [after[t] for t in texts[:-1]] == texts[1:]
+        unnamed = {"tNone60", "tNone61"}
+        assert after[texts[-1]] in unnamed, "null ids come last"
+        last = (unnamed - {after[texts[-1]]}).pop()
+        assert after[after[texts[-1]]] == last and after[last] == texts[0]
 
 
 def test_odd_texts(make_docs, odd):
@@ -50,7 +103,7 @@ def test_odd_texts(make_docs, odd):
 def test_empty_table(spark, make_docs):
     docs = make_docs([])
     assert not any(lexicon(docs))
-    assert with_next(docs, F.col("text")).collect() == []
+    assert with_next(docs, lambda text: text).collect() == []
 
 
 def test_band(make_docs):

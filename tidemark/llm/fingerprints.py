@@ -17,19 +17,20 @@ Defined results: a null text is an empty one; a text without lexicon terms has i
 own hash in the first place and nothing in the others; equal texts have equal
 fingerprints; repeated rows count once each; the neighbour order breaks ties of ids
 by text and puts null ids last, by a hash of their text; an empty table gives an
-empty result.
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._arrow import broadcast_if_small, materialise
+from ._arrow import broadcast_if_small, column, materialise
 
 #: Bits of the filter for each term of the band.
 BITS_A_TERM = 24
@@ -65,7 +66,7 @@ def _within(term: Column, held: Column, bits: int) -> Column:
 def lexicon(docs: DataFrame, text_col: str = "text", least_documents: int = LEAST_DOCUMENTS, most_share: float = MOST_SHARE) -> bytes:
     """The terms whose document frequency is in the band, as a Bloom filter."""
     # A null in each text counts the documents.
-    found = docs.select(F.explode(F.concat(terms(F.col(text_col)), F.array(F.lit(None).cast("long")))).alias("term"))
+    found = docs.select(F.explode(F.concat(terms(column(text_col)), F.array(F.lit(None).cast("long")))).alias("term"))
     counted = materialise(found.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") >= least_documents) | F.col("term").isNull()))
     documents = (counted.where("term is null").select("n").head() or [0])[0]
     within = counted.where(F.col("term").isNotNull() & (F.col("n") >= least_documents) & (F.col("n") <= max(least_documents, math.floor(most_share * documents))))
@@ -113,26 +114,72 @@ def likeness(x: Column, y: Column) -> Column:
     return same / used
 
 
-#: Ids of one bucket of neighbours, about: the bound of what one task sorts.
-BUCKET = 4096
+#: Ids of one cell of neighbours, about: the bound of what one task sorts.
+CELL = 4096
 
 
-def with_next(docs: DataFrame, value: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, value, next_value): the value of the next row in descending order of ids; after the last comes the first.
+def _come(key: Column, lo: Column) -> Column:
+    """How far a key lies over another one."""
+    return (key.cast("decimal(20,0)") - lo.cast("decimal(20,0)")).cast("double")
 
-    Buckets of neighbouring ids are sorted each for itself.  Only their ends meet the
-    next bucket's first row, found through a table BUCKET times smaller than the input.
+
+def _dealt(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Rows with named and key, and the cell of each: an array that orders cells as it orders keys."""
+    rows = rows.withColumn("cell", F.array(F.col("named").cast("double")))
+    for level in levels:
+        split = level.toDF("of", "lo", "width")
+        rows = rows.join(split, F.col("cell") == F.col("of"), "left")
+        within = F.coalesce(F.floor(_come(F.col("key"), F.col("lo")) / F.col("width")).cast("double"), F.lit(0.0))
+        rows = rows.withColumn("cell", F.concat("cell", F.array(within))).drop("of", "lo", "width")
+    return rows
+
+
+def _levels(keys: DataFrame) -> list[DataFrame]:
+    """Tables (cell, lo, width) of the cells to split, level by level, until none holds many more than CELL different keys.
+
+    Cells are split into equal widths between their own ends, so a far-off key costs a level and not a large cell.
+    """
+    levels: list[DataFrame] = []
+    while True:
+        found = _dealt(keys, levels).groupBy("cell").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where((F.col("n") > 4 * CELL) & (F.col("lo") < F.col("hi")))
+        found = materialise(found.select("cell", "lo", (_come(F.col("hi"), F.col("lo")) * CELL / F.col("n")).alias("width")))
+        if found.isEmpty():
+            return levels
+        levels.append(broadcast_if_small(found))
+
+
+def _heads(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Rows (named, key, before): the first key of each cell in descending order, and the cell that comes before."""
+    heads = materialise(_dealt(keys, levels).groupBy("cell", "named").agg(F.max("key").alias("key")))
+    if heads.count() <= 4 * CELL:
+        over = W.partitionBy(F.lit(0))
+        before = F.coalesce(F.lag("cell").over(over.orderBy(F.col("cell").desc())), F.min("cell").over(over))
+        return heads.select("named", "key", before.alias("before"))
+    # Cells of heads are dealt out as keys are.
+    above = _levels(heads.select("named", "key"))
+    dealt = _dealt(heads.withColumnRenamed("cell", "own"), above)
+    inside = dealt.withColumn("before", F.lag("own").over(W.partitionBy("cell").orderBy(F.col("key").desc())))
+    ends = dealt.groupBy("cell").agg(F.min_by("own", "key").alias("last"))
+    firsts = _heads(heads.select("named", "key"), above).join(ends.select(F.col("cell").alias("before"), "last"), "before").select(F.col("named").alias("n"), F.col("key").alias("k"), "last")
+    inside = inside.join(firsts, (F.col("named") == F.col("n")) & (F.col("key") == F.col("k")), "left")
+    return materialise(inside.select("named", "key", F.coalesce("before", "last").alias("before")))
+
+
+def with_next(docs: DataFrame, value: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, value, next_value): the value, of its text, of the next row in descending order of ids; after the last comes the first.
+
+    Cells of neighbouring ids are sorted each for itself.  Only their ends meet the
+    next cell's first row, found through a table CELL times smaller than the input.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), value.alias("_value"))
-    ends = docs.agg(F.min(F.col(id_col).cast("long")).alias("lo"), F.max(F.col(id_col).cast("long")).alias("hi"), F.count(id_col).alias("n")).head()
-    width = max(1, math.ceil(((ends["hi"] or 0) - (ends["lo"] or 0) + 1) * BUCKET / max(1, ends["n"])))
-    unnamed = F.xxhash64("_text").bitwiseAND(F.lit((1 << 40) - 1)) - (1 << 62)
-    rows = rows.withColumn("_key", F.coalesce("_id", unnamed)).withColumn("_bucket", F.floor(F.expr(f"_key div {width}")))
-    heads = rows.groupBy("_bucket").agg(F.max("_key").alias("_key"))
-    over = W.partitionBy(F.lit(0))
-    heads = heads.withColumn("_before", F.coalesce(F.lag("_bucket").over(over.orderBy(F.col("_bucket").desc())), F.min("_bucket").over(over)))
-    first = rows.join(broadcast_if_small(heads), ["_bucket", "_key"]).groupBy(F.col("_before").alias("_b")).agg(F.min(F.struct("_text", "_value"))["_value"].alias("_first"))
-    order = W.partitionBy("_bucket").orderBy(F.col("_key").desc(), "_text")
-    rows = rows.withColumn("_next", F.lead("_value").over(order))
-    rows = rows.join(first, (F.col("_bucket") == F.col("_b")) & F.col("_next").isNull(), "left")
-    return rows.select(F.col("_id").alias(id_col), F.col("_value").alias("value"), F.coalesce("_next", "_first").alias("next_value"))
+    id_, text = column(id_col).cast("long"), F.coalesce(column(text_col), F.lit(""))
+    unnamed = not docs.where(id_.isNull()).isEmpty()
+    rows = docs.select(id_.isNotNull().alias("named"), (F.coalesce(id_, F.xxhash64(text)) if unnamed else id_).alias("key"), text.alias("text"))
+    keys = rows.select("named", "key")
+    levels = _levels(keys)
+    # The heads' documents first, their values then.
+    first = rows.join(broadcast_if_small(_heads(keys, levels)), ["named", "key"]).groupBy("before").agg(F.min("text").alias("text"))
+    first = broadcast_if_small(first.select("before", value(F.col("text")).alias("first")))
+    rows = _dealt(rows.withColumn("value", value(F.col("text"))), levels)
+    rows = rows.withColumn("next", F.lead("value").over(W.partitionBy("cell").orderBy(F.col("key").desc(), "text")))
+    rows = rows.join(first, (F.col("cell") == F.col("before")) & F.col("next").isNull(), "left")
+    return rows.select(F.when(F.col("named"), F.col("key")).alias(id_col), "value", F.coalesce("next", "first").alias("next_value"))

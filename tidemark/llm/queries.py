@@ -46,8 +46,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = lexicon(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    pairs = with_next(docs, F.struct(text.alias("text"), fingerprint(text, kept).alias("hashes")))
+    pairs = with_next(docs, lambda text: F.struct(text.alias("text"), fingerprint(text, kept).alias("hashes")))
     n = F.length("value.text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("value.text"), F.lit(1), n - half), F.substring(F.col("next_value.text"), F.lit(1), half))
