@@ -66,7 +66,9 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     read = decode_audio(encode_audio(docs))
-    feature = F.concat_ws(";", F.concat(F.lit("us="), "duration_us"), F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("hz="), "hertz"), F.concat(F.lit("seek="), F.crc32(F.concat_ws(",", "seek_offsets").cast("binary"))))
+    # What the reader has found and verified: exact duration, frames, rate, checksums held and wrong, table against frames, seek offsets.
+    parts = {"us": "duration_us", "frames": "n_frames", "hz": "hertz", "checked": "n_checked", "bad": "bad_checksums", "table": "table_agrees", "seek": F.crc32(F.concat_ws(",", "seek_offsets").cast("binary"))}
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{name}="), value) for name, value in parts.items()])
     return read.select(
         "doc_id",
         "n_bytes",

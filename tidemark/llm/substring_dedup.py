@@ -49,7 +49,7 @@ WINDOW, ANCHOR = 20, 10
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 32
 #: Words of references in a shard, and bytes of stretches in a slice, about.
-SHARD_WORDS, SLICE_BYTES = 500_000, 8 << 20
+SHARD_WORDS, SLICE_BYTES = 250_000, 4 << 20
 
 _LAST = (1 << 63) - 1
 _U = np.uint64
@@ -411,7 +411,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     # Copies are found by name and id alone, so texts never meet by a name that many rows share.
     named = materialise(docs.select("doc_id", F.md5("text").alias("name")))
     equal = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
-    copies = named.join(equal, "name").where("doc_id > least").select("doc_id", "name", F.lit(True).alias("copy")).distinct()
+    copies = named.join(broadcast_if_small(equal), "name").where("doc_id > least").select("doc_id", "name", F.lit(True).alias("copy")).distinct()
     named = docs.withColumn("name", F.md5("text")).join(broadcast_if_small(copies), ["doc_id", "name"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
     single = named.where("not copy").select("doc_id", "text")
     repeated = broadcast_if_small(_entries(single, window, anchor, buckets), "octet_length(found)")
