@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +21,11 @@ BATCH_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts don't pile up in a worker."""
+    """Keep Arrow batches small, so that long texts don't pile up in a worker.
+
+    These are settings of the session: they hold for what runs later, too, because plans
+    are executed after the operators that ask for them have returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -47,13 +53,16 @@ def releasing(batches_to_batches):
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests, local mode).
+    Only a session in local mode that names none gets a folder of this machine's own;
+    on a cluster the parts of a checkpoint must lie where all machines read them.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir("/tmp/checkpoints")
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
     return df.checkpoint(eager=True)
 
 

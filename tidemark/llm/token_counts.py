@@ -8,8 +8,16 @@ piece starts first; a character without a piece of its own costs the least score
 minus 10; runs of unknown characters are one unknown, or their UTF-8 bytes under
 byte fallback.
 
+A vocabulary is any list of pieces with scores.  Of the public files at hand only the
+piece vocabulary has scores, and they are its merge ranks; read as unigram scores they
+give the best segmentation under that vocabulary, not the number of tokens of its own
+merge rules (on sf0.001 103,050 pieces against 90,447).  The counts are those of the
+public unigram tokenizer with this vocabulary, which the tests hold them against.
+
 Defined results: a null or empty text has 0 pieces and score 0; repeated rows are
-counted each for itself; an empty table gives an empty result.
+counted each for itself; a text of any length is one row, cut at word starts only where
+no piece goes on past one; ties as above; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
