@@ -1,4 +1,4 @@
-"""Commands: adapt, analyze, drift."""
+"""Commands: adapt, analyze, drift, update-prices."""
 
 from __future__ import annotations
 
@@ -23,6 +23,16 @@ def _write(text: str, path: str | None) -> None:
         sys.stdout.write(text)
 
 
+def _text_of(place: str) -> str:
+    if place.startswith(("http://", "https://")):
+        from urllib.request import urlopen
+
+        with urlopen(place, timeout=30) as answer:
+            return answer.read().decode("utf-8")
+    with open(place, encoding="utf-8") as file:
+        return file.read()
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -30,6 +40,8 @@ def main(argv: list[str] | None = None) -> int:
     adapt.add_argument("path")
     adapt.add_argument("--out", required=True)
     adapt.add_argument("--source")
+    adapt.add_argument("--prices", help="price file for calls without a reported cost")
+    adapt.add_argument("--price-override", help="price file whose models take precedence")
     analyze = commands.add_parser("analyze", help="events to a report")
     analyze.add_argument("path")
     analyze.add_argument("--analysis", default="waste")
@@ -42,16 +54,38 @@ def main(argv: list[str] | None = None) -> int:
     drift.add_argument("path")
     drift.add_argument("--format", choices=("text", "json"), default="text")
     drift.add_argument("--out")
+    update = commands.add_parser("update-prices", help="a public listing of costs to a price file")
+    update.add_argument("listing", help="file or address of the listing")
+    update.add_argument("--out", required=True)
+    receive = commands.add_parser("collect", help="receive OTLP over HTTP, one file a request")
+    receive.add_argument("--out", required=True)
+    receive.add_argument("--host", default="127.0.0.1")
+    receive.add_argument("--port", type=int, default=4318)
     args = parser.parse_args(argv)
+    if args.command == "collect":
+        from .sources.collector import serve
+
+        serve(args.out, args.host, args.port)
+        return 0
 
     from .sources import jsonl
 
     spark = _session()
     try:
         if args.command == "adapt":
+            from .functions.pricing import age_note, load_overlaid
             from .sources.detect import adapt as convert
 
-            jsonl.write_events(jsonl.with_source_path(convert(spark, args.path, args.source), args.path), args.out)
+            prices, made = load_overlaid(args.prices, args.price_override)
+            events = convert(spark, args.path, args.source, prices, tuple(registry.sources().found.values()))
+            jsonl.write_events(jsonl.with_source_path(events, args.path), args.out)
+            if prices and (note := age_note(made)):
+                sys.stderr.write(f"{note}\n")
+            return 0
+        if args.command == "update-prices":
+            from .functions.pricing import read_listing, write_prices
+
+            sys.stdout.write(f"{write_prices(read_listing(spark, _text_of(args.listing)), args.out)} models\n")
             return 0
         loaded = jsonl.read_events(spark, args.path, lenient=getattr(args, "lenient", False))
         if args.command == "analyze":

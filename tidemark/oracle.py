@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .functions.hashing import INTEGERS, MASKS
+
 _RAW = "raw AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 _EV = (
     _RAW
@@ -82,17 +84,7 @@ _EMB = """emb AS (SELECT 't' || (vec_id % 7) AS task_id, vec_id // 7 AS step_ind
 _FAR = "CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN r.bits[i] <> o.bits[i] THEN 1 ELSE 0 END)) AS INTEGER)"
 _PLAIN = "NOT regexp_matches(text, '[^\\x20-\\x7E\\t\\n\\r]')"
 _NORMAL = "trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))"
-_MASKS = [
-    ("<DATE>", r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"),
-    ("<DATE>", r"\b\d{4}-\d{2}-\d{2}\b"),
-    ("<DATE>", r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s+\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{4}\s+\d{2}:\d{2}:\d{2}\s+(?:GMT|UTC|[+-]\d{4})\b"),
-    ("<UUID>", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"),
-    ("<DUR>", r"\b\d+(?:\.\d+)?(?:ms|us|µs|ns|s|m|h)\b"),
-    ("<ADDR>", r"\b0x[0-9a-fA-F]{4,}\b"),
-    ("<TMP>", r'(?:/tmp/|/var/folders/)[^\s"\\]*'),
-    (r"\1<ID>\2", r'(EXTERNAL_UNTRUSTED_CONTENT id=\\*")[0-9a-f]{16}(\\*")'),
-]
-_INTEGERS = ("<NUM>", r"\b\d{5,}\b")
+_MASKS, _INTEGERS = MASKS, INTEGERS
 
 
 def _masked(text: str, masks: list) -> tuple[list[str], str, str]:

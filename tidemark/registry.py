@@ -30,7 +30,7 @@ class Registry:
             except Exception as error:  # a broken plugin must not stop the others
                 log.warning("%s plugin %s can't be loaded: %s", self.kind, point.name, error)
                 continue
-            self.add(getattr(plugin, "name", point.name), plugin)
+            self.add(getattr(plugin, "NAME", None) or getattr(plugin, "name", point.name), plugin)
         return self
 
     def get(self, name: str):
@@ -39,6 +39,13 @@ class Registry:
         return self.found[name]
 
 
+def sources() -> Registry:
+    """Sources of OTLP documents: objects with NAME, convert(docs), and SIGNALS or detect(docs)."""
+    from .sources.detect import SOURCES
+
+    return Registry("sources", {s.NAME: s for s in SOURCES}).load()
+
+
 def analyses() -> Registry:
     return Registry("analyses", {WasteAnalysis.name: WasteAnalysis}).load()
 

@@ -23,15 +23,11 @@ ARGUMENTS, OUTPUT = ("file_path", "full_command", "skill_name", "subagent_type")
 OWN_EVENTS = ("mcp_server_connection", "permission_mode_changed", "auth")
 
 
-def detect(docs: DataFrame) -> str | None:
-    spans, logs = otlp.spans(docs), otlp.logs(docs)
-    if not spans.where(F.col("name").startswith(PREFIX)).isEmpty():
-        return f"span name {PREFIX}*"
-    if not spans.select("resource").unionByName(logs.select("resource")).where(F.col("resource").getItem("service.name") == NAME).isEmpty():
-        return f"resource service.name={NAME}"
-    if not logs.where(F.col("attributes").getItem("event.name").isin(*OWN_EVENTS)).isEmpty():
-        return "event names of its own"
-    return None
+SIGNALS = (
+    (f"span name {PREFIX}*", lambda r: (r.kind == "span") & r.name.startswith(PREFIX)),
+    (f"resource service.name={NAME}", lambda r: r.resource.getItem("service.name") == NAME),
+    ("event names of its own", lambda r: (r.kind == "log") & r.attributes.getItem("event.name").isin(*OWN_EVENTS)),
+)
 
 
 def _tokens(a: dict) -> int | None:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.hashing import HASH_SPEC, SIMILARITY_SPEC, fingerprint_text, hash_text
+from ..functions.pricing import ESTIMATED, cost_of
 from ..schema import EVENT
 
 _FIELDS = [f.name for f in EVENT]
@@ -34,6 +35,14 @@ def number(value: str | None) -> float | None:
     return None if value is None else float(value)
 
 
+def priced(cost: float | None, prices: dict | None, model: str | None, *tokens: int | None) -> tuple[float | None, dict]:
+    """(cost, metadata): the cost that the source reports, else an estimate from a price table, which says so."""
+    if cost is not None or not prices:
+        return cost, {}
+    found = cost_of(prices, model, *tokens)
+    return found, {} if found is None else {"cost_basis": ESTIMATED}
+
+
 def as_json(value: str | None):
     """Parsed JSON, or None if it isn't."""
     try:

@@ -14,15 +14,7 @@ EVENTS = ("user_prompt", "assistant_response", "tool_result", "api_request", "ap
 REDACTED = "<REDACTED>"
 
 
-def detect(docs: DataFrame) -> str | None:
-    found = otlp.logs(docs).select("resource").unionByName(otlp.spans(docs).select("resource")).where(F.col("resource").getItem("service.name") == "cowork")
-    return None if found.isEmpty() else "resource service.name=cowork"
-
-
-def is_residual(docs: DataFrame) -> bool:
-    """Whether all log records have one of the documented event names, and there is one."""
-    names = otlp.logs(docs).agg(F.min(F.coalesce(F.col("attributes").getItem("event.name").isin(*EVENTS), F.lit(False)))).head()[0]
-    return bool(names)
+SIGNALS = (("resource service.name=cowork", lambda r: r.resource.getItem("service.name") == NAME),)
 
 
 def order_of(log: dict) -> tuple:

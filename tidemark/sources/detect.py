@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from types import ModuleType
+from types import ModuleType, SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import coding_cli, cowork, openclaw, openclaw_localtrace, opencode, openinference, otlp, pi
 
@@ -16,38 +17,69 @@ class UnknownSource(ValueError):
     """No source claims the documents."""
 
 
-def detect(docs: DataFrame, sources: tuple[ModuleType, ...] = SOURCES) -> tuple[ModuleType, str]:
-    """(source, why): the first that claims the documents; logs of documented names only are Cowork's."""
+def records(docs: DataFrame) -> DataFrame:
+    """Spans and log records alike: rows (kind, name, attributes, resource); a log has no name."""
+    spans = otlp.spans(docs).select(F.lit("span").alias("kind"), "name", "attributes", "resource")
+    return spans.unionByName(otlp.logs(docs).select(F.lit("log").alias("kind"), F.lit(None).cast("string").alias("name"), "attributes", "resource"))
+
+
+def signals(docs: DataFrame, sources: tuple[ModuleType, ...] = SOURCES) -> DataFrame:
+    """One row: for each signal of each source whether a record shows it, and residual, all from one pass.
+
+    residual: there are log records, and all have one of the documented event names.
+    """
+    row = SimpleNamespace(**{c: F.col(c) for c in ("kind", "name", "attributes", "resource")})
+    claims = [F.coalesce(F.bool_or(test(row)), F.lit(False)).alias(f"{s.NAME}:{i}") for s in sources for i, (_, test) in enumerate(s.SIGNALS)]
+    documented = F.coalesce(row.attributes.getItem("event.name").isin(*cowork.EVENTS), F.lit(False))
+    residual = F.coalesce(F.bool_and(F.when(row.kind == "log", documented)), F.lit(False))
+    return records(docs).agg(*claims, residual.alias("residual"))
+
+
+def detect(docs: DataFrame, sources: tuple = SOURCES) -> tuple[ModuleType, str]:
+    """(source, why): the first that claims the documents; logs of documented names only are Cowork's.
+
+    A source has SIGNALS, pairs of a reason and a test of a record, or a detect(docs) of its own that returns the reason.
+    """
+    own = tuple(s for s in sources if hasattr(s, "SIGNALS"))
+    found = signals(docs, own).head()
     for source in sources:
-        if why := source.detect(docs):
+        if source in own:
+            why = next((reason for i, (reason, _) in enumerate(source.SIGNALS) if found[f"{source.NAME}:{i}"]), None)
+        else:
+            why = source.detect(docs)
+        if why:
             return source, why
-    if cowork.is_residual(docs):
+    if found["residual"]:
         return cowork, "all event names are documented ones"
     counts = docs.selectExpr("count_if(is_trace) as traces", "count_if(is_log) as logs", "count_if(is_metrics) as metrics", "count(*) as documents").head()
     raise UnknownSource(f"no source claims {counts['documents']} documents ({counts['traces']} traces, {counts['logs']} logs, {counts['metrics']} metrics)")
 
 
-def _opencode(spark: SparkSession, path: str) -> DataFrame:
+def _opencode(spark: SparkSession, path: str, prices: dict | None) -> DataFrame:
     if path.endswith((".db", ".sqlite")):
-        return opencode.convert(opencode.from_tables(**opencode.sqlite_tables(spark, path)))
-    return opencode.convert(opencode.read_exports(spark, path))
+        return opencode.convert(opencode.from_tables(**opencode.sqlite_tables(spark, path)), prices)
+    return opencode.convert(opencode.read_exports(spark, path), prices)
 
 
 #: Sources with files of their own, asked only if nothing is OTLP.
-NATIVE = {opencode.NAME: _opencode, pi.NAME: lambda spark, path: pi.convert(pi.read_sessions(spark, path))}
+NATIVE = {opencode.NAME: _opencode, pi.NAME: lambda spark, path, prices: pi.convert(pi.read_sessions(spark, path), prices)}
+#: Sources that report token counts without costs take a price table.
+PRICED = (openinference,)
 
 
-def adapt(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """Events of a folder of OTLP documents, or of a source's own sessions."""
+def adapt(spark: SparkSession, path: str, source: str | None = None, prices: dict | None = None, sources: tuple = SOURCES) -> DataFrame:
+    """Events of a folder of OTLP documents, or of a source's own sessions; prices has entries as pricing.load_overlaid gives."""
     if source in NATIVE:
-        return NATIVE[source](spark, path)
+        return NATIVE[source](spark, path, prices)
     if not path.endswith((".db", ".sqlite")):
         docs = otlp.read_documents(spark, path)
         if source or not docs.where("is_trace or is_log or is_metrics").isEmpty():
-            found = next(s for s in SOURCES if s.NAME == source) if source else detect(docs)[0]
-            return found.convert(docs)
+            found = next((s for s in sources if s.NAME == source), None) if source else detect(docs, sources)[0]
+            if found is None:
+                raise UnknownSource(f"no source called {source}")
+            return found.convert(docs, prices) if found in PRICED else found.convert(docs)
     for convert in NATIVE.values():
-        events = convert(spark, path)
+        events = convert(spark, path, prices)
         if not events.isEmpty():
             return events
     raise UnknownSource(f"no source claims anything in {path}")

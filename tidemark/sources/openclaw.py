@@ -19,9 +19,7 @@ MODEL, TOOL_NAME = ("gen_ai.request.model", "openclaw.model"), ("gen_ai.tool.nam
 CACHE = ("gen_ai.usage.cache_read.input_tokens", "gen_ai.usage.cache_creation.input_tokens")
 
 
-def detect(docs: DataFrame) -> str | None:
-    found = otlp.spans(docs).where(F.col("name").startswith("openclaw.") | F.col("attributes").getItem(UNIT).isNotNull())
-    return None if found.isEmpty() else "span name openclaw.* or its observation unit"
+SIGNALS = (("span name openclaw.* or its observation unit", lambda r: (r.kind == "span") & (r.name.startswith("openclaw.") | r.attributes.getItem(UNIT).isNotNull())),)
 
 
 def outcome(span: dict) -> str | None:

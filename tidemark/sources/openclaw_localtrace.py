@@ -18,9 +18,7 @@ RUN, CONTENT, CALL, TOOL = (PREFIX + n for n in ("run", "llm.call", "model.call"
 GAUGE = "openclaw.turn.cost.usd"
 
 
-def detect(docs: DataFrame) -> str | None:
-    found = otlp.spans(docs).where(F.col("name").startswith(PREFIX) | (F.col("resource").getItem("service.name") == NAME))
-    return None if found.isEmpty() else f"span name {PREFIX}* or service.name"
+SIGNALS = ((f"span name {PREFIX}* or service.name", lambda r: (r.kind == "span") & (r.name.startswith(PREFIX) | (r.resource.getItem("service.name") == NAME))),)
 
 
 def _end(span: dict) -> int:

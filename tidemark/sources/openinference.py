@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import otlp
-from .convert import Chain, ancestors, at_nanos, event, fill_models, first, grouped, hashed, looks_structured, number, whole
+from .convert import Chain, ancestors, at_nanos, event, fill_models, first, grouped, hashed, looks_structured, number, priced, whole
 
 NAME = "openinference"
 
@@ -30,9 +30,7 @@ COST = ("llm.cost.total", "cost.total_usd")
 _RESOLVED = "trace_id string, span_id string, task_id string, task_source string, parent_task string, workflow string, above array<string>, tokens array<string>, donor_model string"
 
 
-def detect(docs: DataFrame) -> str | None:
-    found = otlp.spans(docs).where(F.col("attributes").getItem(KIND).isNotNull())
-    return None if found.isEmpty() else f"span attribute {KIND}"
+SIGNALS = ((f"span attribute {KIND}", lambda r: (r.kind == "span") & r.attributes.getItem(KIND).isNotNull()),)
 
 
 def kind_of(span: dict) -> str | None:
@@ -64,7 +62,7 @@ def resolve(spans: list[dict]) -> Iterable[dict]:
         }
 
 
-def convert_task(spans: list[dict]) -> list[dict]:
+def convert_task(spans: list[dict], prices: dict | None = None) -> list[dict]:
     """Events of one task, in order of start."""
     chain, out = Chain(), []
     for s in sorted(spans, key=lambda s: (s["start"], str(s["ordinal"]))):
@@ -77,8 +75,9 @@ def convert_task(spans: list[dict]) -> list[dict]:
         known = {"workflow": s["workflow"], "ts": at_nanos(s["start"])}
         content, step = hashed(given, looks_structured(a.get("input.mime_type"), given)), len(out)
         if kind_of(s) == "LLM":
-            model = first(a, *MODEL) or s["donor_model"]
-            out.append(event(s["task_id"], step, "llm_call", model or s["name"], content, meta=meta, parent_id=parent, model=model, outcome=s["outcome"], tokens_in=whole(s["tokens"][0]), tokens_out=whole(s["tokens"][1]), cost_usd=number(first(a, *COST)), **known))
+            model, tokens = first(a, *MODEL) or s["donor_model"], [whole(t) for t in s["tokens"]]
+            cost, basis = priced(number(first(a, *COST)), prices, model, *tokens)
+            out.append(event(s["task_id"], step, "llm_call", model or s["name"], content, meta=meta | basis, parent_id=parent, model=model, outcome=s["outcome"], tokens_in=tokens[0], tokens_out=tokens[1], cost_usd=cost, **known))
         else:
             name, result = a.get("tool.name") or s["name"], a.get("output.value")
             out.append(event(s["task_id"], step, "tool_call", name, content, meta=meta, parent_id=parent, **known))
@@ -90,8 +89,8 @@ def convert_task(spans: list[dict]) -> list[dict]:
     return fill_models(out)
 
 
-def convert(docs: DataFrame) -> DataFrame:
-    """Events of all trace documents; costs that no span reports are left to the price table."""
+def convert(docs: DataFrame, prices: dict | None = None) -> DataFrame:
+    """Events of all trace documents; costs that no span reports are estimated from a price table."""
     from .convert import _plain
 
     spans = otlp.spans(docs)
@@ -105,7 +104,7 @@ def convert(docs: DataFrame) -> DataFrame:
 
     found = spans.groupBy("trace_id").applyInArrow(resolved, _RESOLVED)
     kept = spans.where(F.upper(F.col("attributes").getItem(KIND)).isin("LLM", "TOOL")).join(found, ["trace_id", "span_id"])
-    return grouped(kept, "task_id", convert_task)
+    return grouped(kept, "task_id", lambda spans: convert_task(spans, prices))
 
 
 def skipped(docs: DataFrame) -> DataFrame:
