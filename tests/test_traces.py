@@ -164,3 +164,43 @@ def test_registry():
         found.add("one", 3)
     with pytest.raises(KeyError):
         found.get("three")
+
+
+def test_chain_of_many_hops(spark):
+    """12,000 hops take a few rounds; a chain that runs into a cycle ends there."""
+    from pyspark.sql import functions as F
+
+    edges = spark.range(1, 12_001).select(F.col("id").cast("string").alias("task_id"), (F.col("id") - 1).cast("string").alias("parent_task_id"), F.lit("continuation").alias("link_kind"))
+    rows = continuation_hops(edges).agg(F.count("*").alias("n"), F.max("hop").alias("last"), F.countDistinct("tip").alias("tips")).head()
+    assert tuple(rows) == (12_000, 11_999, 1)
+    loop = spark.createDataFrame([("t", "a", "continuation"), ("a", "b", "continuation"), ("b", "c", "continuation"), ("c", "a", "continuation")], "task_id string, parent_task_id string, link_kind string")
+    assert sorted((r.hop, r.successor, r.predecessor) for r in continuation_hops(loop).collect()) == [(0, "t", "a"), (1, "a", "b"), (2, "b", "c"), (3, "c", "a")]
+
+
+def test_exact_across_hours(spark):
+    """Calls of one signature over many hours, against a walk back in time."""
+    from tidemark.operators.cross_task import exact_across
+
+    rng = random.Random(4)
+    rows = [{"task_id": rng.choice("abc") if i % 7 else "a", "step_index": i, "event_type": "llm_call", "name": "n", "content_hash": rng.choice("xy"), "ts": i * rng.choice([0, 700, 1500]) + (i > 60) * 10**6} for i in range(120)]
+    calls = spark.createDataFrame(rows).selectExpr("*", "cast(null as string) model", "cast(null as string) workflow", "cast(null as double) cost_usd", "cast(null as long) tokens_in", "cast(null as long) tokens_out").withColumn("ts", __import__("pyspark.sql.functions", fromlist=["F"]).timestamp_seconds("ts"))
+    want, key = set(), lambda r: (r["ts"], r["task_id"], r["step_index"])
+    for r in rows:
+        before = [b for b in rows if b["content_hash"] == r["content_hash"] and key(b) < key(r) and b["task_id"] != r["task_id"]]
+        if before:
+            best = max(before, key=key)
+            want.add((r["task_id"], r["step_index"], best["task_id"], best["step_index"]))
+    got = {(r.task_id, r.repeat_step, r.original_task, r.original_step) for r in exact_across(calls).collect()}
+    assert got == want
+
+
+def test_deep_branching_task(load):
+    """A branching task of many calls is walked once."""
+    import time
+
+    rows = [row("t", s, "tool_call", content=f"c{s}", parent_id=s - 1 if s else None, metadata={"write": False}) for s in range(6000)]
+    rows += [row("t", 6000 + s, "tool_call", content=f"c{s}", parent_id=5999 if s == 0 else 2000) for s in range(1000)]
+    events = load(rows).events
+    began = time.monotonic()
+    found = {(r.original_step, r.repeat_step) for r in exact_repeats(events).collect()}
+    assert found == {(s, 6000 + s) for s in range(1000)} and time.monotonic() - began < 60

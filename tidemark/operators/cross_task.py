@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import is_call
+from ..tables import materialise
 from .repeats import SIGNATURE, THRESHOLD, fingerprint_bits
 
 #: Earlier events of the same type and name that are compared one by one; beyond them bands decide.
@@ -22,16 +23,34 @@ def candidates(events: DataFrame, *claimed: DataFrame) -> DataFrame:
     return out
 
 
+def _hour() -> F.Column:
+    """The part of time within which one task sorts the calls of a group; so a group that most calls belong to is many tasks."""
+    return F.floor(F.unix_micros("ts") / 3_600_000_000).alias("hour")
+
+
 def exact_across(calls: DataFrame) -> DataFrame:
     """Each call's latest earlier call of equal signature in a different task.
 
     Within a signature in order of time, a call whose neighbour before it is of another
     task has that neighbour; else it has what its neighbour has.  So the last neighbour
-    of a different task, carried on, is the answer.
+    of a different task, carried on, is the answer.  It is carried within each hour, and
+    from hour to hour by one row for each: its last call, and the last one before that
+    of another task.
     """
-    order = W.partitionBy(*SIGNATURE).orderBy(*_TIME)
-    before = F.lag(F.struct("task_id", "step_index")).over(order)
-    found = calls.withColumn("_b", before).withColumn("o", F.last(F.when(F.col("_b.task_id") != F.col("task_id"), F.col("_b")), ignorenulls=True).over(order))
+    place = F.struct("task_id", "step_index")
+    order = W.partitionBy(*SIGNATURE, "hour").orderBy(*_TIME)
+    found = calls.withColumn("hour", _hour()).withColumn("_b", F.lag(place).over(order))
+    found = found.withColumn("_o", F.last(F.when(F.col("_b.task_id") != F.col("task_id"), F.col("_b")), ignorenulls=True).over(order))
+
+    hours = W.partitionBy(*SIGNATURE).orderBy("hour")
+    ends = found.groupBy(*SIGNATURE, "hour").agg(F.max(F.struct(*_TIME, place.alias("last"), "_o")).alias("e")).select(*SIGNATURE, "hour", "e.last", F.col("e._o").alias("other"))
+    ends = ends.withColumn("before", F.lag("last").over(hours))
+    other = F.coalesce("other", F.when(F.col("before.task_id") != F.col("last.task_id"), F.col("before")))
+    ends = ends.withColumn("other", F.last(other, ignorenulls=True).over(hours)).withColumn("beyond", F.lag("other").over(hours))
+    carried = ends.where("before is not null").select(*SIGNATURE, "hour", "before", "beyond")
+
+    found = found.join(carried, [*SIGNATURE, "hour"], "left")
+    found = found.withColumn("o", F.coalesce("_o", F.when(F.col("before.task_id") != F.col("task_id"), F.col("before")).otherwise(F.col("beyond"))))
     return found.where("o is not null").select(
         F.col("o.task_id").alias("original_task"), F.col("o.step_index").alias("original_step"), "task_id", F.col("step_index").alias("repeat_step"),
         *SIGNATURE, "model", "workflow", "cost_usd", "tokens_in", "tokens_out", F.lit(0).alias("distance"), F.lit(True).alias("equal"),
@@ -39,9 +58,13 @@ def exact_across(calls: DataFrame) -> DataFrame:
 
 
 def _ranked(calls: DataFrame) -> DataFrame:
-    order = W.partitionBy("event_type", "name").orderBy(*_TIME)
-    marked = calls.where("metadata.similarity_fingerprint is not null").withColumn("bits", fingerprint_bits("metadata.similarity_fingerprint"))
-    return marked.withColumn("rn", F.row_number().over(order))
+    """Calls with a fingerprint, numbered by time within type and name: by hours, each from the number of calls before it."""
+    key = ["event_type", "name"]
+    marked = calls.where("metadata.similarity_fingerprint is not null").withColumn("bits", fingerprint_bits("metadata.similarity_fingerprint")).withColumn("hour", _hour())
+    counts = marked.groupBy(*key, "hour").agg(F.count("*").alias("_n"))
+    before = counts.select(*key, "hour", (F.sum("_n").over(W.partitionBy(*key).orderBy("hour")) - F.col("_n")).alias("_before"))
+    within = marked.withColumn("_rn", F.row_number().over(W.partitionBy(*key, "hour").orderBy(*_TIME)))
+    return within.join(before, [*key, "hour"]).withColumn("rn", F.col("_before") + F.col("_rn")).drop("_before", "_rn", "hour")
 
 
 def _near(probe: DataFrame, build: DataFrame, on: list[str], within, threshold: int) -> DataFrame:
@@ -59,7 +82,7 @@ def near_across(calls: DataFrame, threshold: int = THRESHOLD, window: int = WIND
     the block before them.  Calls that find nothing there fall back to older calls that
     share one of four 16-bit bands.
     """
-    ranked = _ranked(calls)
+    ranked = materialise(_ranked(calls))
     block = F.expr(f"rn div {window}")
     probe = ranked.withColumn("block", block)
     build = ranked.withColumn("block", F.explode(F.array(block, block + 1)))

@@ -7,6 +7,7 @@ only, are walked once depth first, task by task.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,36 +86,75 @@ def linear_repeats(events: DataFrame) -> DataFrame:
     )
 
 
-def _walk(rows: list[dict], threshold: int | None) -> Iterator[tuple]:
-    """Pairs (repeat row, original row, path between them, distance) of one branching task.
+def _writes(row: dict) -> bool:
+    return row["event_type"] != "tool_result" and bool(row["metadata"]["write"])
 
-    Without a threshold pairs are exact repeats; with one they are near repeats of the
-    rows whose ``exact`` flag is not set.
+
+def _unflagged(row: dict) -> bool:
+    return row["event_type"] == "tool_call" and row["metadata"]["write"] is None
+
+
+def _distance(row: dict, before: dict, threshold: int | None) -> int | None:
+    """0 for equal calls if no threshold is given; with one the distance of different calls that are near enough."""
+    same = before["content_hash"] == row["content_hash"]
+    if threshold is None:
+        return 0 if same else None
+    mark, other = row["metadata"]["similarity_fingerprint"], before["metadata"]["similarity_fingerprint"]
+    if same or mark is None or other is None:
+        return None
+    far = (int(mark, 16) ^ int(other, 16)).bit_count()
+    return far if far <= threshold else None
+
+
+def _line_pairs(rows: list[dict], threshold: int | None) -> Iterator[tuple]:
+    """(repeat row, original row, step of the first write between them, of the first unflagged tool call, distance) of a branching task.
+
+    Without a threshold a call's original is its nearest ancestor of equal signature; with
+    one it is the nearest of equal type and name, for rows whose ``exact`` flag is not set.
+    The tree is walked once, depth first, with the line of ancestors and, for each
+    signature, their places in it; what hangs on a cycle of parents looks back for itself.
     """
-    by_step = {r["step_index"]: r for r in rows}
-    for row in rows:
-        if row["event_type"] not in CALL_TYPES or (threshold is not None and row["exact"]):
-            continue
-        mark = row["metadata"]["similarity_fingerprint"]
-        if threshold is not None and mark is None:
+    key = (lambda r: (r["event_type"], r["name"], r["content_hash"])) if threshold is None else (lambda r: (r["event_type"], r["name"]))
+    asks = lambda r: r["event_type"] in CALL_TYPES and not (threshold is not None and r["exact"])
+    children: dict[int | None, list[dict]] = {}
+    for r in rows:
+        children.setdefault(r["eff_parent"], []).append(r)
+    line: list[dict] = []
+    places: dict[tuple, list[int]] = {}
+    writes: list[int] = []
+    unflagged: list[int] = []
+    done: set[int] = set()
+    todo: list[tuple[dict, bool]] = [(r, True) for r in children.get(None, ())]
+    while todo:
+        row, entering = todo.pop()
+        at = len(line)
+        if not entering:
+            line.pop()
+            for held in (writes, unflagged, places.get(key(row), [])):
+                if held and held[-1] == at - 1:
+                    held.pop()
             continue
+        done.add(row["step_index"])
+        own = places.get(key(row))
+        if own and asks(row) and (far := _distance(row, line[own[-1]], threshold)) is not None:
+            first = [line[held[i]]["step_index"] if (i := bisect_right(held, own[-1])) < len(held) else None for held in (writes, unflagged)]
+            yield row, line[own[-1]], *first, far
+        line.append(row)
+        for held, test in ((writes, _writes(row)), (unflagged, _unflagged(row)), (places.setdefault(key(row), []), row["event_type"] in CALL_TYPES)):
+            if test:
+                held.append(at)
+        todo.append((row, False))
+        todo += [(r, True) for r in children.get(row["step_index"], ())]
+
+    by_step = {r["step_index"]: r for r in rows}
+    for row in (r for r in rows if r["step_index"] not in done and asks(r)):
         path, seen, at = [], {row["step_index"]}, row["eff_parent"]
-        while at is not None and at not in seen:
+        while at is not None and at not in seen and key(by_step[at]) != key(row):
             seen.add(at)
-            before = by_step[at]
-            if before["event_type"] == row["event_type"] and before["name"] == row["name"]:
-                same = before["content_hash"] == row["content_hash"]
-                if threshold is None:
-                    if same:
-                        yield row, before, path[::-1], 0
-                        break
-                else:
-                    other = before["metadata"]["similarity_fingerprint"]
-                    if not same and other is not None and (far := (int(mark, 16) ^ int(other, 16)).bit_count()) <= threshold:
-                        yield row, before, path[::-1], far
-                    break
-            path.append(before)
-            at = before["eff_parent"]
+            path.append(by_step[at])
+            at = by_step[at]["eff_parent"]
+        if at is not None and at not in seen and (far := _distance(row, by_step[at], threshold)) is not None:
+            yield row, by_step[at], *[next((p["step_index"] for p in reversed(path) if test(p)), None) for test in (_writes, _unflagged)], far
 
 
 _PAIR = (
@@ -141,10 +181,7 @@ def _branching_task(table: pa.Table) -> pa.Table:
     real = [r for r in rows if not r["metadata"]["synthesized_cost_only"]]
     outcome = real[-1]["outcome"] if real else None
     out = []
-    for row, before, path, _ in _walk(rows, None):
-        acts = [p for p in path if p["event_type"] != "tool_result"]
-        write = next((p["step_index"] for p in acts if p["metadata"]["write"]), None)
-        unknown = next((p["step_index"] for p in acts if p["metadata"]["write"] is None and p["event_type"] == "tool_call"), None)
+    for row, before, write, unknown, _ in _line_pairs(rows, None):
         own = [row[c] for c in ("event_type", "name", "content_hash", "model", "workflow", "cost_usd", "tokens_in", "tokens_out")]
         out.append((row["task_id"], before["step_index"], row["step_index"], *own, _result_of(before, children), _result_of(row, children), write, unknown, outcome))
     kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
@@ -153,9 +190,14 @@ def _branching_task(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NAMES)
 
 
-def exact_repeats(events: DataFrame) -> DataFrame:
-    """Exact repeats of all tasks, linear and branching."""
-    placed = with_branching(effective_parents(events))
+def placed_events(events: DataFrame) -> DataFrame:
+    """Events with their effective parents, and whether their task branches."""
+    return with_branching(effective_parents(events))
+
+
+def exact_repeats(events: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """Exact repeats of all tasks, linear and branching; placed: the events as placed_events gives them."""
+    placed = placed_events(events) if placed is None else placed
     branching = placed.where("branching").drop("prev_step", "branching").groupBy("task_id").applyInArrow(_branching_task, _PAIR)
     return linear_repeats(placed.where("not branching")).unionByName(branching)
 
@@ -182,14 +224,14 @@ def linear_near_repeats(events: DataFrame, exact: DataFrame, threshold: int = TH
 _NEAR = "task_id string, original_step long, repeat_step long, event_type string, name string, content_hash string, model string, workflow string, cost_usd double, tokens_in long, tokens_out long, distance int"
 
 
-def near_repeats(events: DataFrame, exact: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Near repeats of all tasks."""
-    placed = with_branching(effective_parents(events))
+def near_repeats(events: DataFrame, exact: DataFrame, threshold: int = THRESHOLD, placed: DataFrame | None = None) -> DataFrame:
+    """Near repeats of all tasks; placed: the events as placed_events gives them."""
+    placed = placed_events(events) if placed is None else placed
 
     def task(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["step_index"])
         own = ("event_type", "name", "content_hash", "model", "workflow", "cost_usd", "tokens_in", "tokens_out")
-        out = [(r["task_id"], o["step_index"], r["step_index"], *[r[c] for c in own], far) for r, o, _, far in _walk(rows, threshold)]
+        out = [(r["task_id"], o["step_index"], r["step_index"], *[r[c] for c in own], far) for r, o, _, _, far in _line_pairs(rows, threshold)]
         kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
         types = [kinds[c.split()[1]] for c in _NEAR.split(", ")]
         columns = list(zip(*out, strict=True)) if out else [[]] * len(types)

@@ -47,24 +47,26 @@ def _open_ends(state: DataFrame) -> bool:
     return not state.join(ends, "top").where("top <> _again and _least < least").isEmpty()
 
 
-def continuation_hops(edges: DataFrame, most_hops: int = 10_000) -> DataFrame:
+def continuation_hops(edges: DataFrame) -> DataFrame:
     """Rows (tip, hop, successor, predecessor): the chain from each tip back to its root.
 
-    A tip has no continuation of its own; pure cycles have none and vanish.
+    A tip has no continuation of its own; pure cycles have none and vanish, and a chain
+    that runs into a cycle ends before it meets a task again.  Each round doubles the
+    hops known, so a chain of n hops takes about log2(n) rounds.
     """
-    links = edges.where("link_kind = 'continuation' and parent_task_id is not null").select("task_id", "parent_task_id")
-    links = materialise(links)
+    links = materialise(edges.where("link_kind = 'continuation' and parent_task_id is not null").select("task_id", "parent_task_id"))
     tips = links.join(links.select(F.col("parent_task_id").alias("task_id")), "task_id", "left_anti")
-    level = tips.select(F.col("task_id").alias("tip"), F.lit(0).alias("hop"), F.col("task_id").alias("successor"), F.col("parent_task_id").alias("predecessor"))
-    out = level
+    found = tips.select(F.col("task_id").alias("tip"), F.lit(0).cast("long").alias("hop"), F.col("task_id").alias("successor"))
+    # Where a task's chain is after ``step`` hops, as long as it goes on from there.
+    jump, step = links.join(links.select(F.col("task_id").alias("parent_task_id")), "parent_task_id", "left_semi").select("task_id", F.col("parent_task_id").alias("to")), 1
     while True:
-        level = materialise(
-            level.join(links, level["predecessor"] == links["task_id"]).where(F.col("hop") < most_hops).select("tip", (F.col("hop") + 1).alias("hop"), F.col("predecessor").alias("successor"), F.col("parent_task_id").alias("predecessor"))
-            .join(out.select("tip", "successor"), ["tip", "successor"], "left_anti").select("tip", "hop", "successor", "predecessor")
-        )
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+        on = found.join(jump, F.col("successor") == F.col("task_id")).groupBy("tip", F.col("to").alias("successor")).agg(F.min(F.col("hop") + step).alias("hop"))
+        on = materialise(on.join(found, ["tip", "successor"], "left_anti").select("tip", "hop", "successor"))
+        if on.isEmpty():
+            break
+        found = materialise(found.unionByName(on))
+        jump, step = materialise(jump.join(jump.select(F.col("task_id").alias("to"), F.col("to").alias("_to")), "to").select("task_id", F.col("_to").alias("to"))), 2 * step
+    return found.join(links, F.col("successor") == F.col("task_id")).select("tip", "hop", "successor", F.col("parent_task_id").alias("predecessor"))
 
 
 def call_sequences(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coverage as C
 from ..operators.cross_task import WINDOW, across_tasks
-from ..operators.repeats import THRESHOLD, exact_repeats, near_repeats
+from ..operators.repeats import THRESHOLD, exact_repeats, near_repeats, placed_events
 from ..operators.task_graph import components, task_edges
 from ..operators.verdicts import classified
 from ..tables import materialise
@@ -28,8 +28,9 @@ def with_component(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def bucketed_pairs(events: DataFrame, threshold: int = THRESHOLD, window: int = WINDOW) -> DataFrame:
     """All pairs of a corpus with their bucket and reason; a call repeats in one bucket at most."""
-    exact = materialise(exact_repeats(events))
-    near = materialise(near_repeats(events, exact, threshold))
+    placed = materialise(placed_events(events))
+    exact = materialise(exact_repeats(events, placed))
+    near = materialise(near_repeats(events, exact, threshold, placed))
     across = with_component(across_tasks(events, exact, near, threshold, window), components(task_edges(events)))
     similar = F.format_string(f"similar to step=%d (Hamming distance %d/64 bits, threshold {threshold}): similar, not identical, not a verdict", "original_step", "distance")
     how = F.when(F.col("equal"), F.lit("exact match")).otherwise(F.format_string(f"similar (Hamming distance %d/64 bits, threshold {threshold})", "distance"))
