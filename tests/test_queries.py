@@ -4,7 +4,9 @@ from collections import Counter
 
 import pytest
 
-from tidemark import oracle, queries
+from tidemark import oracle, queries, source_oracle, source_queries
+
+QUERIES, SQL = queries.QUERIES | source_queries.QUERIES, oracle.SQL | source_oracle.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -23,20 +25,20 @@ def plain(value):
     return round(value, 6) + 0.0 if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, sf_dir, name):
-    df = queries.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    found = duck.sql(oracle.SQL[name])
+    found = duck.sql(SQL[name])
     assert sorted(found.columns) == columns
     at = [found.columns.index(c) for c in columns]
     assert got == Counter(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracle.SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, sf_dir, name):
-    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):

@@ -85,6 +85,19 @@ def comparability(events: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def pair_notes(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: tasks, tasks with near pairs, near pairs, and pairs across tasks by bucket."""
+    both = events.select("task_id", F.lit("").alias("bucket")).unionByName(pairs.select("task_id", "bucket"))
+    of = lambda bucket: F.col("bucket") == bucket
+    return both.agg(
+        F.countDistinct(F.when(of(""), F.col("task_id"))).alias("tasks"),
+        F.countDistinct(F.when(of("near_duplicate"), F.col("task_id"))).alias("tasks_with_near"),
+        F.count_if(of("near_duplicate")).alias("near_pairs"),
+        F.count_if(of("cross_task_redundancy")).alias("redundancy_pairs"),
+        F.count_if(of("recurring_pattern")).alias("recurring_pairs"),
+    )
+
+
 def verdicts_reached(counts: DataFrame) -> DataFrame:
     """One row from by_bucket: judged pairs, all exact pairs, and their share if there are five or more."""
     n = lambda *b: F.coalesce(F.sum(F.when(F.col("bucket").isin(*b), F.col("pairs"))), F.lit(0))

@@ -25,7 +25,7 @@ def candidates(events: DataFrame, *claimed: DataFrame) -> DataFrame:
 
 def _hour() -> F.Column:
     """The part of time within which one task sorts the calls of a group; so a group that most calls belong to is many tasks."""
-    return F.floor(F.unix_micros("ts") / 3_600_000_000).alias("hour")
+    return F.date_trunc("hour", "ts")
 
 
 def exact_across(calls: DataFrame) -> DataFrame:

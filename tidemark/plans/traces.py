@@ -48,6 +48,16 @@ def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events with parents: a third hang on an earlier step, some on steps that their task lacks; and with fingerprints."""
+    k, step = F.col("k"), F.col("step_index")
+    events = event_trace(spark, sf_dir).withColumn("k", F.expr("tokens_in div 10"))
+    parent = F.when((k % 3 == 0) & (step > 3), step - 1 - k % 3 - F.floor(k / 3) % 3).when(k % 17 == 1, step + 100_000)
+    mark = F.substring(F.sha2(F.concat(F.lit("f"), k % 25).cast("binary"), 256), 1, 16)
+    held = events.withColumn("parent_id", parent.cast("long")).withColumn("metadata", F.col("metadata").withField("similarity_fingerprint", F.when(k % 10 > 0, mark)))
+    return held.drop("k")
+
+
 def embedding_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as calls: 64 signs are the fingerprint, the label the name, seven tasks."""
     raw = read_table(spark, sf_dir, "embeddings")
