@@ -3,7 +3,7 @@
 import pyarrow.parquet as pq
 
 from tidemark.operators.cross_task import WINDOW
-from tidemark.queries import NEAR, near_cross_task_all
+from tidemark.queries import NEAR, near_cross_task
 
 
 def walked(path, window):
@@ -25,6 +25,6 @@ def walked(path, window):
 
 def test_whole_window(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
-    got = [tuple(r) for r in near_cross_task_all(spark, sf_dir).collect()]
+    got = [tuple(r) for r in near_cross_task(spark, sf_dir).collect()]
     assert len(got) == len(set(got))
     assert set(got) == walked(f"{sf_dir}/embeddings.parquet", WINDOW)

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidemark.functions import hashing
-from tidemark.queries import mask_counts_all, normalize_text_all, simhash_docs, simhash_turns
+from tidemark.queries import mask_counts, normalize_text, simhash_docs, simhash_turns
 
 ODD = [None, "", "café  x", "café x", "a b c", "١٢٣٤٥ 123456", "5µs 12ms\tnach 2024-01-02", "plain 123456 12ms", "a\x1cb"]
 
@@ -34,14 +34,14 @@ def short(text):
 
 def test_normalize_text(spark, folder):
     want = {i: None if t is None else short(re.sub(r"\s+", " ", unicodedata.normalize("NFC", t)).strip()) for i, t in texts(folder).items()}
-    rows = normalize_text_all(spark, folder).collect()
+    rows = normalize_text(spark, folder).collect()
     assert len(rows) == len(want)
     assert {r.doc_id: r.normal_hash for r in rows} == want
 
 
 def test_mask_counts(spark, folder):
     want = {i: (None, None) if t is None else hashing.hash_text(t, integers=True) for i, t in texts(folder).items()}
-    rows = mask_counts_all(spark, folder).collect()
+    rows = mask_counts(spark, folder).collect()
     assert len(rows) == len(want)
     assert {r.doc_id: (r.masked_hash, r.spans) for r in rows} == want
     assert sum(not (t or "").isascii() for t in texts(folder).values()) > 50

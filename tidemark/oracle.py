@@ -82,8 +82,13 @@ _SHAPES = """signs AS (SELECT event_type, name, chr(33 + CAST(row_number() OVER
 _EMB = """emb AS (SELECT 't' || (vec_id % 7) AS task_id, vec_id // 7 AS step_index, 'l' || label AS name, vec_id,
   list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"""
 _FAR = "CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN r.bits[i] <> o.bits[i] THEN 1 ELSE 0 END)) AS INTEGER)"
-_PLAIN = "NOT regexp_matches(text, '[^\\x20-\\x7E\\t\\n\\r]')"
-_NORMAL = "trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))"
+# White space as Python splits at; the rest is composed (NFC).
+_NORMAL = r"trim(regexp_replace(nfc_normalize(text), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
+# A boundary lies where a word of any script ends, here only of ASCII: so a q, marked to be taken out again, stands between an
+# ASCII word character and a letter or number of another script (but the sign of microseconds, which a rule names).
+_OTHER = r"[^\x00-\x7F\x{b5}\p{P}\p{S}\p{Z}\p{C}\p{M}]"
+_GUARDED = f"regexp_replace(regexp_replace({_NORMAL}, '({_OTHER})([0-9A-Za-z_])', '\\1\ue000q\\2', 'g'), '([0-9A-Za-z_])({_OTHER})', '\\1q\ue000\\2', 'g')"
+_UNGUARDED = "replace(replace(s, '\ue000q', ''), 'q\ue000', '')"
 _MASKS, _INTEGERS = MASKS, INTEGERS
 
 
@@ -101,6 +106,12 @@ def _mask_sql(source: str, masks: list, columns: str) -> str:
     return f"WITH {', '.join(steps)} SELECT {columns.format(n=n)} FROM {last}"
 
 
+_NEAR_ACROSS = f"""WITH {_EMB}, pos AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY vec_id, task_id, step_index) AS rn FROM emb),
+      met AS (SELECT r.task_id, r.step_index AS repeat_step, o.task_id AS original_task, o.step_index AS original_step, {_FAR} AS distance, r.rn - o.rn AS back, o.rn AS orn,
+        list_bool_or(list_transform(range(0, 4), lambda b: r.bits[16 * b + 1:16 * b + 16] = o.bits[16 * b + 1:16 * b + 16])) AS band
+        FROM pos r JOIN pos o ON r.name = o.name AND o.rn < r.rn AND o.task_id <> r.task_id WHERE {_FAR} <= 24),
+      best AS (SELECT *, row_number() OVER (PARTITION BY task_id, repeat_step ORDER BY back <= {{window}} DESC, orn DESC) AS n FROM met WHERE back <= {{window}} OR band)
+      SELECT task_id, repeat_step, original_task, original_step, distance FROM best WHERE n = 1"""
 _GEN = "pts AS (SELECT o_custkey % 50 AS channel, o_orderpriority AS model, CAST(year(o_orderdate) AS INTEGER) AS start, o_orderkey AS point, o_totalprice AS value FROM orders), starts AS (SELECT DISTINCT channel, model, start FROM pts WHERE start % 2 = 0)"
 _SPANS = """spans AS (SELECT l_orderkey AS parent, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS span_id, min(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE))) AS start,
   max(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT)) AS stop FROM lineitem GROUP BY 1, 2)"""
@@ -150,17 +161,13 @@ SQL: dict[str, str] = {
       FROM hops LEFT JOIN shapes x ON x.task_id = predecessor LEFT JOIN shapes y ON y.task_id = successor""",
     "near_same_task": f"""WITH {_EMB}, pos AS (SELECT *, lag(step_index) OVER (PARTITION BY task_id, name ORDER BY step_index) AS before FROM emb)
       SELECT r.task_id, o.step_index AS original_step, r.step_index AS repeat_step, {_FAR} AS distance FROM pos r JOIN emb o ON o.task_id = r.task_id AND o.name = r.name AND o.step_index = r.before WHERE {_FAR} <= 24""",
-    "near_cross_task": f"""WITH {_EMB}, pos AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY vec_id, task_id, step_index) AS rn FROM emb),
-      met AS (SELECT r.task_id, r.step_index AS repeat_step, o.task_id AS original_task, o.step_index AS original_step, {_FAR} AS distance, r.rn - o.rn AS back, o.rn AS orn,
-        list_bool_or(list_transform(range(0, 4), lambda b: r.bits[16 * b + 1:16 * b + 16] = o.bits[16 * b + 1:16 * b + 16])) AS band
-        FROM pos r JOIN pos o ON r.name = o.name AND o.rn < r.rn AND o.task_id <> r.task_id WHERE {_FAR} <= 24),
-      best AS (SELECT *, row_number() OVER (PARTITION BY task_id, repeat_step ORDER BY back <= 16 DESC, orn DESC) AS n FROM met WHERE back <= 16 OR band)
-      SELECT task_id, repeat_step, original_task, original_step, distance FROM best WHERE n = 1""",
+    "near_cross_task": _NEAR_ACROSS.format(window=4096),
+    "near_cross_task_bands": _NEAR_ACROSS.format(window=16),
     "hamming": f"""WITH {_EMB} SELECT r.task_id, r.step_index, {_FAR} AS distance FROM emb r JOIN emb o ON o.task_id = r.task_id AND o.step_index = r.step_index - 1""",
     "bands": f"""WITH {_EMB} SELECT task_id, step_index, {", ".join(f"CAST(list_sum(list_transform(range(0, 16), lambda i: bits[{64 - 16 * b} - i] * (1 << i))) AS BIGINT) AS band{b}" for b in range(4))} FROM emb""",
-    "content_hash_text": _mask_sql(f"SELECT 'c' || conv_id AS task_id, turn AS step_index, {_NORMAL} AS s, 0 AS n FROM conversations WHERE {_PLAIN}", _MASKS, "task_id, step_index, substr(sha256(s), 1, 16) AS content_hash, {n} AS masked_spans"),
-    "mask_counts": _mask_sql(f"SELECT doc_id, {_NORMAL} AS s, 0 AS n FROM documents WHERE {_PLAIN}", [*_MASKS, _INTEGERS], "doc_id, substr(sha256(s), 1, 16) AS masked_hash, {n} AS spans"),
-    "normalize_text": f"SELECT doc_id, substr(sha256({_NORMAL}), 1, 16) AS normal_hash FROM documents WHERE {_PLAIN}",
+    "content_hash_text": _mask_sql(f"SELECT 'c' || conv_id AS task_id, turn AS step_index, {_GUARDED} AS s, 0 AS n FROM conversations", _MASKS, f"task_id, step_index, substr(sha256({_UNGUARDED}), 1, 16) AS content_hash, {{n}} AS masked_spans"),
+    "mask_counts": _mask_sql(f"SELECT doc_id, {_GUARDED} AS s, 0 AS n FROM documents", [*_MASKS, _INTEGERS], f"doc_id, substr(sha256({_UNGUARDED}), 1, 16) AS masked_hash, {{n}} AS spans"),
+    "normalize_text": f"SELECT doc_id, substr(sha256({_NORMAL}), 1, 16) AS normal_hash FROM documents",
     "exact_duplicate_docs": "SELECT substr(sha256(text), 1, 16) AS hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "nearest_model_fill": f"""WITH {_EV}, pos AS (SELECT *, row_number() OVER (PARTITION BY task_id, workflow ORDER BY step_index) AS rn FROM ev),
       ranked AS (SELECT e.task_id, e.step_index, l.model, l.rn < e.rn AS before, row_number() OVER (PARTITION BY e.task_id, e.step_index ORDER BY abs(l.rn - e.rn), l.rn) AS n

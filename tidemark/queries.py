@@ -16,8 +16,8 @@ from .plans import traces, waste
 from .schema import is_call
 from .tables import read_table
 
-#: The vectors have no near pairs at the default threshold; the window is small so that the bands are used too.
-NEAR, NEAR_WINDOW = 24, 16
+#: The vectors have no near pairs at the default threshold.
+NEAR, SMALL_WINDOW = 24, 16
 
 
 def effective_parent(spark: SparkSession, d: str) -> DataFrame:
@@ -170,12 +170,12 @@ def _near_across(spark: SparkSession, d: str, window: int) -> DataFrame:
 
 
 def near_cross_task(spark: SparkSession, d: str) -> DataFrame:
-    """With the small window of its SQL; near_cross_task_all has the operator's own."""
-    return _near_across(spark, d, NEAR_WINDOW)
+    return _near_across(spark, d, cross_task.WINDOW)
 
 
-def near_cross_task_all(spark: SparkSession, d: str) -> DataFrame:
-    return _near_across(spark, d, cross_task.WINDOW)
+def near_cross_task_bands(spark: SparkSession, d: str) -> DataFrame:
+    """With a small window, so that most pairs are found by bands."""
+    return _near_across(spark, d, SMALL_WINDOW)
 
 
 def hamming(spark: SparkSession, d: str) -> DataFrame:
@@ -192,31 +192,15 @@ def bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_hash_text(spark: SparkSession, d: str) -> DataFrame:
-    turns = traces.conversation_trace(spark, d)
-    return turns.where(hashing.is_plain(F.col("text"))).select("task_id", "step_index", "content_hash", "masked_spans")
-
-
-def content_hash_all(spark: SparkSession, d: str) -> DataFrame:
     return traces.conversation_trace(spark, d).select("task_id", "step_index", "content_hash", "masked_spans")
 
 
 def mask_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").where(hashing.is_plain(F.col("text")))
-    text, spans = hashing.masked(hashing.normalized(F.col("text")), integers=True)
-    return docs.select("doc_id", hashing.short_hash(text).alias("masked_hash"), spans.cast("int").alias("spans"))
-
-
-def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").where(hashing.is_plain(F.col("text")))
-    return docs.select("doc_id", hashing.short_hash(hashing.normalized(F.col("text"))).alias("normal_hash"))
-
-
-def mask_counts_all(spark: SparkSession, d: str) -> DataFrame:
     docs = hashing.with_content_hash(read_table(spark, d, "documents"), "text", "masked_hash", "spans", integers=True)
     return docs.select("doc_id", "masked_hash", "spans")
 
 
-def normalize_text_all(spark: SparkSession, d: str) -> DataFrame:
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return hashing.with_normal_hash(read_table(spark, d, "documents"), "text").select("doc_id", "normal_hash")
 
 
@@ -343,7 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         verdict_counts, effective_parent, terminal_outcome, call_filter, exact_repeat_pairs, call_result_link, write_signal, result_signal, pair_verdicts, verdict_reasons,
         slice_grouping_sets, slice_by_model, slice_by_workflow, coverage, cost_by_basis, comparability, verdicts_reached, top_highlights, sample_reasons, unpriced_samples, synthesized_samples,
         cross_exact_pairs, cross_exact_unclaimed, cross_split, bucket_counts, task_edges, task_components, continuation_hops, shape_distance, drift_details,
-        near_same_task, near_cross_task, near_cross_task_all, hamming, bands, content_hash_text, content_hash_all, mask_counts, normalize_text, mask_counts_all, normalize_text_all, exact_duplicate_docs, simhash_docs, simhash_turns,
+        near_same_task, near_cross_task, near_cross_task_bands, hamming, bands, content_hash_text, mask_counts, normalize_text, exact_duplicate_docs, simhash_docs, simhash_turns,
         nearest_model_fill, prompt_window_claim, turn_cost_asof, positional_join, greedy_pairing, orphan_cost_rows, latest_counter_points, restart_windows, restart_window_calls,
         cost_apportion, sibling_chain_watermark, sibling_chain, nearest_kept_ancestor, price_estimate, hash_spec_guard, sessions_detected,
     )
