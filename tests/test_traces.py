@@ -10,7 +10,7 @@ from tidemark.operators.task_graph import components, continuation_hops, task_ed
 from tidemark.operators.verdicts import classified
 from tidemark.plans.waste import WasteAnalysis
 from tidemark.registry import Registry
-from tidemark.report.render import fraction, legend, short_label, to_html, to_json, to_text
+from tidemark.report.render import fraction, headline, legend, number_word, relabelled, short_label, shown_segments, to_html, to_json, to_text
 from tidemark.sources.jsonl import BadRows, read_events, write_events
 
 
@@ -142,19 +142,57 @@ def test_long_chain_of_tasks(load):
 
 
 def test_reports(load):
-    analysis = WasteAnalysis().run(load([*ONE_EACH, row("<b>", 0, "tool_call", name="<script>", cost_usd=None)]).events)
+    analysis = WasteAnalysis().run(load([*ONE_EACH, row("<b>", 0, "tool_call", name="<script>", cost_usd=None), row("billed", 0, "llm_call", cost_usd=0.25, metadata={"synthesized_cost_only": True}), *[row(t, 0, "llm_call", content="same", timestamp=i) for i, t in enumerate(("one", "two"))]]).events)
     report = json.loads(to_json(analysis))
     assert {b["key"]: b["pairs"] for b in report["buckets"]}["confirmed_waste"] == 1
     assert report["verdicts_reached"]["text"] == "4/6 (67%)"
-    assert "Confirmed waste: 1 pair(s)" in to_text(analysis)
+    recurring = report["pair_notes"]["recurring_pairs"]
+    assert report["headline"] == headline(report) and report["total_candidates"] == 6 + recurring and recurring
+    assert any("no claim of waste" in n for n in report["notes"]) and not any("weaker" in n for n in report["notes"])
+    text = to_text(analysis)
+    assert "Confirmed waste: 1 pair(s), $0.5000" in text and "A = waste" in text and "task=A step=2" in text and "task=waste" not in text
+    assert "Billed without a trace, 1 event(s), $0.2500" in text and "Exact repeats:" in text
     page = to_html(analysis)
-    assert "<script>" not in page and "&lt;script&gt;" in page
+    assert "<script" not in page and "&lt;script&gt;" in page
+    assert page.count('class="row"') == 6 and 'id="confirmed_waste"' in page and 'class="tabs"' in page and "repeat pairs" in page
+
+
+def test_report_of_nothing(load, spark):
+    empty = load([row("t", 0, "llm_call")]).events.where("false")
+    analysis = WasteAnalysis().run(empty)
+    assert to_text(analysis).startswith("No repeated calls found.") and "No repeated calls found." in to_html(analysis)
 
 
 def test_report_texts():
     assert [short_label(i) for i in (0, 25, 26, 27)] == ["A", "Z", "AA", "AB"]
     assert fraction(1, 4) == "1/4" and fraction(3, 4 + 1) == "3/5 (60%)"
     assert legend(["task=a b step=1", "task=c x", "task=a b y"], ["a b", "c"]) == {"a b": "A", "c": "B"}
+    assert relabelled("to task=ab step=1 task=a", {"a": "A", "ab": "B"}) == "to task=B step=1 task=A"
+    assert [number_word(n) for n in (0, 20, 21, 1000)] == ["zero", "twenty", "21", "1,000"]
+    buckets = lambda *n: {"total_candidates": sum(n), "buckets": [{"pairs": n[0], "group": "Exact repeats"}, {"pairs": n[1], "group": "Similar or related"}]}
+    assert headline(buckets(0, 0)) == "No repeated calls found."
+    assert headline(buckets(1, 0)) == "One repeat pair. One was exact repeats; zero were similar or related."
+    assert headline(buckets(8, 30)) == "38 repeat pairs. Eight were exact repeats; 30 were similar or related."
+
+
+def test_many_segments_are_summed(spark):
+    rows = [("unclassified", "model", f"m{i:02}", i + 1, 0.5, 0, 1, 2) for i in range(30)] + [("unclassified", "all", "", 465, 15.0, 0, 30, 60)]
+    found = {r.segment: (r.pairs, r.cost_usd) for r in shown_segments(spark.createDataFrame(rows, "bucket string, level string, segment string, pairs long, cost_usd double, unpriced long, tokens_in long, tokens_out long")).collect()}
+    assert len(found) == 21 and found["m29"] == (30, 0.5) and found["(others)"] == (sum(range(1, 11)), 5.0)
+
+
+def test_drift_command(spark, tmp_path, monkeypatch, capsys):
+    from tidemark import cli
+
+    link = {"parent_task_id": "a", "parent_task_link_kind": "continuation"}
+    rows = [row("a", 0, "llm_call"), row("a", 1, "tool_call"), row("b", 0, "llm_call", metadata=link), row("b", 1, "llm_call", content="z", metadata=link)]
+    (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    assert cli.main(["drift", str(tmp_path / "e.jsonl"), "--format", "json"]) == 0
+    (hint,) = json.loads(capsys.readouterr().out)
+    assert (hint["predecessor"], hint["successor"]) == ("a", "b")
+    assert cli.main(["drift", str(tmp_path / "e.jsonl")]) == 0
+    assert "a -> b: shape distance" in capsys.readouterr().out
 
 
 def test_registry():

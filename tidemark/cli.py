@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -15,12 +16,27 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _write(text: str, path: str | None) -> None:
+def _write(text: str | Iterable[str], path: str | None) -> None:
+    parts = [text] if isinstance(text, str) else text
     if path:
         with open(path, "w", encoding="utf-8") as file:
-            file.write(text)
+            file.writelines(parts)
     else:
-        sys.stdout.write(text)
+        sys.stdout.writelines(parts)
+
+
+def _drift_lines(hints: Iterable[dict], form: str) -> Iterator[str]:
+    """A JSON array, a hint a line, or text."""
+    if form == "json":
+        yield "["
+        for i, h in enumerate(hints):
+            yield (",\n" if i else "\n") + json.dumps(h)
+        yield "\n]\n"
+        return
+    yield "Differences between continued tasks are hints, not verdicts.\n"
+    for h in hints:
+        worst = max((c["distance"] for c in h["content_distances"]), default=None)
+        yield f"{h['predecessor']} -> {h['successor']}: shape distance {h['shape_distance']} ({h['shape_fraction']:.0%}), {len(h['added'])} added, {len(h['removed'])} removed, {len(h['substituted'])} substituted" + (f", worst content distance {worst}" if worst is not None else "") + "\n"
 
 
 def _text_of(place: str) -> str:
@@ -95,15 +111,9 @@ def main(argv: list[str] | None = None) -> int:
         from .operators.drift import drift_hints
         from .operators.task_graph import task_edges
 
-        hints = [r.asDict(True) for r in drift_hints(loaded.events, task_edges(loaded.events)).orderBy("predecessor", "successor").collect()]
-        if args.format == "json":
-            _write(json.dumps(hints, indent=2) + "\n", args.out)
-        else:
-            lines = ["Differences between continued tasks are hints, not verdicts."]
-            for h in hints:
-                worst = max((c["distance"] for c in h["content_distances"]), default=None)
-                lines.append(f"{h['predecessor']} -> {h['successor']}: shape distance {h['shape_distance']} ({h['shape_fraction']:.0%}), {len(h['added'])} added, {len(h['removed'])} removed, {len(h['substituted'])} substituted" + (f", worst content distance {worst}" if worst is not None else ""))
-            _write("\n".join(lines) + "\n", args.out)
+        hints = drift_hints(loaded.events, task_edges(loaded.events)).orderBy("predecessor", "successor")
+        # A partition at a time: there may be as many hints as tasks.
+        _write(_drift_lines((r.asDict(True) for r in hints.toLocalIterator()), args.format), args.out)
         return 0
     except jsonl.BadRows as error:
         sys.stderr.write(f"{error}\n")

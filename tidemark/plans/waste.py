@@ -49,6 +49,7 @@ class Analysis:
     buckets: DataFrame
     slices: DataFrame
     comparability: DataFrame
+    pair_notes: DataFrame
     highlights: DataFrame
     reasons: DataFrame
     unpriced: DataFrame
@@ -73,6 +74,7 @@ class WasteAnalysis:
             C.by_bucket(pairs),
             C.slices(pairs),
             C.comparability(events, exact),
+            C.pair_notes(events, pairs),
             C.highlights(pairs),
             C.first_reasons(pairs, self.keep_reasons),
             C.unpriced_samples(events),
