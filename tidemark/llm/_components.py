@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import BROADCAST_ROWS, materialise
+from ._arrow import materialise
+
+#: Links left below which a round joins by broadcast: the driver builds several such tables a round.
+SMALL = 16_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = None
     while n_edges := edges.count():
         # The counted edges bound the nodes left: every table below has at most twice as many rows.
-        small = F.broadcast if 2 * n_edges <= BROADCAST_ROWS else lambda df: df
+        small = F.broadcast if n_edges <= SMALL else lambda df: df
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooked = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
         up = hooked.select(F.col("u").alias("p"), F.col("p").alias("pp"))

@@ -159,10 +159,9 @@ def _posted(single: DataFrame) -> DataFrame:
     return materialise(posted.drop("met").join(hubs, "key"))
 
 
-def _in_components(posted: DataFrame, links: DataFrame) -> DataFrame:
+def _in_components(posted: DataFrame, components: DataFrame) -> DataFrame:
     """Rows (key, members, doc_id, n_shingles, hub, component, of_hub) of the lists that lie in several components, without their hubs."""
-    components = connected_components(links).withColumnRenamed("node", "doc_id")
-    rows = posted.drop("met").join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = posted.drop("met").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("of_hub")).where("lo < hi").select("key", "of_hub")
     return materialise(rows.join(split, "key").where("doc_id <> hub"))
 
@@ -231,11 +230,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     matches = posted.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("matches"), F.max("members").alias("members"), F.first("met").alias("met"))
     best = matches.groupBy("doc_id").agg(F.max(F.struct("matches", "met", (-F.col("hub")).alias("hub"), "members")).alias("b"))
     links = _links(best.select((-F.col("b.hub")).alias("hub"), "doc_id", "b.matches", "b.members"), sets, percent)
-    rows = _in_components(posted, links)
-    links = links.unionAll(_links(rows.where("component <> of_hub").select("hub", "doc_id", F.lit(1).alias("matches"), "members"), sets, percent))
-    links = links.unionAll(_links(_left_over(_in_components(posted, links), sets, percent), sets, percent))
-
-    found = connected_components(links).withColumnRenamed("node", "least")
+    components = connected_components(links)
+    rows = _in_components(posted, components)
+    others = _links(rows.where("component <> of_hub").select("hub", "doc_id", F.lit(1).alias("matches"), "members"), sets, percent)
+    if not others.isEmpty():
+        links = links.unionAll(others)
+        components = connected_components(links)
+        rows = _in_components(posted, components)
+    rest = _links(_left_over(rows, sets, percent), sets, percent)
+    if not rest.isEmpty():
+        components = connected_components(links.unionAll(rest))
+
+    found = components.withColumnRenamed("node", "least")
     of_set = least.select("set_name", F.col("doc_id").alias("least")).join(found, "least", "left").select("set_name", F.coalesce("component", "least").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_name").join(of_set, "set_name", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
