@@ -24,7 +24,7 @@ SQL: dict[str, str] = {
       kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM each ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
       SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
     "op9_chat_formatting": r"""WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-      c AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l FROM t GROUP BY conv_id)
+      c AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l FROM t GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN {'t': turn, 'r': role, 'x': text} END)
       SELECT conv_id, len(l) AS n_turns, array_to_string(list_transform(l, lambda m: '<|' || coalesce(m.r, '') || '|>' || chr(10) || coalesce(m.x, '') || chr(10) || '<|end|>' || chr(10)), '') AS rendered FROM c
       WHERE NOT EXISTS (SELECT 1 FROM c d WHERE len(d.l) > len(c.l) AND d.l[1:len(c.l)] = c.l) AND NOT EXISTS (SELECT 1 FROM c e WHERE e.l = c.l AND e.conv_id < c.conv_id)""",
 }
