@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,22 +51,35 @@ def releasing(batches_to_batches):
     return run
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or the one that the session already uses for checkpoints.
 
     Only a session in local mode that names none gets a folder of this machine's own;
-    on a cluster the parts of a checkpoint must lie where all machines read them.
+    on a cluster what is written must lie where all machines read it.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-            context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if named:
+        return named
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows from Parquet files written in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: Rows and bytes of a side that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 300_000
 BROADCAST_BYTES = 24 << 20
