@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, near-dedup, secret scans, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents.  In every stage columns beyond
+those it works on stay as they are, whatever their names, ties go to the least id, and
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._arrow import materialise, read_table
+from tidemark.llm._arrow import read_table, written
 from tidemark.llm.language_id import PREDICTIONS, held_out, identify, train
 from tidemark.llm.mixing import mixed_rows
 from tidemark.llm.near_dedup import near_duplicates
@@ -22,7 +24,11 @@ ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that language ID rejects; documents without a language get the predicted one."""
+    """Drop documents that language ID rejects; documents without a language get the predicted one.
+
+    Null, empty and letterless texts are rejected; very long ones are judged whole;
+    repeated rows are judged alike, and rows without an id as any other.
+    """
     model = train(docs.where(~held_out()))
     # Columns of the documents' own that have the names of predictions step aside.
     aside = {c: f"_own_{c}" for c in docs.columns if c in PREDICTIONS}
@@ -31,23 +37,38 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """Keep the document of least id of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    Null and wordless texts are like nothing and stay; so do rows without an id; of
+    repeated rows of one id all stay or all go.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace the value of every secret; n_chars follows the text."""
+    """Replace the value of every secret; n_chars follows the text.
+
+    Null texts stay null, with null n_chars; empty ones stay empty; every row stays.
+    """
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents so that sources come near their target weights; every document stays at least once."""
+    """Repeat documents so that sources come near their target weights; every document stays at least once.
+
+    Null and empty texts weigh nothing; rows without a source are one source; repeated
+    rows are passed equally often.
+    """
     return mixed_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the mixture into sequences of at most 2048 tokens."""
+    """Pack the mixture into sequences of at most 2048 tokens.
+
+    Null and empty texts are one end token; longer texts than a sequence are cut; every
+    repeated row is packed for itself.
+    """
     return pack_documents(docs, tokenizer_path(WORD_TOKENIZER))
 
 
@@ -61,8 +82,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again."""
+    """All stages over documents; what a stage returns is written as Parquet in the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
