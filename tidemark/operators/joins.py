@@ -149,24 +149,19 @@ def pair_greedily(calls: DataFrame, ends: DataFrame) -> DataFrame:
     """Each call takes the last end before its own that no earlier call took, within its trace.
 
     calls: trace, end, call_id; ends: trace, end, end_id.  Rows (trace, call_id, end_id).
-    """
-
-    def trace(rows: list[tuple]) -> Iterator[tuple]:
-        free: list[tuple] = []
-        for at, kind, id_ in sorted(rows):
-            if kind == 0:
-                free.append((at, id_))
-            else:
-                yield id_, free.pop()[1] if free else None
-
-    def table(t: pa.Table) -> pa.Table:
-        found = list(trace(list(zip(t["end"].to_pylist(), t["kind"].to_pylist(), t["id"].to_pylist(), strict=True))))
-        key = t["trace"][0].as_py() if len(t) else None
-        return pa.table({"trace": pa.array([key] * len(found), t.schema.field("trace").type), "call_id": pa.array([c for c, _ in found], t.schema.field("id").type), "end_id": pa.array([e for _, e in found], t.schema.field("id").type)})
 
+    Ends pile up and calls take from the top, so the height of the pile tells who meets
+    whom: a call at height h takes the last end that raised the pile to h.  The height is
+    a running sum that never falls below zero.
+    """
     both = calls.select("trace", "end", F.lit(1).alias("kind"), F.col("call_id").alias("id")).unionByName(ends.select("trace", "end", F.lit(0).alias("kind"), F.col("end_id").alias("id")))
-    kinds = dict(both.dtypes)
-    return both.groupBy("trace").applyInArrow(table, f"trace {kinds['trace']}, call_id {kinds['id']}, end_id {kinds['id']}")
+    order = W.partitionBy("trace").orderBy("end", "kind", "id")
+    held = both.withColumn("place", F.row_number().over(order)).withColumn("sum", F.sum(F.when(F.col("kind") == 0, 1).otherwise(-1)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    held = held.withColumn("height", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))))
+    level = F.when(F.col("kind") == 0, F.col("height")).otherwise(F.coalesce(F.lag("height").over(order), F.lit(0)))
+    held = held.withColumn("level", level)
+    taken = F.lag(F.when(F.col("kind") == 0, F.col("id"))).over(W.partitionBy("trace", "level").orderBy("place"))
+    return held.withColumn("end_id", F.when(F.col("level") > 0, taken)).where("kind = 1").select("trace", F.col("id").alias("call_id"), "end_id")
 
 
 def apportion(total: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:

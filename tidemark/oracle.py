@@ -181,6 +181,10 @@ SQL: dict[str, str] = {
       FROM events p WHERE p.event_type = 'purchase'""",
     "positional_join": """WITH a AS (SELECT user_id AS session, event_type, event_id, CASE WHEN event_id % 5 > 0 THEN event_id % 2 END AS name, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)
       SELECT l.session, CAST(l.n AS INTEGER) AS n, l.event_id AS left_id, r.event_id AS right_id FROM a l JOIN a r ON l.session = r.session AND l.n = r.n WHERE l.event_type = 'click' AND r.event_type = 'purchase' AND (l.name IS NULL OR r.name IS NULL OR l.name = r.name)""",
+    "greedy_pairing": """WITH RECURSIVE e AS (SELECT user_id AS trace, event_type = 'view' AS call, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'view', event_id) AS n FROM events WHERE event_type IN ('view', 'click')),
+      walk AS (SELECT trace, 1 AS n, call, id, CASE WHEN call THEN []::BIGINT[] ELSE [id] END AS pile, CAST(NULL AS BIGINT) AS end_id FROM e WHERE n = 1
+        UNION ALL SELECT e.trace, e.n, e.call, e.id, CASE WHEN e.call THEN w.pile[1:len(w.pile) - 1] ELSE list_append(w.pile, e.id) END, CASE WHEN e.call THEN w.pile[len(w.pile)] END FROM walk w JOIN e ON e.trace = w.trace AND e.n = w.n + 1)
+      SELECT trace, id AS call_id, end_id FROM walk WHERE call""",
     "orphan_cost_rows": "SELECT o_orderkey AS key, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "latest_counter_points": f"WITH {_GEN} SELECT channel, model, start, arg_max(value, point) AS value FROM pts GROUP BY channel, model, start",
     "restart_windows": f"WITH {_GEN} SELECT channel, model, start, CASE WHEN EXISTS (SELECT 1 FROM starts b WHERE b.channel = a.channel AND b.model = a.model AND b.start < a.start) THEN start END AS lo, (SELECT min(b.start) FROM starts b WHERE b.channel = a.channel AND b.model = a.model AND b.start > a.start) AS hi FROM starts a",

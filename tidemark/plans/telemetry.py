@@ -216,8 +216,8 @@ def turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", word("conv_id").alias("word"))
 
 
-def opencode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (file, text): exported sessions; every seventh lies in a second file, too, which doesn't count."""
+def opencode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (conv_id, turn, info, parts): messages of sessions; the texts of every sixth session's users are withheld."""
     rows, turn = turn_rows(spark, sf_dir), F.col("turn")
     tokens = F.struct((turn * 7).alias("input"), turn.alias("output"), F.lit(1).alias("reasoning"), F.struct(F.lit(2).alias("read"), F.lit(3).alias("write")).alias("cache"))
     cost = F.when(turn % 4 == 1, F.lit(0.25)).otherwise(F.lit(0.0))
@@ -227,10 +227,26 @@ def opencode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda id_, kind, said=none, tool=none, held=none, count=none, spent=none: F.struct(F.lit(id_).alias("id"), F.lit(kind).alias("type"), said.cast("string").alias("text"), tool.cast("string").alias("tool"), held.cast(_type(rows, state)).alias("state"), count.cast(_type(rows, tokens)).alias("tokens"), spent.cast("double").alias("cost"))
     spoken = F.array(part("p1", "step-start"), part("p2", "text", F.col("word")))
     used = F.when(turn % 4 == 1, F.array(part("p3", "tool", tool=F.lit("grep"), held=state))).otherwise(F.array().cast(f"array<{_type(rows, part('', ''))}>"))
-    parts = F.when(F.col("role") == "assistant", F.concat(spoken, used, F.array(part("p4", "step-finish", count=tokens, spent=cost)))).otherwise(F.array(part("p1", "text", F.col("word"))))
+    asked = F.when((F.col("role") == "user") & (F.col("conv_id") % 6 == 5), F.lit("[redacted:text]")).otherwise(F.col("word"))
+    parts = F.when(F.col("role") == "assistant", F.concat(spoken, used, F.array(part("p4", "step-finish", count=tokens, spent=cost)))).otherwise(F.array(part("p1", "text", asked)))
     mine = F.col("role") == "assistant"
     info = F.struct(F.format_string("m%03d", "turn").alias("id"), "role", F.struct((turn * 1000).alias("created"), F.when(mine, turn * 1000 + 500).alias("completed")).alias("time"), F.when(mine, text("m", (F.col("conv_id") % 3).cast("string"))).alias("modelID"), F.when(mine, text("a", (F.col("conv_id") % 2).cast("string"))).alias("agent"))
-    held = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.struct(info.alias("info"), parts.alias("parts")).alias("m")))), lambda x: x["m"]).alias("messages"))
+    return rows.select("conv_id", "turn", info.alias("info"), parts.alias("parts"))
+
+
+def opencode_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same sessions as tables of a database: all columns are text."""
+    rows = opencode_messages(spark, sf_dir)
+    conv, id_ = F.col("conv_id"), F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("info.id"))
+    session = rows.select("conv_id").distinct().select(F.format_string("ses%d", conv).alias("id"), F.when(conv % 4 == 1, F.format_string("ses%d", conv - 1)).alias("parent_id"), F.lit(None).cast("string").alias("agent"), F.lit("0").alias("time_created"))
+    message = rows.select(id_.alias("id"), F.format_string("ses%d", conv).alias("session_id"), F.col("info.time.created").cast("string").alias("time_created"), F.to_json("info").alias("data"))
+    part = rows.select(id_.alias("message_id"), F.explode("parts").alias("p")).select(F.concat("message_id", F.lit("-"), F.col("p.id")).alias("id"), "message_id", F.to_json("p").alias("data"))
+    return {"session": session, "message": message, "part": part}
+
+
+def opencode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (file, text): exported sessions; every seventh lies in a second file, too, which doesn't count."""
+    held = opencode_messages(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.struct("info", "parts").alias("m")))), lambda x: x["m"]).alias("messages"))
     conv = F.col("conv_id").cast("string")
     session = F.struct(text("ses", conv).alias("id"), F.when(F.col("conv_id") % 4 == 1, F.format_string("ses%d", F.col("conv_id") - 1)).alias("parentID"))
     files = held.select("conv_id", F.to_json(F.struct(session.alias("info"), "messages")).alias("text"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .functions.pricing import ESTIMATED
-from .oracle import _PAIRS, _RAW, SQL as _CORE
+from .oracle import _EV, _RAW
+from .oracle import SQL as _CORE
 
 _SRC = """src0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
   src AS (SELECT *, 'w' || substr('abcdefg', CAST(k % 7 + 1 AS INT), 1) AS word, 1000 + 10 * n AS sec FROM src0)"""
@@ -81,7 +82,7 @@ _ESTIMATE = "CASE conv_id % 3 WHEN 1 THEN turn * 7 * 0.001 + {out} * 0.002 WHEN
 
 _OPENCODE = f"""WITH {_TURNS}, parts AS (
     SELECT conv_id, turn, 0 AS sub, 'llm_call' AS event_type, model AS name, CAST(NULL AS VARCHAR) AS hash, turn * 7 + 5 AS tokens_in, turn + 1 AS tokens_out, 'ok' AS outcome, CASE WHEN turn % 4 = 1 THEN 0.25 ELSE {_ESTIMATE.format(out="(turn + 1)", more=" + 3 * 0.25")} END AS cost,
-      CASE WHEN turn % 4 <> 1 AND conv_id % 3 > 0 THEN '{ESTIMATED}' END AS cost_basis, 'prompt' AS basis, CAST(NULL AS VARCHAR) AS model_basis, model FROM c WHERE role = 'assistant'
+      CASE WHEN turn % 4 <> 1 AND conv_id % 3 > 0 THEN '{ESTIMATED}' END AS cost_basis, CASE WHEN conv_id % 6 = 5 THEN 'opaque' ELSE 'prompt' END AS basis, CAST(NULL AS VARCHAR) AS model_basis, model FROM c WHERE role = 'assistant'
     UNION ALL SELECT conv_id, turn, 1, 'tool_call', 'grep', {_hash(_QUERY)}, NULL, NULL, NULL, NULL, NULL, 'tool_input', 'issuing_llm_call', model FROM c WHERE role = 'assistant' AND turn % 4 = 1
     UNION ALL SELECT conv_id, turn, 2, 'tool_result', 'grep', {_hash("CASE WHEN bad THEN 'bad ' ELSE 'ok ' END || word")}, NULL, NULL, CASE WHEN bad THEN 'error' ELSE 'ok' END, NULL, NULL, 'tool_output', 'issuing_llm_call', model FROM c WHERE role = 'assistant' AND turn % 4 = 1)
   SELECT 'ses' || conv_id AS task_id, row_number() OVER w - 1 AS step_index, event_type, name, outcome, turn * 1000 AS at, round(CAST(cost AS DOUBLE), 6) AS usd, model, CASE WHEN row_number() OVER w > 1 THEN row_number() OVER w - 2 END AS parent_id, 'a' || (conv_id % 2) AS workflow, tokens_in, tokens_out, hash, basis, cost_basis, model_basis,
@@ -124,6 +125,9 @@ SQL: dict[str, str] = {
     "openclaw_events": _OPENCLAW,
     "openclaw_localtrace_events": _LOCALTRACE,
     "opencode_events": _OPENCODE,
+    "opencode_table_events": _OPENCODE,
+    "canonical_json": f"""WITH {_SRC} SELECT event_id, {_hash("CASE WHEN k % 10 = 0 THEN '{broken ' || word ELSE '{" + '"a":[' + "' || k || '" + ',2.5,true],"b":1,"c":{"x":"éé ' + "' || word || '" + '","y":null}}' + "' END")} AS hash FROM src""",
+    "jsonl_round_trip": f"""WITH {_EV} SELECT task_id, step_index, event_type, content_hash, tokens_in, tokens_out, outcome, epoch_us(ts) AS at, cost_usd, model, workflow, write, '/in/folder' AS source_path FROM ev""",
     "pi_events": _PI,
     "otlp_documents": "WITH d AS (SELECT count(DISTINCT user_id // 20) AS n, count(DISTINCT CASE WHEN event_type IN ('view', 'click') THEN user_id // 20 END) AS v FROM events) SELECT true AS is_trace, false AS is_log, false AS is_metrics, 2 * n AS documents FROM d UNION ALL SELECT false, true, false, n FROM d UNION ALL SELECT false, false, true, 12 FROM d",
     "otlp_spans": f"""WITH {_SRC} SELECT 't' || user_id AS trace_id, 'i' || user_id AS span_id, CAST(NULL AS VARCHAR) AS parent_id, 'claude_code.interaction' AS name, 0 AS start, 1000000 AS "end", CAST(NULL AS VARCHAR) AS model, CAST(NULL AS VARCHAR) AS input_tokens, CAST(NULL AS VARCHAR) AS success, CAST(NULL AS VARCHAR) AS said, 'claude-code' AS service FROM src GROUP BY user_id

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import pricing
+from .functions import hashing, pricing
 from .operators import lineage, repeats
 from .plans import telemetry, traces, waste
 from .sources import coding_cli, cowork, jsonl, openclaw, openclaw_localtrace, opencode, openinference, otlp, pi
 from .sources.detect import signals
-from .tables import read_table
+from .tables import read_table, shared_path
 
 PRICES = {"m1": {"input": 0.001, "output": 0.002}, "m2": {"input": 0.003, "output": 0.004, "cache_read": 0.0005, "cache_write": 0.25}}
 
@@ -58,8 +58,34 @@ def openclaw_localtrace_events(spark: SparkSession, d: str) -> DataFrame:
     return _shown(openclaw_localtrace.convert(_docs(telemetry.localtrace_documents(spark, d))), "hash", "basis", "cost_basis", "model_basis", "task_source", "write")
 
 
+def canonical_json(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of JSON values written in several ways, and of texts that aren't JSON."""
+    rows, k = telemetry.session_rows(spark, d), F.col("k").cast("string")
+    value = F.concat(F.lit('{"b" : 1.0, "a":[ '), k, F.lit(', 2.50,true ], "c": {"y": null, "x": "é\\u00e9 '), F.col("word"), F.lit('"}}'))
+    text = F.when(F.col("k") % 10 == 0, F.concat(F.lit("{broken  "), F.col("word"))).otherwise(value)
+    return rows.select("event_id", hashing.hash_structured(text)["hash"].alias("hash"))
+
+
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their place of origin, written as JSON lines in the shared folder and read again."""
+    path = shared_path(spark, "events")
+    events = traces.event_trace(spark, d)
+    jsonl.write_events(jsonl.with_source_path(events.withColumn("ts", F.col("ts").cast("timestamp")), "/in/folder"), path)
+    found = jsonl.read_events(spark, path).events
+    return found.select("task_id", "step_index", "event_type", "content_hash", "tokens_in", "tokens_out", "outcome", F.unix_micros("ts").alias("at"), "cost_usd", "model", "workflow", F.col("metadata.write").alias("write"), F.col("metadata.source_path").alias("source_path"))
+
+
+def opencode_table_events(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions of opencode_events from the tables of a database."""
+    return _opencode(opencode.from_tables(**telemetry.opencode_tables(spark, d)))
+
+
 def opencode_events(spark: SparkSession, d: str) -> DataFrame:
-    found = _shown(opencode.convert(opencode.exports(telemetry.opencode_files(spark, d)), PRICES), "hash", "basis", "cost_basis", "model_basis", "parent_task", "link")
+    return _opencode(opencode.exports(telemetry.opencode_files(spark, d)))
+
+
+def _opencode(sessions: DataFrame) -> DataFrame:
+    found = _shown(opencode.convert(sessions, PRICES), "hash", "basis", "cost_basis", "model_basis", "parent_task", "link")
     # A request's hash covers all that was sent; its SQL isn't known.
     return found.withColumn("hash", F.when(F.col("event_type") != "llm_call", F.col("hash")))
 
@@ -183,7 +209,7 @@ def pair_notes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        openinference_events, openinference_skipped, coding_cli_events, cowork_events, openclaw_events, openclaw_localtrace_events, opencode_events, pi_events,
+        openinference_events, openinference_skipped, coding_cli_events, cowork_events, openclaw_events, openclaw_localtrace_events, opencode_events, opencode_table_events, pi_events, canonical_json, jsonl_round_trip,
         otlp_documents, otlp_spans, otlp_outcomes, otlp_logs, otlp_metric_points, source_signals, jsonl_rows, price_overlay, price_curation,
         tree_effective_parent, tree_exact_repeats, tree_near_repeats, tree_terminal_outcome, pair_notes,
     )
