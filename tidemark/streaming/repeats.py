@@ -12,33 +12,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-PAIRS = "task_id string, original_step long, repeat_step long, event_type string, name string, content_hash string"
-_STATE = "last string"
+from ..operators.repeats import SIGNATURE
+from ..schema import is_call
 
+PAIRS = "task_id string, event_type string, name string, content_hash string, original_step long, repeat_step long"
+#: Silence after which a call's state is dropped, in milliseconds.
+TIMEOUT = 3_600_000
 
-def _key(row) -> str:
-    return "\x1f".join((row.event_type, row.name, row.content_hash))
-
-
-def _pairs(task: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import json
 
+def _pairs(call: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
-    last = json.loads(state.get[0]) if state.exists else {}
-    out = []
-    rows = pd.concat(list(frames)).sort_values("step_index")
-    for row in rows[rows.event_type.isin(["llm_call", "tool_call"])].itertuples():
-        if (step := last.get(_key(row))) is not None and step < row.step_index:
-            out.append((task[0], step, row.step_index, row.event_type, row.name, row.content_hash))
-        last[_key(row)] = row.step_index
-    state.update((json.dumps(last),))
-    state.setTimeoutDuration(3_600_000)
-    yield pd.DataFrame(out, columns=["task_id", "original_step", "repeat_step", "event_type", "name", "content_hash"])
+    last, out = state.get[0] if state.exists else None, []
+    for step in sorted(s for frame in frames for s in frame["step_index"].tolist()):
+        if last is not None and last < step:
+            out.append((*call, last, step))
+        last = step
+    state.update((last,))
+    state.setTimeoutDuration(TIMEOUT)
+    yield pd.DataFrame(out, columns=["task_id", *SIGNATURE, "original_step", "repeat_step"])
 
 
 def streaming_repeats(events: DataFrame) -> DataFrame:
-    """Pairs of a stream of events, an hour of silence ending a task's state."""
-    events = events.select("task_id", "step_index", "event_type", "name", "content_hash")
-    return events.groupBy("task_id").applyInPandasWithState(_pairs, PAIRS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Pairs of a stream of events; the state is one step for each call of a task, and no group holds more."""
+    calls = events.where(is_call()).select("task_id", *SIGNATURE, "step_index")
+    found = calls.groupBy("task_id", *SIGNATURE).applyInPandasWithState(_pairs, PAIRS, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return found.select("task_id", "original_step", "repeat_step", *SIGNATURE)
