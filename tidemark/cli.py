@@ -91,10 +91,12 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "adapt":
             from .functions.pricing import age_note, load_overlaid
             from .sources.detect import adapt as convert
+            from .sources.summary import lines
 
             prices, made = load_overlaid(args.prices, args.price_override)
             events = convert(spark, args.path, args.source, prices, tuple(registry.sources().found.values()))
             jsonl.write_events(jsonl.with_source_path(events, args.path), args.out)
+            sys.stderr.writelines(f"{line}\n" for line in lines(jsonl.read_events(spark, args.out, lenient=True).events))
             if prices and (note := age_note(made)):
                 sys.stderr.write(f"{note}\n")
             return 0

@@ -117,7 +117,15 @@ _LIKE = _WALK.format(fits="true").replace("walk", "walk2").replace("met AS", "me
 _RESULTS = """results AS (SELECT c.task_id, c.step_index, CASE WHEN c.event_type = 'llm_call' THEN c.response_hash ELSE (SELECT arg_min(r.content_hash, r.step_index) FROM placed r WHERE r.task_id = c.task_id AND r.eff_parent = c.step_index AND r.event_type = 'tool_result') END AS result FROM placed c WHERE c.event_type <> 'tool_result'),
   ends AS (SELECT task_id, nullif(arg_max(coalesce(outcome, '-'), step_index), '-') AS terminal_outcome FROM placed WHERE NOT synthesized GROUP BY task_id)"""
 
+#: Counts of one source's events by each measure; missing columns are null.
+_MEASURES = """SELECT 'event type' AS measure, event_type AS value, usd FROM {t} UNION ALL SELECT 'content', {content}, usd FROM {t} UNION ALL SELECT 'cost', CASE WHEN usd IS NULL THEN '(none)' ELSE coalesce(cost_basis, 'reported') END, usd FROM {t} WHERE event_type = 'llm_call'
+    UNION ALL SELECT 'model', coalesce(model_basis, CASE WHEN model IS NULL THEN '(none)' ELSE 'reported' END), usd FROM {t} UNION ALL SELECT 'task id', {source}, usd FROM {t} UNION ALL SELECT 'parent task', {link}, usd FROM {t} WHERE {link} IS NOT NULL
+    UNION ALL SELECT 'tool writes', '(none)', usd FROM {t} WHERE event_type = 'tool_call' UNION ALL SELECT 'outcome', coalesce(outcome, '(none)'), usd FROM {t}"""
+_COUNTED = "count(*) AS events, round(CAST(coalesce(sum(CAST(usd AS DECIMAL(38, 9))), 0) AS DOUBLE), 6) AS usd"
+
 SQL: dict[str, str] = {
+    "conversion_summary": f"""WITH a AS ({_OPENINFERENCE}), b AS ({_OPENCODE}), x AS ({_MEASURES.format(t="a", content="'(none)'", source="task_source", link="CAST(NULL AS VARCHAR)")}), y AS ({_MEASURES.format(t="b", content="coalesce(basis, '(none)')", source="'session_id'", link="link")})
+      SELECT measure, value, {_COUNTED}, 'openinference' AS source FROM x GROUP BY 1, 2 UNION ALL SELECT measure, value, {_COUNTED}, 'opencode' FROM y GROUP BY 1, 2""",
     "openinference_events": _OPENINFERENCE,
     "openinference_skipped": f"WITH {_SRC} SELECT 'AGENT' AS kind, count(DISTINCT user_id) AS spans FROM src UNION ALL SELECT 'CHAIN', count(*) FROM src WHERE event_type = 'signup'",
     "coding_cli_events": _CODING_CLI,

@@ -12,6 +12,7 @@ from .operators import lineage, repeats
 from .plans import telemetry, traces, waste
 from .sources import coding_cli, cowork, jsonl, openclaw, openclaw_localtrace, opencode, openinference, otlp, pi
 from .sources.detect import signals
+from .sources.summary import summary
 from .tables import read_table, shared_path
 
 PRICES = {"m1": {"input": 0.001, "output": 0.002}, "m2": {"input": 0.003, "output": 0.004, "cache_read": 0.0005, "cache_write": 0.25}}
@@ -177,6 +178,13 @@ def price_curation(spark: SparkSession, d: str) -> DataFrame:
     return pricing.curate(listing).select("model", F.round("input", 4).alias("input"))
 
 
+def conversion_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What conversions of two sources made."""
+    one = openinference.convert(_docs(telemetry.openinference_documents(spark, d)), PRICES)
+    other = opencode.convert(opencode.exports(telemetry.opencode_files(spark, d)), PRICES)
+    return summary(one).withColumn("source", F.lit("openinference")).unionByName(summary(other).withColumn("source", F.lit("opencode")))
+
+
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     return traces.event_tree(spark, d)
 
@@ -209,7 +217,7 @@ def pair_notes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        openinference_events, openinference_skipped, coding_cli_events, cowork_events, openclaw_events, openclaw_localtrace_events, opencode_events, opencode_table_events, pi_events, canonical_json, jsonl_round_trip,
+        openinference_events, openinference_skipped, coding_cli_events, cowork_events, openclaw_events, openclaw_localtrace_events, opencode_events, opencode_table_events, pi_events, canonical_json, jsonl_round_trip, conversion_summary,
         otlp_documents, otlp_spans, otlp_outcomes, otlp_logs, otlp_metric_points, source_signals, jsonl_rows, price_overlay, price_curation,
         tree_effective_parent, tree_exact_repeats, tree_near_repeats, tree_terminal_outcome, pair_notes,
     )
