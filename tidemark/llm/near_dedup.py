@@ -148,22 +148,23 @@ def _pairs_of(x: DataFrame, y: DataFrame, on: str, more: F.Column) -> DataFrame:
 def _posted(single: DataFrame) -> DataFrame:
     """Rows (key, members, doc_id, n_shingles, hub, met): the lists to merge, without those of one document; met is the hub's."""
     postings = single.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    shared = postings.join(postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
+    # What is counted by list is written before it meets the postings: only a join of plain exchanges deals a long list over several tasks.
+    shared = postings.join(materialise(postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")), "key")
     # A document holds at most COORDINATES keys; those of no other document come before the shared ones.
     own = shared.groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("lists")).where(F.size("lists") >= MATCHES)
     prefix = own.select("doc_id", "n_shingles", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (MATCHES - 1))["key"]).alias("key"))
     prefix = materialise(prefix)
-    posted = materialise(prefix.join(prefix.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"))
+    posted = materialise(prefix.join(materialise(prefix.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")), "key"))
     posted = posted.join(posted.groupBy("doc_id").agg(F.sum("members").alias("met")), "doc_id")
     hubs = posted.groupBy("key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("of")).select("key", (-F.col("of.least")).alias("hub"), "of.met")
-    return materialise(posted.drop("met").join(hubs, "key"))
+    return materialise(posted.drop("met").join(materialise(hubs), "key"))
 
 
 def _in_components(posted: DataFrame, components: DataFrame) -> DataFrame:
     """Rows (key, members, doc_id, n_shingles, hub, component, of_hub) of the lists that lie in several components, without their hubs."""
     rows = posted.drop("met").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("of_hub")).where("lo < hi").select("key", "of_hub")
-    return materialise(rows.join(split, "key").where("doc_id <> hub"))
+    return materialise(rows.join(materialise(split), "key").where("doc_id <> hub"))
 
 
 def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
