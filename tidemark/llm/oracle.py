@@ -5,7 +5,36 @@ from __future__ import annotations
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Each kind: its pattern, the group of its value, its least length.  Bare tokens are whole runs of their characters that hold a digit.
+_SECRETS = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]{24,}", 0, 24),
+    ("owned", "[A-Za-z0-9+/_-]+", 0, 24),
+)
+
+
+def _spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: matches and the pieces between them alternate, so running sums of their lengths give the starts."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, pos, pos + length(m) AS until, v FROM (
+        SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS pos FROM (
+          SELECT doc_id, source, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[1:len(ms)]) AS p FROM (
+            SELECT doc_id, source, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, string_split_regex(t, '{p}') AS ps FROM d))) WHERE length(v) >= {least}"""
+
+
+_EVERY_SPAN = " UNION ALL ".join(_spans(rank, *kind) for rank, kind in enumerate(_SECRETS))
+_SHOWN = "string_agg(kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(until AS BIGINT), ',' ORDER BY pos, rank, until)"
+
 SQL: dict[str, str] = {
+    "op7_secret_scans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS source FROM documents), every AS ({_EVERY_SPAN}),
+      base AS (SELECT * FROM every WHERE rank < 3), bare AS (SELECT * FROM every WHERE rank = 3 AND regexp_matches(v, '[0-9]')),
+      clear AS (SELECT * FROM bare b WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.doc_id = b.doc_id AND s.pos < b.until AND b.pos < s.until)),
+      both_kinds AS (SELECT * FROM base UNION ALL SELECT * FROM clear), held AS (SELECT v, count(DISTINCT source) AS owners FROM both_kinds GROUP BY v),
+      judged AS (SELECT k.*, owners <= 2 AS live FROM both_kinds k JOIN held USING (v) WHERE rank < 3 OR owners <= 2),
+      counts AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (live) AS n_live, {_SHOWN} AS spans,
+        string_agg(CASE WHEN rank < 3 THEN kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(until AS BIGINT) END, ',' ORDER BY pos, rank, until) AS base FROM judged GROUP BY doc_id)
+      SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN counts USING (doc_id)""",
     "op2_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
       s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS g FROM w),
       n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
