@@ -73,6 +73,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def detached(df: DataFrame) -> DataFrame:
+    """A checkpoint without the size that the planner estimated for what it holds.
+
+    Estimates of joins multiply, and a checkpoint hands them on, so that steps upon steps
+    end in numbers of millions of digits that the driver works on for minutes.
+    """
+    held, session = materialise(df)._jdf, df.sparkSession
+    rows = held.queryExecution().toRdd()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows, held.schema(), False), session)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows from Parquet files written in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import materialise
+from ._arrow import detached
 
 #: Links left below which a round joins by broadcast: the driver builds several such tables a round.
 SMALL = 16_000
@@ -19,23 +19,23 @@ def connected_components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain.  Nothing is collected.  What is left is counted
     each round and broadcast to the joins once it is small.
     """
-    edges = materialise(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct())
+    edges = detached(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct())
     labels = None
     while n_edges := edges.count():
         # The counted edges bound the nodes left: every table below has at most twice as many rows.
         small = F.broadcast if n_edges <= SMALL else lambda df: df
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooked = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
+        hooked = detached(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
         up = hooked.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        parent = materialise(hooked.join(small(up), "p").select("u", F.col("pp").alias("p")))
+        parent = detached(hooked.join(small(up), "p").select("u", F.col("pp").alias("p")))
         at = parent.select(F.col("u").alias("component"), F.col("p").alias("to"))
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
-            labels = materialise(labels.join(small(at), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            labels = detached(labels.join(small(at), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         ends = parent.select(F.col("u").alias("v"), F.col("p").alias("q"))
         left = edges.join(small(parent), "u").select("p", "v").join(small(ends), "v").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
-        edges = materialise(left.where("u <> v").distinct())
+        edges = detached(left.where("u <> v").distinct())
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")
     return labels

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded_batches, broadcast_if_small, materialise, releasing
+from ._arrow import bounded_batches, broadcast_if_small, detached, releasing
 from ._components import connected_components
 from ._words import gram_hashes, mix64, words_of
 
@@ -98,7 +98,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
     found = docs.join(broadcast_if_small(ids.distinct()), "doc_id", "left_semi").mapInArrow(releasing(sets), "doc_id long, packed binary")
-    return materialise(found.dropDuplicates(["doc_id"]))
+    return detached(found.dropDuplicates(["doc_id"]))
 
 
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -131,9 +131,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             same = pa.array([linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), m) for x, y, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), batch.column(1).filter(same)], names=["a", "b"])
 
-    pairs = materialise(pairs.groupBy("hub", "doc_id").agg(F.sum("matches").alias("matches"), F.max("members").alias("members")))
+    pairs = detached(pairs.groupBy("hub", "doc_id").agg(F.sum("matches").alias("matches"), F.max("members").alias("members")))
     met = _beside(pairs, sets).select("hub", "doc_id", "x", "y", "matches")
-    return materialise(met.mapInArrow(releasing(compared), "a long, b long"))
+    return detached(met.mapInArrow(releasing(compared), "a long, b long"))
 
 
 def _sizes(x: F.Column, y: F.Column, percent: int) -> F.Column:
@@ -149,22 +149,22 @@ def _posted(single: DataFrame) -> DataFrame:
     """Rows (key, members, doc_id, n_shingles, hub, met): the lists to merge, without those of one document; met is the hub's."""
     postings = single.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     # What is counted by list is written before it meets the postings: only a join of plain exchanges deals a long list over several tasks.
-    shared = postings.join(materialise(postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")), "key")
+    shared = postings.join(detached(postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")), "key")
     # A document holds at most COORDINATES keys; those of no other document come before the shared ones.
     own = shared.groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("lists")).where(F.size("lists") >= MATCHES)
     prefix = own.select("doc_id", "n_shingles", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (MATCHES - 1))["key"]).alias("key"))
-    prefix = materialise(prefix)
-    posted = materialise(prefix.join(materialise(prefix.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")), "key"))
+    prefix = detached(prefix)
+    posted = detached(prefix.join(detached(prefix.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")), "key"))
     posted = posted.join(posted.groupBy("doc_id").agg(F.sum("members").alias("met")), "doc_id")
     hubs = posted.groupBy("key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("of")).select("key", (-F.col("of.least")).alias("hub"), "of.met")
-    return materialise(posted.drop("met").join(materialise(hubs), "key"))
+    return detached(posted.drop("met").join(detached(hubs), "key"))
 
 
 def _in_components(posted: DataFrame, components: DataFrame) -> DataFrame:
     """Rows (key, members, doc_id, n_shingles, hub, component, of_hub) of the lists that lie in several components, without their hubs."""
     rows = posted.drop("met").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("of_hub")).where("lo < hi").select("key", "of_hub")
-    return materialise(rows.join(materialise(split), "key").where("doc_id <> hub"))
+    return detached(rows.join(detached(split), "key").where("doc_id <> hub"))
 
 
 def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     within = (F.col("x.component") < F.col("y.component")) & sizes
     pairs = _pairs_of(short.alias("x"), short.alias("y"), "key", within).select("hub", "doc_id", F.lit(1).alias("matches"), F.lit(LIST).alias("members"))
 
-    group = materialise(rows.where(F.col("members") > LIST).groupBy("hub", "doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("component").alias("component"), F.max("members").alias("members"), F.first("of_hub").alias("of_hub")))
+    group = detached(rows.where(F.col("members") > LIST).groupBy("hub", "doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("component").alias("component"), F.max("members").alias("members"), F.first("of_hub").alias("of_hub")))
     if group.isEmpty():
         return pairs
 
@@ -187,15 +187,15 @@ def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["hub", "doc_id", "others"])
 
     other = _beside(group.select("hub", "doc_id", "members"), sets).select("hub", "doc_id", "x", "y").mapInArrow(releasing(others), "hub long, doc_id long, others array<long>")
-    other = materialise(other)
+    other = detached(other)
     shared = other.select("hub", "doc_id", F.size("others").alias("own"))
-    other = materialise(other.repartition("hub", "doc_id").select("hub", "doc_id", F.explode("others").alias("shingle")))
-    often = materialise(other.groupBy("hub", "shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")).where(F.col("docs") <= RARE))
-    rare = materialise(other.join(often.where("docs > 1").select("hub", "shingle"), ["hub", "shingle"]))
+    other = detached(other.repartition("hub", "doc_id").select("hub", "doc_id", F.explode("others").alias("shingle")))
+    often = detached(other.groupBy("hub", "shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")).where(F.col("docs") <= RARE))
+    rare = detached(other.join(often.where("docs > 1").select("hub", "shingle"), ["hub", "shingle"]))
     counts = often.where("docs = 1").select("hub", "doc_id").unionAll(rare.select("hub", "doc_id")).groupBy("hub", "doc_id").agg(F.count("*").alias("rare"))
     group = group.join(shared, ["hub", "doc_id"]).join(counts, ["hub", "doc_id"], "left")
     # What a document shares with the hub, and what it can share with another one besides that and rare shingles.
-    group = materialise(group.withColumn("shared", F.col("n_shingles") - F.col("own")).withColumn("frequent", F.col("own") - F.coalesce("rare", F.lit(0))).drop("rare", "own"))
+    group = detached(group.withColumn("shared", F.col("n_shingles") - F.col("own")).withColumn("frequent", F.col("own") - F.coalesce("rare", F.lit(0))).drop("rare", "own"))
     enough = lambda extra: (100 + percent) * (F.least("x.shared", "y.shared") + F.least("x.frequent", "y.frequent") + extra) >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
 
     # A partner has at least percent of a document's shingles.
@@ -222,10 +222,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     distinct for different texts; a row without an id is linked with nothing and kept.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(_signed(docs, shingle))
+    signed = detached(_signed(docs, shingle))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     least = filled.groupBy("set_name").agg(F.min("doc_id").alias("doc_id"))
-    single = materialise(filled.join(least, ["set_name", "doc_id"], "left_semi").dropDuplicates(["set_name", "doc_id"]).select("doc_id", "n_shingles", "keys"))
+    single = detached(filled.join(least, ["set_name", "doc_id"], "left_semi").dropDuplicates(["set_name", "doc_id"]).select("doc_id", "n_shingles", "keys"))
     posted = _posted(single)
     sets = _sets(docs, posted.select("doc_id"), shingle)
     matches = posted.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("matches"), F.max("members").alias("members"), F.first("met").alias("met"))
