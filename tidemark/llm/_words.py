@@ -113,3 +113,14 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
         total = np.zeros(len(words) + 1, _U)
         np.cumsum(words * up[: len(words)], out=total[1:])
         return mix64((total[n:] - total[:-n]) * down[:count] + _U(n) * _ODD)
+
+
+def run_hashes(raw: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n consecutive bytes (none if there are fewer)."""
+    if len(raw) < n:
+        return np.zeros(0, _U)
+    up, down = _powers_to(len(raw))
+    total = np.zeros(len(raw) + 1, _U)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
+        return mix64((total[n:] - total[:-n]) * down[: len(raw) - n + 1])

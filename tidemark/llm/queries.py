@@ -18,6 +18,7 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .secrets import KINDS, scan_secrets, span_list
 from .substring_dedup import remove_repeated
+from .suffix_dedup import remove_repeated_bytes
 from .token_counts import count_tokens
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -107,6 +108,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_TOKENIZER))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_bytes(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -119,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_token_counts": op10_token_counts,
+        "op11_suffix_dedup": op11_suffix_dedup,
     }
 
 
