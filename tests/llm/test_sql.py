@@ -9,7 +9,7 @@ from tidemark.llm import oracle, queries
 def test_query(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from ._arrow import read_table
+from .centroids import cluster_vectors
 from .chat import maximal_conversations, render
+from .collocations import collocations
 from .fingerprints import fingerprint, fingerprint_string, lexicon, likeness, with_next
 from .language_id import held_out, identify, train
 from .media import decode_audio, encode_audio
@@ -113,6 +115,15 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -126,6 +137,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_formatting": op9_chat_formatting,
         "op10_token_counts": op10_token_counts,
         "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_centroids": op12_centroids,
+        "op13_collocations": op13_collocations,
     }
 
 
