@@ -376,8 +376,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     known = docs.withColumn("name", F.when(F.octet_length("text") >= length, F.md5("text"))).join(equal, "name", "left").withColumn("key", F.xxhash64("name"))
     # One row of equal texts stands for all; rows that repeat the id, too, give the same places again.
     texts = known.where(F.col("name").isNotNull() & (F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("least")))).select("key", "text")
-    anchors = broadcast_if_small(_repeated_anchors(texts, length, gram, buckets), "aggregate(found, 0L, (n, x) -> n + 7 * octet_length(x.owns))")
-    contexts = written(_contexts(texts, anchors, length))
+    # Repeated anchors are many and grow with the texts: both meet by a shuffle, at any size.
+    contexts = written(_contexts(texts, _repeated_anchors(texts, length, gram, buckets), length))
     found = contexts.where("kind = 0").select("key", "start", "stop")
     contexts = contexts.where("kind = 1").select("key", "start", "anchor", "often", "part")
     crowded = contexts.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
