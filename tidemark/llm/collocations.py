@@ -32,7 +32,7 @@ from ._words import mix64
 
 LEAST, TOP, LONGEST = 30, 2000, 4
 #: Bytes of text in a shard, about; rows of a batch that leaves it; pairs known to the second pass.
-SHARD_BYTES, SENT_ROWS = 12 << 20, 50_000
+SHARD_BYTES, SENT_ROWS = 6 << 20, 20_000
 FILTER_PAIRS = 2_000_000
 
 _U = np.uint64
@@ -59,10 +59,9 @@ class Shard:
         begins, ends = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
         if len(ends) < len(begins):
             ends = np.append(ends, len(raw))
-        lengths = ends - begins
-        letters = pa.py_buffer(_LOWER[raw[word]])
-        offsets = pa.py_buffer(np.append(0, np.cumsum(lengths)))
-        coded = pa.LargeStringArray.from_buffers(len(begins), offsets, letters).dictionary_encode()
+        offsets = pa.py_buffer(np.append(0, np.cumsum(ends - begins)))
+        coded = pa.LargeStringArray.from_buffers(len(begins), offsets, pa.py_buffer(_LOWER[raw[word]])).dictionary_encode()
+        del word, before, ends, offsets
         self.texts: pa.Array = coded.dictionary
         numbers = coded.indices.to_numpy().astype(np.int64) + 1
         # A word's place moves on by the pieces that have ended before it.
@@ -82,9 +81,11 @@ class Shard:
         order = np.argsort(pairs)
         ordered = pairs[order]
         two[places[order]] = 1 + np.cumsum(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        del pairs, order, ordered
         # Past the end of a piece nothing follows.
         four = two[places] * top + np.where(second[places] > 0, two[places + 2], 0)
         self.suffixes = places[np.argsort(four)]
+        del two, four
         here, there = self.suffixes[1:], self.suffixes[:-1]
         same, self.shared = np.ones(len(here), bool), np.zeros(len(self.suffixes), np.int64)
         for k in range(LONGEST):
@@ -158,10 +159,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
 COUNTS = "lang string, phrase string, a long"
 
 
-def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(lang: str, shard: Shard, n: int, ok: np.ndarray) -> Iterator[pa.RecordBatch]:
+    places, counts = shard.intervals(n, ok)
     for i in range(0, len(counts), SENT_ROWS):
-        part = phrases.slice(i, SENT_ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, pa.array(counts[i : i + SENT_ROWS], pa.int64())], names=["lang", "phrase", "a"])
+        phrases = shard.phrases(places[i : i + SENT_ROWS], n)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), phrases, pa.array(counts[i : i + SENT_ROWS], pa.int64())], names=["lang", "phrase", "a"])
 
 
 def _merged(docs: DataFrame, counted, least: int) -> DataFrame:
@@ -178,10 +180,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
         for lang, raw in _shards(batches):
             shard = Shard(raw)
             if len(shard.suffixes):
-                yield from _rows(lang, pa.array([""]), np.array([len(shard.suffixes)]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([len(shard.suffixes)])], names=["lang", "phrase", "a"])
             for n in (1, 2):
-                places, counts = shard.intervals(n, shard.whole(n))
-                yield from _rows(lang, shard.phrases(places, n), counts)
+                yield from _rows(lang, shard, n, shard.whole(n))
 
     found = _merged(docs, short, least)
     known = _known_pairs(found)
@@ -202,8 +203,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
                 ok = shard.whole(n)
                 for k in range(n - 1):
                     ok &= frequent[shard.suffixes + k]
-                places, counts = shard.intervals(n, ok)
-                yield from _rows(lang, shard.phrases(places, n), counts)
+                yield from _rows(lang, shard, n, ok)
 
     return found.unionByName(_merged(docs, long, least))
 
