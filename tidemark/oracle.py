@@ -87,7 +87,13 @@ _NORMAL = r"trim(regexp_replace(nfc_normalize(text), '[\t-\r\x1c-\x20\x{85}\x{a0
 # A boundary lies where a word of any script ends, here only of ASCII: so a q, marked to be taken out again, stands between an
 # ASCII word character and a letter or number of another script (but the sign of microseconds, which a rule names).
 _OTHER = r"[^\x00-\x7F\x{b5}\p{P}\p{S}\p{Z}\p{C}\p{M}]"
-_GUARDED = f"regexp_replace(regexp_replace({_NORMAL}, '({_OTHER})([0-9A-Za-z_])', '\\1\ue000q\\2', 'g'), '([0-9A-Za-z_])({_OTHER})', '\\1q\ue000\\2', 'g')"
+
+
+def _guard(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '({_OTHER})([0-9A-Za-z_])', '\\1\ue000q\\2', 'g'), '([0-9A-Za-z_])({_OTHER})', '\\1q\ue000\\2', 'g')"
+
+
+_GUARDED = _guard(_NORMAL)
 _UNGUARDED = "replace(replace(s, '\ue000q', ''), 'q\ue000', '')"
 _MASKS, _INTEGERS = MASKS, INTEGERS
 

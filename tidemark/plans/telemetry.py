@@ -213,30 +213,40 @@ def localtrace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", word("conv_id").alias("word"))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("said"), word("conv_id").alias("word"))
 
 
-def opencode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (conv_id, turn, info, parts): messages of sessions; the texts of every sixth session's users are withheld."""
+def opencode_messages(spark: SparkSession, sf_dir: str, prefix: str = "") -> DataFrame:
+    """Rows (conv_id, turn, info, parts): messages of sessions; the texts of every sixth session's users are withheld.
+
+    In every fifth session a user asks for a compaction, the next message is its summary,
+    and every second of these keeps a tail.  prefix: what ids of messages begin with.
+    """
     rows, turn = turn_rows(spark, sf_dir), F.col("turn")
+    order = W.partitionBy("conv_id").orderBy("turn")
+    rows = rows.withColumn("asks", (F.col("conv_id") % 5 == 2) & turn.isin(2, 3) & (F.col("role") == "user") & (F.coalesce(F.lead("role").over(order), F.lit("")) == "assistant"))
+    rows = rows.withColumn("sums", F.coalesce(F.lag("asks").over(order), F.lit(False)))
+    own = lambda t: F.format_string(prefix + "m%03d", *([F.col("conv_id")] if prefix else []), t)
     tokens = F.struct((turn * 7).alias("input"), turn.alias("output"), F.lit(1).alias("reasoning"), F.struct(F.lit(2).alias("read"), F.lit(3).alias("write")).alias("cache"))
     cost = F.when(turn % 4 == 1, F.lit(0.25)).otherwise(F.lit(0.0))
     status = F.when(F.col("conv_id") % 5 == 0, "error").otherwise("completed")
     state = F.struct(status.alias("status"), F.struct(F.col("word").alias("q")).alias("input"), F.concat(F.lit("ok "), F.col("word")).alias("output"), F.concat(F.lit("bad "), F.col("word")).alias("error"))
     none = F.lit(None)
-    part = lambda id_, kind, said=none, tool=none, held=none, count=none, spent=none: F.struct(F.lit(id_).alias("id"), F.lit(kind).alias("type"), said.cast("string").alias("text"), tool.cast("string").alias("tool"), held.cast(_type(rows, state)).alias("state"), count.cast(_type(rows, tokens)).alias("tokens"), spent.cast("double").alias("cost"))
-    spoken = F.array(part("p1", "step-start"), part("p2", "text", F.col("word")))
+    part = lambda id_, kind, said=none, tool=none, held=none, count=none, spent=none, tail=none: F.struct(F.lit(id_).alias("id"), F.lit(kind).alias("type"), said.cast("string").alias("text"), tool.cast("string").alias("tool"), held.cast(_type(rows, state)).alias("state"), count.cast(_type(rows, tokens)).alias("tokens"), spent.cast("double").alias("cost"), tail.cast("string").alias("tail_start_id"))
+    spoken = F.array(part("p1", "step-start"), part("p2", "text", F.col("said")))
     used = F.when(turn % 4 == 1, F.array(part("p3", "tool", tool=F.lit("grep"), held=state))).otherwise(F.array().cast(f"array<{_type(rows, part('', ''))}>"))
-    asked = F.when((F.col("role") == "user") & (F.col("conv_id") % 6 == 5), F.lit("[redacted:text]")).otherwise(F.col("word"))
-    parts = F.when(F.col("role") == "assistant", F.concat(spoken, used, F.array(part("p4", "step-finish", count=tokens, spent=cost)))).otherwise(F.array(part("p1", "text", asked)))
+    asked = F.when((F.col("role") == "user") & (F.col("conv_id") % 6 == 5), F.lit("[redacted:text]")).otherwise(F.col("said"))
+    cut = F.array(part("p1", "text", asked), part("p2", "compaction", tail=F.when(F.col("conv_id") % 2 == 0, own(F.lit(1)))))
+    parts = F.when(F.col("role") == "assistant", F.concat(spoken, used, F.array(part("p4", "step-finish", count=tokens, spent=cost)))).when(F.col("asks"), cut).otherwise(F.array(part("p1", "text", asked)))
     mine = F.col("role") == "assistant"
-    info = F.struct(F.format_string("m%03d", "turn").alias("id"), "role", F.struct((turn * 1000).alias("created"), F.when(mine, turn * 1000 + 500).alias("completed")).alias("time"), F.when(mine, text("m", (F.col("conv_id") % 3).cast("string"))).alias("modelID"), F.when(mine, text("a", (F.col("conv_id") % 2).cast("string"))).alias("agent"))
+    info = F.struct(F.format_string("m%03d", "turn").alias("id"), "role", F.struct((turn * 1000).alias("created"), F.when(mine, turn * 1000 + 500).alias("completed")).alias("time"), F.when(mine, text("m", (F.col("conv_id") % 3).cast("string"))).alias("modelID"), F.when(mine, text("a", (F.col("conv_id") % 2).cast("string"))).alias("agent"),
+        F.when(F.col("sums"), True).alias("summary"), F.when(F.col("sums"), "stop").alias("finish"), F.when(F.col("sums"), own(turn - 1)).alias("parentID"))
     return rows.select("conv_id", "turn", info.alias("info"), parts.alias("parts"))
 
 
 def opencode_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The same sessions as tables of a database: all columns are text."""
-    rows = opencode_messages(spark, sf_dir)
+    rows = opencode_messages(spark, sf_dir, "m%d-")
     conv, id_ = F.col("conv_id"), F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("info.id"))
     session = rows.select("conv_id").distinct().select(F.format_string("ses%d", conv).alias("id"), F.when(conv % 4 == 1, F.format_string("ses%d", conv - 1)).alias("parent_id"), F.lit(None).cast("string").alias("agent"), F.lit("0").alias("time_created"))
     message = rows.select(id_.alias("id"), F.format_string("ses%d", conv).alias("session_id"), F.col("info.time.created").cast("string").alias("time_created"), F.to_json("info").alias("data"))
@@ -259,23 +269,35 @@ def _type(rows: DataFrame, column: Column) -> str:
 
 
 def pi_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (file, text): session files; every other session's tool calls are answered, every fourth session is a fork."""
+    """Rows (file, text): session files; every other session's tool calls are answered, every fourth session is a fork.
+
+    Of five sessions one has a compaction after turn 3 that keeps what comes from turn 2 on,
+    one has an edit after turn 2 that replaces or removes turn 1, and one goes back to turn 1
+    before turn 4, with a summary of the branch left.
+    """
     rows, turn, conv = turn_rows(spark, sf_dir), F.col("turn"), F.col("conv_id")
-    stamp = lambda t: F.format_string("1970-01-01T00:%02d:00Z", t)
-    answered = (turn % 4 == 1) & (conv % 2 == 0) & (F.col("role") == "assistant")
-    order = W.partitionBy("conv_id").orderBy("turn")
-    own = F.format_string("e%d", "turn")
-    rows = rows.withColumn("above", F.lag(F.when(answered, F.format_string("r%d", "turn")).otherwise(own)).over(order))
-    call = F.struct(F.lit("toolCall").alias("type"), F.lit(None).cast("string").alias("text"), F.format_string("c%d", "turn").alias("id"), F.lit("grep").alias("name"), F.struct(F.col("word").alias("q")).alias("arguments"))
-    words = F.struct(F.lit("text").alias("type"), F.col("word").alias("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<q:string>").alias("arguments"))
-    mine = F.col("role") == "assistant"
-    content = F.when(mine & (turn % 4 == 1), F.array(words, call)).otherwise(F.array(words))
+    mine, none = F.col("role") == "assistant", F.lit(None).cast("string")
+    answered = (turn % 4 == 1) & (conv % 2 == 0) & mine
+    block = lambda kind, said=none, id_=none, name=none, given=none: F.struct(F.lit(kind).alias("type"), said.alias("text"), id_.alias("id"), name.alias("name"), F.when(given.isNotNull(), F.struct(given.alias("q"))).alias("arguments"))
+    call = block("toolCall", id_=F.format_string("c%d", turn), name=F.lit("grep"), given=F.col("word"))
+    content = F.when(mine & (turn % 4 == 1), F.array(block("text", F.col("said")), call)).otherwise(F.array(block("text", F.col("said"))))
     usage = F.struct((turn * 7).alias("input"), turn.alias("output"), F.lit(2).alias("cacheRead"), (turn * 8 + 2).alias("totalTokens"), F.struct(F.when(turn % 4 == 3, 0.25).otherwise(0.0).alias("total")).alias("cost"))
-    message = F.struct("role", content.alias("content"), F.when(mine, text("m", (conv % 3).cast("string"))).alias("model"), F.when(mine, usage).alias("usage"))
-    line = F.to_json(F.struct(F.lit("message").alias("type"), own.alias("id"), F.col("above").alias("parentId"), stamp(turn.cast("int")).alias("timestamp"), message.alias("message")))
-    result = F.struct(F.lit("toolResult").alias("role"), F.format_string("c%d", "turn").alias("toolCallId"), F.lit("grep").alias("toolName"), F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("ok "), F.col("word")).alias("text"))).alias("content"), (conv % 5 == 0).alias("isError"))
-    reply = F.to_json(F.struct(F.lit("message").alias("type"), F.format_string("r%d", "turn").alias("id"), own.alias("parentId"), stamp(turn.cast("int")).alias("timestamp"), result.alias("message")))
-    lines = rows.select("conv_id", F.struct("turn", F.lit(0).alias("p"), line.alias("line")).alias("l")).unionByName(rows.where(answered).select("conv_id", F.struct("turn", F.lit(1).alias("p"), reply.alias("line")).alias("l")))
+    said = F.struct("role", content.alias("content"), F.when(mine, text("m", (conv % 3).cast("string"))).alias("model"), F.when(mine, usage).alias("usage"), none.alias("toolCallId"), none.alias("toolName"), F.lit(None).cast("boolean").alias("isError"))
+    result = F.struct(F.lit("toolResult").alias("role"), F.array(block("text", F.concat(F.lit("ok "), F.col("word")))).alias("content"), none.alias("model"), F.lit(None).cast(_type(rows, usage)).alias("usage"), F.format_string("c%d", turn).alias("toolCallId"), F.lit("grep").alias("toolName"), (conv % 5 == 0).alias("isError"))
+    kinds = {0: ("e%d", "message", said), 1: ("r%d", "message", result), 2: ("k%d", "compaction", None), 3: ("x%d", "context_edit", None), -1: ("b%d", "branch_summary", None)}
+    there = {0: F.lit(True), 1: answered, 2: (conv % 5 == 1) & (turn == 3), 3: (conv % 5 == 2) & (turn == 2), -1: (conv % 5 == 3) & (turn == 4)}
+    entry = lambda p, id_, kind, message: F.struct(F.lit(p).alias("p"), F.format_string(id_, turn).alias("id"), F.lit(kind).alias("type"), (F.lit(None).cast(_type(rows, said)) if message is None else message).alias("message"))
+    every = F.filter(F.array(*[F.when(there[p], entry(p, *kinds[p])) for p in kinds]), lambda x: x.isNotNull())
+    rows = rows.select("conv_id", "turn", F.explode(every).alias("e")).select("conv_id", "turn", "e.*")
+    order, kind = W.partitionBy("conv_id").orderBy("turn", "p"), F.col("type")
+    left = F.last(F.when(turn <= 1, F.col("id")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("parentId", F.when(kind == "branch_summary", left).otherwise(F.lag("id").over(order)))
+    more = [
+        F.when(kind == "compaction", "so far").when(kind == "branch_summary", "left behind").alias("summary"), F.when(kind == "compaction", "e2").alias("firstKeptEntryId"),
+        F.when(kind == "context_edit", "e1").alias("targetId"), F.when((kind == "context_edit") & (conv % 2 == 0), "cut").alias("replacement"),
+    ]
+    line = F.to_json(F.struct("type", "id", "parentId", F.format_string("1970-01-01T00:%02d:00Z", turn.cast("int")).alias("timestamp"), "message", *more))
+    lines = rows.select("conv_id", F.struct("turn", "p", line.alias("line")).alias("l"))
     bill = F.to_json(F.struct(F.lit("usage").alias("type"), F.lit("u").alias("id"), F.lit("title").alias("kind"), F.lit("mt").alias("model"), F.lit("1970-01-01T01:00:00Z").alias("timestamp"), F.struct(F.lit(5).alias("input"), F.lit(1).alias("output"), F.struct(F.lit(0.125).alias("total")).alias("cost")).alias("usage")))
     lines = lines.unionByName(rows.where("conv_id % 6 = 0").select("conv_id").distinct().select("conv_id", F.struct(F.lit(1 << 40).alias("turn"), F.lit(0).alias("p"), bill.alias("line")).alias("l")))
     held = lines.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]).alias("lines"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.pricing import ESTIMATED
-from .oracle import _EV, _RAW
+from .oracle import _EV, _MASKS, _RAW, _UNGUARDED, _guard, _masked
 from .oracle import SQL as _CORE
 
 _SRC = """src0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
@@ -76,28 +76,64 @@ _LOCALTRACE = f"""WITH {_SRC}, parts AS (
     CASE WHEN open THEN CASE WHEN every > 0 THEN 'apportioned_from_metrics_by_tokens' ELSE 'apportioned_from_metrics_equal_split' END WHEN cost IS NOT NULL THEN '{ESTIMATED}' END AS cost_basis, CASE WHEN user_id % 3 > 0 THEN 'conversation_id' ELSE 'trace_id_fallback' END AS task_source FROM shared), {_FILLED}
   SELECT {_BASE}, hash, basis, cost_basis, model_basis, task_source, write FROM filled"""
 
-_TURNS = "c AS (SELECT conv_id, turn, role, 'w' || substr('abcdefg', CAST(conv_id % 7 + 1 AS INT), 1) AS word, conv_id % 5 = 0 AS bad, 'm' || (conv_id % 3) AS model FROM conversations)"
+_TURNS = "c AS (SELECT conv_id, turn, role, to_json(coalesce(text, '')) AS said, 'w' || substr('abcdefg', CAST(conv_id % 7 + 1 AS INT), 1) AS word, conv_id % 5 = 0 AS bad, 'm' || (conv_id % 3) AS model FROM conversations)"
 #: Prices of the two models that have one, by tokens: input, output, cache reads and writes.
 _ESTIMATE = "CASE conv_id % 3 WHEN 1 THEN turn * 7 * 0.001 + {out} * 0.002 WHEN 2 THEN turn * 7 * 0.003 + {out} * 0.004 + 2 * 0.0005{more} END"
 
-_OPENCODE = f"""WITH {_TURNS}, parts AS (
-    SELECT conv_id, turn, 0 AS sub, 'llm_call' AS event_type, model AS name, CAST(NULL AS VARCHAR) AS hash, turn * 7 + 5 AS tokens_in, turn + 1 AS tokens_out, 'ok' AS outcome, CASE WHEN turn % 4 = 1 THEN 0.25 ELSE {_ESTIMATE.format(out="(turn + 1)", more=" + 3 * 0.25")} END AS cost,
-      CASE WHEN turn % 4 <> 1 AND conv_id % 3 > 0 THEN '{ESTIMATED}' END AS cost_basis, CASE WHEN conv_id % 6 = 5 THEN 'opaque' ELSE 'prompt' END AS basis, CAST(NULL AS VARCHAR) AS model_basis, model FROM c WHERE role = 'assistant'
-    UNION ALL SELECT conv_id, turn, 1, 'tool_call', 'grep', {_hash(_QUERY)}, NULL, NULL, NULL, NULL, NULL, 'tool_input', 'issuing_llm_call', model FROM c WHERE role = 'assistant' AND turn % 4 = 1
-    UNION ALL SELECT conv_id, turn, 2, 'tool_result', 'grep', {_hash("CASE WHEN bad THEN 'bad ' ELSE 'ok ' END || word")}, NULL, NULL, CASE WHEN bad THEN 'error' ELSE 'ok' END, NULL, NULL, 'tool_output', 'issuing_llm_call', model FROM c WHERE role = 'assistant' AND turn % 4 = 1)
-  SELECT 'ses' || conv_id AS task_id, row_number() OVER w - 1 AS step_index, event_type, name, outcome, turn * 1000 AS at, round(CAST(cost AS DOUBLE), 6) AS usd, model, CASE WHEN row_number() OVER w > 1 THEN row_number() OVER w - 2 END AS parent_id, 'a' || (conv_id % 2) AS workflow, tokens_in, tokens_out, hash, basis, cost_basis, model_basis,
+def _request_hashes(source: str) -> str:
+    """CTE bodies up to hashed (conv_id, turn, what, hash): the hashes of texts (conv_id, turn, what, s), volatile spans masked."""
+    steps, last, _ = _masked(f"SELECT conv_id, turn, what, {_guard('s')} AS s, 0 AS n FROM ({source})", _MASKS)
+    return f"{', '.join(steps)}, hashed AS (SELECT conv_id, turn, what, substr(sha256({_UNGUARDED}), 1, 16) AS hash FROM {last})"
+
+
+_ASSISTANTS = "(SELECT conv_id, turn AS call FROM c WHERE role = 'assistant') a"
+_GREP = """'{"input":{"q":"' || word || '"},"output":"' || CASE WHEN bad THEN 'bad ' ELSE 'ok ' END || word || '","status":"' || CASE WHEN bad THEN 'error' ELSE 'completed' END || '","tool":"grep","type":"tool"}'"""
+_OPENCODE_TEXTS = f"""placed AS (SELECT *, conv_id % 5 = 2 AND turn IN (2, 3) AND role = 'user' AND coalesce(lead(role) OVER w = 'assistant', false) AS asks FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  cut AS (SELECT conv_id, max(turn) AS asked FROM placed WHERE asks GROUP BY conv_id),
+  m AS (SELECT conv_id, turn, '{{"text":' || said || ',"type":"text"}}' || CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN ',' || {_GREP} ELSE '' END || CASE WHEN asks AND conv_id % 2 = 0 THEN ',{{"tail_start_id":"' || {{tail}} || '","type":"compaction"}}' WHEN asks THEN ',{{"type":"compaction"}}' ELSE '' END AS parts, role FROM placed),
+  -- After a compaction: what asked for it, its summary, the tail that is kept, and what comes later.
+  sent AS (SELECT conv_id, call, '{{"parts":[' || parts || '],"role":"' || role || '"}}' AS text, CASE WHEN call > asked + 1 AND turn IN (asked, asked + 1) THEN turn - 1000 ELSE turn END AS place
+    FROM {_ASSISTANTS} JOIN m USING (conv_id) LEFT JOIN cut USING (conv_id) WHERE turn < call AND (asked IS NULL OR call <= asked + 1 OR turn >= asked OR (conv_id % 2 = 0 AND turn >= 1)))"""
+_OPENCODE_HASHED = _request_hashes(
+    """SELECT conv_id, call AS turn, 'request' AS what, '[' || string_agg(text, ',' ORDER BY place) || ']' AS s FROM sent GROUP BY ALL
+    UNION ALL SELECT conv_id, turn, 'reply', '{"parts":[' || parts || '],"reason":null}' FROM m WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 'request', '[]' FROM c WHERE role = 'assistant' AND turn = 0"""
+)
+_OPENCODE = f"""WITH {_TURNS}, {_OPENCODE_TEXTS},
+  {_OPENCODE_HASHED},
+  parts AS (
+    SELECT conv_id, turn, 0 AS sub, 'llm_call' AS event_type, model AS name, r.hash, CASE WHEN conv_id % 6 <> 5 THEN p.hash END AS response, turn * 7 + 5 AS tokens_in, turn + 1 AS tokens_out, 'ok' AS outcome, CASE WHEN turn % 4 = 1 THEN 0.25 ELSE {_ESTIMATE.format(out="(turn + 1)", more=" + 3 * 0.25")} END AS cost,
+      CASE WHEN turn % 4 <> 1 AND conv_id % 3 > 0 THEN '{ESTIMATED}' END AS cost_basis, CASE WHEN conv_id % 6 = 5 THEN 'opaque' ELSE 'prompt' END AS basis, CAST(NULL AS VARCHAR) AS model_basis, model FROM c LEFT JOIN hashed r USING (conv_id, turn) LEFT JOIN hashed p USING (conv_id, turn) WHERE role = 'assistant' AND r.what = 'request' AND p.what = 'reply'
+    UNION ALL SELECT conv_id, turn, 1, 'tool_call', 'grep', {_hash(_QUERY)}, NULL, NULL, NULL, NULL, NULL, NULL, 'tool_input', 'issuing_llm_call', model FROM c WHERE role = 'assistant' AND turn % 4 = 1
+    UNION ALL SELECT conv_id, turn, 2, 'tool_result', 'grep', {_hash("CASE WHEN bad THEN 'bad ' ELSE 'ok ' END || word")}, NULL, NULL, NULL, CASE WHEN bad THEN 'error' ELSE 'ok' END, NULL, NULL, 'tool_output', 'issuing_llm_call', model FROM c WHERE role = 'assistant' AND turn % 4 = 1)
+  SELECT 'ses' || conv_id AS task_id, row_number() OVER w - 1 AS step_index, event_type, name, outcome, turn * 1000 AS at, round(CAST(cost AS DOUBLE), 6) AS usd, model, CASE WHEN row_number() OVER w > 1 THEN row_number() OVER w - 2 END AS parent_id, 'a' || (conv_id % 2) AS workflow, tokens_in, tokens_out, CASE WHEN basis <> 'opaque' THEN hash END AS hash, basis, cost_basis, model_basis, response,
     CASE WHEN conv_id % 4 = 1 THEN 'ses' || (conv_id - 1) END AS parent_task, CASE WHEN conv_id % 4 = 1 THEN 'delegation' END AS link FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY turn, sub)"""
 
-_PI = f"""WITH {_TURNS}, kept AS (SELECT * FROM c WHERE conv_id % 4 <> 1 OR turn > 0), parts AS (
-    SELECT conv_id, turn, 0 AS sub, 'llm_call' AS event_type, model AS name, CAST(NULL AS VARCHAR) AS hash, turn * 7 + 2 AS tokens_in, turn AS tokens_out, 'ok' AS outcome, turn * 60000 AS at, CASE WHEN turn % 4 = 3 THEN 0.25 ELSE {_ESTIMATE.format(out="turn", more="")} END AS cost,
-      CASE WHEN turn % 4 <> 3 AND conv_id % 3 > 0 THEN '{ESTIMATED}' END AS cost_basis, 'prompt' AS basis, CAST(NULL AS VARCHAR) AS model_basis, model, false AS billed FROM kept WHERE role = 'assistant'
-    UNION ALL SELECT conv_id, turn, 1, 'tool_call', 'grep', {_hash(_QUERY)}, NULL, NULL, NULL, turn * 60000, NULL, NULL, 'tool_input', 'issuing_llm_call', model, false FROM kept WHERE role = 'assistant' AND turn % 4 = 1
-    UNION ALL SELECT conv_id, turn, 2, 'tool_result', 'grep', NULL, NULL, NULL, CASE WHEN bad THEN 'error' ELSE 'ok' END, turn * 60000, NULL, NULL, 'tool_output', 'issuing_llm_call', model, false FROM kept WHERE role = 'assistant' AND turn % 4 = 1 AND conv_id % 2 = 0
-    UNION ALL SELECT DISTINCT conv_id, 1000000, 0, 'llm_call', 'mt', NULL, 5, 1, NULL, 3600000, 0.125, NULL, 'opaque', NULL, 'mt', true FROM c WHERE conv_id % 6 = 0),
+_OPENCODE_EXPORTED = _OPENCODE.replace("{tail}", "'m001'")
+
+_PI_TEXTS = """m AS (SELECT conv_id, turn, 0 AS p, '{"content":' || CASE WHEN conv_id % 5 = 2 AND turn = 1 THEN '{e1}' ELSE '{own}' END || ',"role":"' || role || '"}' AS text, '[{"text":' || said || ',"type":"text"}' || CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN ',{"arguments":{"q":"' || word || '"},"name":"grep","type":"toolCall"}' ELSE '' END || ']' AS own, role FROM c
+    UNION ALL SELECT conv_id, turn, 1, '{"content":[{"text":"ok ' || word || '","type":"text"}],"isError":' || bad || ',"role":"toolResult","toolName":"grep"}', NULL, NULL FROM c WHERE role = 'assistant' AND turn % 4 = 1 AND conv_id % 2 = 0
+    UNION ALL SELECT conv_id, 4, -1, '{"role":"branchSummary","summary":"left behind"}', NULL, NULL FROM c WHERE conv_id % 5 = 3 AND turn = 4
+    UNION ALL SELECT conv_id, -1, 0, '{"role":"compactionSummary","summary":"so far"}', NULL, NULL FROM c WHERE conv_id % 5 = 1 AND turn = 3),
+  sent AS (SELECT conv_id, call, turn, p, CASE WHEN own IS NULL THEN text ELSE replace(replace(text, '{e1}', CASE WHEN call > 2 THEN '"cut"' ELSE own END), '{own}', own) END AS text
+    FROM (SELECT conv_id, turn AS call FROM c WHERE role = 'assistant') a JOIN m USING (conv_id) WHERE (turn < call OR (turn = call AND p = -1))
+      AND CASE conv_id % 5 WHEN 1 THEN CASE WHEN call > 3 THEN turn = -1 OR turn >= 2 ELSE turn >= 0 END WHEN 2 THEN NOT (call > 2 AND turn = 1 AND p = 0 AND conv_id % 2 = 1) WHEN 3 THEN call < 4 OR turn <= 1 OR turn >= 4 ELSE true END)"""
+_RESULT = """'[{"text":"ok ' || word || '","type":"text"}]'"""
+_PI_HASHED = _request_hashes(
+    """SELECT conv_id, call AS turn, 'request' AS what, '[' || string_agg(text, ',' ORDER BY turn, p) || ']' AS s FROM sent GROUP BY ALL
+    UNION ALL SELECT conv_id, turn, 'reply', '{"content":' || own || ',"errorMessage":null,"stopReason":null}' FROM m WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 'request', '[]' FROM c WHERE role = 'assistant' AND turn = 0"""
+)
+_PI = f"""WITH {_TURNS}, {_PI_TEXTS},
+  {_PI_HASHED},
+  kept AS (SELECT * FROM c WHERE conv_id % 4 <> 1 OR turn > 0), parts AS (
+    SELECT conv_id, turn, 0 AS sub, 'llm_call' AS event_type, model AS name, r.hash, p.hash AS response, turn * 7 + 2 AS tokens_in, turn AS tokens_out, 'ok' AS outcome, turn * 60000 AS at, CASE WHEN turn % 4 = 3 THEN 0.25 ELSE {_ESTIMATE.format(out="turn", more="")} END AS cost,
+      CASE WHEN turn % 4 <> 3 AND conv_id % 3 > 0 THEN '{ESTIMATED}' END AS cost_basis, 'prompt' AS basis, CAST(NULL AS VARCHAR) AS model_basis, model, false AS billed FROM kept LEFT JOIN hashed r USING (conv_id, turn) LEFT JOIN hashed p USING (conv_id, turn) WHERE role = 'assistant' AND r.what = 'request' AND p.what = 'reply'
+    UNION ALL SELECT conv_id, turn, 1, 'tool_call', 'grep', {_hash(_QUERY)}, NULL, NULL, NULL, NULL, turn * 60000, NULL, NULL, 'tool_input', 'issuing_llm_call', model, false FROM kept WHERE role = 'assistant' AND turn % 4 = 1
+    UNION ALL SELECT conv_id, turn, 2, 'tool_result', 'grep', {_hash(_RESULT)}, NULL, NULL, NULL, CASE WHEN bad THEN 'error' ELSE 'ok' END, turn * 60000, NULL, NULL, 'tool_output', 'issuing_llm_call', model, false FROM kept WHERE role = 'assistant' AND turn % 4 = 1 AND conv_id % 2 = 0
+    UNION ALL SELECT DISTINCT conv_id, 1000000, 0, 'llm_call', 'mt', NULL, NULL, 5, 1, NULL, 3600000, 0.125, NULL, 'opaque', NULL, 'mt', true FROM c WHERE conv_id % 6 = 0),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sub) - 1 AS step_index FROM parts),
-  -- What a later call hangs on: a result, or a call whose tool wasn't answered.
-  anchored AS (SELECT *, max(CASE WHEN NOT billed AND (sub = 2 OR sub = 0) THEN step_index END) OVER (PARTITION BY conv_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM numbered)
-  SELECT 'ses' || conv_id AS task_id, step_index, event_type, name, outcome, "at", round(CAST(cost AS DOUBLE), 6) AS usd, model, CASE WHEN billed THEN NULL WHEN sub = 0 THEN above ELSE step_index - 1 END AS parent_id, 'main' AS workflow, tokens_in, tokens_out, hash, basis, cost_basis, model_basis,
+  -- What a later call hangs on: a result, or a call whose tool wasn't answered, on its own branch.
+  anchored AS (SELECT n.*, (SELECT max(o.step_index) FROM numbered o WHERE o.conv_id = n.conv_id AND o.step_index < n.step_index AND NOT o.billed AND o.sub IN (0, 2) AND (n.conv_id % 5 <> 3 OR n.turn < 4 OR o.turn <= 1 OR o.turn >= 4)) AS above FROM numbered n)
+  SELECT 'ses' || conv_id AS task_id, step_index, event_type, name, outcome, "at", round(CAST(cost AS DOUBLE), 6) AS usd, model, CASE WHEN billed THEN NULL WHEN sub = 0 THEN above ELSE step_index - 1 END AS parent_id, 'main' AS workflow, tokens_in, tokens_out, hash, basis, cost_basis, model_basis, response,
     CASE WHEN conv_id % 4 = 1 AND EXISTS (SELECT 1 FROM c p WHERE p.conv_id = anchored.conv_id - 1) THEN 'ses' || (conv_id - 1) END AS parent_task, CASE WHEN conv_id % 4 = 1 AND EXISTS (SELECT 1 FROM c p WHERE p.conv_id = anchored.conv_id - 1) THEN 'continuation' END AS link, CASE WHEN billed THEN true END AS billing_only FROM anchored"""
 
 _TREE = f"""{_RAW}, tree AS (
@@ -124,7 +160,7 @@ _MEASURES = """SELECT 'event type' AS measure, event_type AS value, usd FROM {t}
 _COUNTED = "count(*) AS events, round(CAST(coalesce(sum(CAST(usd AS DECIMAL(38, 9))), 0) AS DOUBLE), 6) AS usd"
 
 SQL: dict[str, str] = {
-    "conversion_summary": f"""WITH a AS ({_OPENINFERENCE}), b AS ({_OPENCODE}), x AS ({_MEASURES.format(t="a", content="'(none)'", source="task_source", link="CAST(NULL AS VARCHAR)")}), y AS ({_MEASURES.format(t="b", content="coalesce(basis, '(none)')", source="'session_id'", link="link")})
+    "conversion_summary": f"""WITH a AS ({_OPENINFERENCE}), b AS ({_OPENCODE_EXPORTED}), x AS ({_MEASURES.format(t="a", content="'(none)'", source="task_source", link="CAST(NULL AS VARCHAR)")}), y AS ({_MEASURES.format(t="b", content="coalesce(basis, '(none)')", source="'session_id'", link="link")})
       SELECT measure, value, {_COUNTED}, 'openinference' AS source FROM x GROUP BY 1, 2 UNION ALL SELECT measure, value, {_COUNTED}, 'opencode' FROM y GROUP BY 1, 2""",
     "openinference_events": _OPENINFERENCE,
     "openinference_skipped": f"WITH {_SRC} SELECT 'AGENT' AS kind, count(DISTINCT user_id) AS spans FROM src UNION ALL SELECT 'CHAIN', count(*) FROM src WHERE event_type = 'signup'",
@@ -132,8 +168,8 @@ SQL: dict[str, str] = {
     "cowork_events": _COWORK,
     "openclaw_events": _OPENCLAW,
     "openclaw_localtrace_events": _LOCALTRACE,
-    "opencode_events": _OPENCODE,
-    "opencode_table_events": _OPENCODE,
+    "opencode_events": _OPENCODE_EXPORTED,
+    "opencode_table_events": _OPENCODE.replace("{tail}", "'m' || conv_id || '-m001'"),
     "canonical_json": f"""WITH {_SRC} SELECT event_id, {_hash("CASE WHEN k % 10 = 0 THEN '{broken ' || word ELSE '{" + '"a":[' + "' || k || '" + ',2.5,true],"b":1,"c":{"x":"éé ' + "' || word || '" + '","y":null}}' + "' END")} AS hash FROM src""",
     "jsonl_round_trip": f"""WITH {_EV} SELECT task_id, step_index, event_type, content_hash, tokens_in, tokens_out, outcome, epoch_us(ts) AS at, cost_usd, model, workflow, write, '/in/folder' AS source_path FROM ev""",
     "pi_events": _PI,

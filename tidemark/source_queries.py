@@ -86,14 +86,11 @@ def opencode_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _opencode(sessions: DataFrame) -> DataFrame:
-    found = _shown(opencode.convert(sessions, PRICES), "hash", "basis", "cost_basis", "model_basis", "parent_task", "link")
-    # A request's hash covers all that was sent; its SQL isn't known.
-    return found.withColumn("hash", F.when(F.col("event_type") != "llm_call", F.col("hash")))
+    return _shown(opencode.convert(sessions, PRICES), "hash", "basis", "cost_basis", "model_basis", "parent_task", "link", "response")
 
 
 def pi_events(spark: SparkSession, d: str) -> DataFrame:
-    found = _shown(pi.convert(pi.sessions(telemetry.pi_files(spark, d)), PRICES), "hash", "basis", "cost_basis", "model_basis", "parent_task", "link", "billing_only")
-    return found.withColumn("hash", F.when(F.col("event_type") == "tool_call", F.col("hash")))
+    return _shown(pi.convert(pi.sessions(telemetry.pi_files(spark, d)), PRICES), "hash", "basis", "cost_basis", "model_basis", "parent_task", "link", "billing_only", "response")
 
 
 def otlp_documents(spark: SparkSession, d: str) -> DataFrame:
