@@ -79,6 +79,44 @@ def test_alignment_prefers_pairs_then_removals():
     assert align(["a", "b"], ["b", "a"])[0] == 2
 
 
+def plain_alignment(a, b):
+    """The way back through a whole table."""
+    table = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = min(table[i][j] + (x != y), table[i][j + 1] + 1, table[i + 1][j] + 1)
+    i, j, pairs = len(a), len(b), []
+    while i or j:
+        ways = [(i - 1, j - 1, (i - 1, j - 1), table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))] if i and j else []
+        ways += [(i - 1, j, (i - 1, None), table[i - 1][j] + 1)] if i else []
+        ways += [(i, j - 1, (None, j - 1), table[i][j - 1] + 1)] if j else []
+        i, j, pair, _ = next(w for w in ways if w[3] == table[i][j])
+        pairs.append(pair)
+    return table[-1][-1], pairs[::-1]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdef"])
+def test_alignment_takes_the_same_way_back(letters):
+    rng = random.Random(3)
+    for size in (0, 1, 5, 12, 60):
+        for _ in range(30):
+            a, b = ([rng.choice(letters) for _ in range(rng.randint(0, size))] for _ in range(2))
+            assert align(a, b) == plain_alignment(a, b)
+
+
+def test_alignment_of_long_sequences_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    a = [rng.choice("abcd") for _ in range(6000)]
+    b = [x for x in a if rng.random() < 0.95] + ["z"] * 500
+    tracemalloc.start()
+    found, pairs = align(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and found == sum(i is None or j is None or a[i] != b[j] for i, j in pairs) >= 500
+
+
 def test_prices(spark):
     table = pricing.price_table(spark, {"m": {"input": 1.0, "output": 2.0, "cache_read": 0.5}, "n": {"input": 3.0, "output": 4.0}})
     table = pricing.overlaid(table, pricing.price_table(spark, {"n": {"input": 5.0, "output": 6.0}}))

@@ -215,6 +215,39 @@ def test_chain_of_many_hops(spark):
     assert sorted((r.hop, r.successor, r.predecessor) for r in continuation_hops(loop).collect()) == [(0, "t", "a"), (1, "a", "b"), (2, "b", "c"), (3, "c", "a")]
 
 
+def test_tips_are_ranges_of_one_tour(spark):
+    """Hops with ranges of tips against chains followed one by one; tips on one trunk make as many rows as hops."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.task_graph import continuation_links, continuation_tips
+
+    rng = random.Random(6)
+    parent = {f"n{i:03d}": f"n{rng.randrange(max(0, i - 9), i):03d}" for i in range(1, 80) if i % 40}
+    rows = [(t, p, "continuation") for t, p in parent.items()] + [("s", "n000", "spawn"), ("u", None, None)]
+    edges = spark.createDataFrame(rows, "task_id string, parent_task_id string, link_kind string")
+    chains = {}
+    for tip in set(parent) - set(parent.values()):
+        at = tip
+        while at in parent:
+            chains.setdefault((at, parent[at]), set()).add(tip)
+            at = parent[at]
+    for parts in (5,):
+        found = continuation_tips(edges, parts).collect()
+        assert {(r.successor, r.predecessor): r.last_tip - r.first_tip + 1 for r in found} == {k: len(v) for k, v in chains.items()}
+        number = {r.successor: r.first_tip for r in found if r.first_tip == r.last_tip and r.successor not in parent.values()}
+        root = {r.successor: r.root for r in found}
+        for r in found:
+            assert {t for t, n in number.items() if root[t] == r.root and r.first_tip <= n <= r.last_tip} == chains[r.successor, r.predecessor]
+    n = 120
+    trunk = spark.range(1, n + 1).select(F.format_string("a%d", "id").alias("task_id"), F.format_string("a%d", F.col("id") - 1).alias("parent_task_id"))
+    tips = spark.range(n).select(F.format_string("t%d", "id").alias("task_id"), F.lit(f"a{n}").alias("parent_task_id"))
+    both = trunk.unionByName(tips).withColumn("link_kind", F.lit("continuation"))
+    row = continuation_tips(both).agg(F.count("*").alias("n"), F.max("depth"), F.min("last_tip"), F.max("last_tip")).head()
+    assert tuple(row) == (2 * n, n + 1, 1, n)
+    loop = spark.createDataFrame([("t", "a", "continuation"), ("a", "b", "continuation"), ("b", "c", "continuation"), ("c", "a", "continuation"), ("x", "y", "continuation"), ("y", "x", "continuation"), ("q", "r", "continuation")], "task_id string, parent_task_id string, link_kind string")
+    assert {(r.successor, r.predecessor, r.root, r.depth) for r in continuation_links(loop).collect()} == {("t", "a", None, None), ("a", "b", None, None), ("b", "c", None, None), ("c", "a", None, None), ("q", "r", "r", 1)}
+
+
 def test_exact_across_hours(spark):
     """Calls of one signature over many hours, against a walk back in time."""
     from tidemark.operators.cross_task import exact_across

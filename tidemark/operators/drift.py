@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .task_graph import call_sequences, continuation_hops
+from .task_graph import call_sequences, continuation_hops, continuation_links
 
 _STEP = "array<struct<event_type:string,name:string,step_index:bigint>>"
 HINT = (
@@ -19,36 +19,58 @@ HINT = (
 )
 
 
+def _next_row(row: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The row of distances below one; same: which symbols of the other sequence the new row's symbol equals.
+
+    A cell is the least of what comes from above and its left neighbour plus one; less
+    its column's number, that is a running minimum.
+    """
+    out = np.empty_like(row)
+    out[0] = row[0] + 1
+    np.minimum(row[:-1] + ~same, row[1:] + 1, out=out[1:])
+    columns = np.arange(len(row), dtype=row.dtype)
+    out -= columns
+    np.minimum.accumulate(out, out=out)
+    out += columns
+    return out
+
+
 def align(a: list, b: list) -> tuple[int, list[tuple[int | None, int | None]]]:
     """(edit distance, alignment) of two sequences of signatures.
 
-    The table of distances is filled by antidiagonals.  The way back prefers a pair,
-    then a removal, then an addition.
+    The way back prefers a pair, then a removal, then an addition.  It needs the whole
+    table, of which only every k-th row is kept, k being the root of their number; the
+    rows between two of these are made again when the way back comes there, as far to
+    the right as it still can go.  So 20,000 calls against 20,000 take some 25 MB.
     """
     names = {s: i for i, s in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([names[s] for s in a], np.int32), np.array([names[s] for s in b], np.int32)
     n, m = len(x), len(y)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    table[:, 0], table[0, :] = np.arange(n + 1), np.arange(m + 1)
-    for total in range(2, n + m + 1):
-        i = np.arange(max(1, total - m), min(n, total - 1) + 1)
-        if len(i):
-            j = total - i
-            table[i, j] = np.minimum(table[i - 1, j - 1] + (x[i - 1] != y[j - 1]), np.minimum(table[i - 1, j], table[i, j - 1]) + 1)
-    pairs: list[tuple[int | None, int | None]] = []
-    i, j = n, m
-    while i or j:
-        here = table[i, j]
-        if i and j and here == table[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif i and here == table[i - 1, j] + 1:
-            i -= 1
-            pairs.append((i, None))
-        else:
-            j -= 1
-            pairs.append((None, j))
-    return int(table[n, m]), pairs[::-1]
+    every = int(n**0.5) + 1
+    row, kept = np.arange(m + 1, dtype=np.int32), []
+    for i in range(n):
+        if i % every == 0:
+            kept.append(row)
+        row = _next_row(row, y == x[i])
+    distance, pairs, i, j = int(row[m]), [], n, m
+    while i:
+        top = (i - 1) // every * every
+        rows = [kept[top // every][: j + 1]]
+        for k in range(top, i):
+            rows.append(_next_row(rows[-1], y[:j] == x[k]))
+        while i > top:
+            here, above = rows[i - top], rows[i - top - 1]
+            if j and here[j] == above[j - 1] + (x[i - 1] != y[j - 1]):
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif here[j] == above[j] + 1:
+                i -= 1
+                pairs.append((i, None))
+            else:
+                j -= 1
+                pairs.append((None, j))
+    pairs += [(None, k) for k in range(j - 1, -1, -1)]
+    return distance, pairs[::-1]
 
 
 def compare(before: list[dict], after: list[dict]) -> tuple:
@@ -75,8 +97,7 @@ def drift_hints(events: DataFrame, edges: DataFrame, dedupe_hops: bool = True) -
 
     Chains that share a beginning share its hops; with dedupe_hops each is compared once.
     """
-    hops = continuation_hops(edges).select("predecessor", "successor")
-    hops = hops.distinct() if dedupe_hops else hops
+    hops = (continuation_links if dedupe_hops else continuation_hops)(edges).select("predecessor", "successor")
     calls = call_sequences(events)
     none = F.array().cast(calls.schema["calls"].dataType)
     met = hops.join(calls.select(F.col("task_id").alias("predecessor"), F.col("calls").alias("before")), "predecessor", "left")

@@ -79,6 +79,17 @@ _HOPS = """hops AS (SELECT task_id AS tip, 0 AS hop, task_id AS successor, paren
   UNION ALL SELECT h.tip, h.hop + 1, h.predecessor, e.parent_task_id FROM hops h JOIN edges e ON e.task_id = h.predecessor AND e.link_kind = 'continuation' WHERE h.hop < 1000)"""
 _SHAPES = """signs AS (SELECT event_type, name, chr(33 + CAST(row_number() OVER (ORDER BY event_type, name) AS INTEGER)) AS c FROM (SELECT DISTINCT event_type, name FROM ev WHERE event_type <> 'tool_result')),
   shapes AS (SELECT task_id, string_agg(c, '' ORDER BY step_index) AS shape FROM ev JOIN signs USING (event_type, name) GROUP BY task_id)"""
+#: The whole table of edit distances row by row, then the way back: a pair if it is as good, else a removal, else an addition.
+_ALIGNED = """line AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY step_index) AS place, step_index, event_type, name FROM ev WHERE event_type <> 'tool_result'),
+  lists AS (SELECT task_id, list(event_type || chr(31) || name ORDER BY place) AS s FROM line GROUP BY task_id),
+  hop AS (SELECT DISTINCT predecessor, successor, coalesce(x.s, []) AS a, coalesce(y.s, []) AS b FROM hops LEFT JOIN lists x ON x.task_id = predecessor LEFT JOIN lists y ON y.task_id = successor),
+  filled AS (SELECT predecessor, successor, a, b, 0 AS i, CAST(range(0, len(b) + 1) AS BIGINT[]) AS r FROM hop
+    UNION ALL SELECT predecessor, successor, a, b, i + 1, list_transform(u, lambda v, j: j - 1 + list_min(list_transform(u[1:j], lambda w, k: w - k + 1)))
+    FROM (SELECT predecessor, successor, a, b, i, list_prepend(r[1] + 1, list_transform(b, lambda y, j: least(r[j] + CAST(y <> a[i + 1] AS BIGINT), r[j + 1] + 1))) AS u FROM filled WHERE i < len(a))),
+  tables AS (SELECT predecessor, successor, any_value(a) AS a, any_value(b) AS b, list(r ORDER BY i) AS d FROM filled GROUP BY predecessor, successor),
+  back AS (SELECT predecessor, successor, a, b, d, len(a) AS i, len(b) AS j, CAST(NULL AS VARCHAR) AS op, 0 AS n FROM tables
+    UNION ALL SELECT predecessor, successor, a, b, d, CASE WHEN next = 'added' THEN i ELSE i - 1 END, CASE WHEN next = 'removed' THEN j ELSE j - 1 END, next, n + 1 FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND d[i + 1][j + 1] = d[i][j] + CAST(a[i] <> b[j] AS BIGINT) THEN 'pair' WHEN i > 0 AND d[i + 1][j + 1] = d[i][j + 1] + 1 THEN 'removed' ELSE 'added' END AS next FROM back WHERE i > 0 OR j > 0)),
+  steps AS (SELECT predecessor, successor, op, i + 1 AS i, j + 1 AS j FROM back)"""
 _EMB = """emb AS (SELECT 't' || (vec_id % 7) AS task_id, vec_id // 7 AS step_index, 'l' || label AS name, vec_id,
   list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"""
 _FAR = "CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN r.bits[i] <> o.bits[i] THEN 1 ELSE 0 END)) AS INTEGER)"
@@ -162,6 +173,11 @@ SQL: dict[str, str] = {
     "task_edges": f"WITH {_EV}, {_EDGES} SELECT * FROM edges",
     "task_components": f"WITH RECURSIVE {_EV}, {_COMPONENTS} SELECT * FROM comps",
     "continuation_hops": f"WITH RECURSIVE {_EV}, {_EDGES}, {_HOPS} SELECT * FROM hops",
+    "continuation_tips": f"""WITH RECURSIVE {_EV}, {_EDGES}, {_HOPS}, n AS (SELECT successor, predecessor, count(*) AS tips FROM hops GROUP BY ALL), far AS (SELECT tip, max(hop) + 1 AS hops, arg_max(predecessor, hop) AS root FROM hops GROUP BY tip)
+      SELECT successor, predecessor, any_value(root) AS root, any_value(hops - hop) AS depth, any_value(tips) AS tips FROM hops JOIN far USING (tip) JOIN n USING (successor, predecessor) GROUP BY successor, predecessor""",
+    "drift_details": f"""WITH RECURSIVE {_EV}, {_EDGES}, {_HOPS}, {_ALIGNED} SELECT predecessor, successor, coalesce(string_agg(CASE WHEN op = 'added' THEN CAST(y.step_index AS VARCHAR) END, ',' ORDER BY j), '') AS added, coalesce(string_agg(CASE WHEN op = 'removed' THEN CAST(x.step_index AS VARCHAR) END, ',' ORDER BY i), '') AS removed,
+      coalesce(string_agg(CASE WHEN op = 'pair' AND (x.event_type, x.name) <> (y.event_type, y.name) THEN x.step_index || '-' || y.step_index END, ',' ORDER BY i), '') AS substituted, '' AS content
+      FROM steps LEFT JOIN line x ON x.task_id = predecessor AND x.place = i LEFT JOIN line y ON y.task_id = successor AND y.place = j GROUP BY predecessor, successor""",
     "shape_distance": f"""WITH RECURSIVE {_EV}, {_EDGES}, {_HOPS}, {_SHAPES} SELECT DISTINCT predecessor, successor, CAST(length(coalesce(x.shape, '')) AS INTEGER) AS predecessor_calls, CAST(length(coalesce(y.shape, '')) AS INTEGER) AS successor_calls,
       CAST(levenshtein(coalesce(x.shape, ''), coalesce(y.shape, '')) AS INTEGER) AS shape_distance, round(levenshtein(coalesce(x.shape, ''), coalesce(y.shape, '')) / greatest(length(coalesce(x.shape, '')), length(coalesce(y.shape, '')), 1), 4) AS shape_fraction
       FROM hops LEFT JOIN shapes x ON x.task_id = predecessor LEFT JOIN shapes y ON y.task_id = successor""",

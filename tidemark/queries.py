@@ -147,6 +147,12 @@ def continuation_hops(spark: SparkSession, d: str) -> DataFrame:
     return task_graph.continuation_hops(task_graph.task_edges(traces.event_trace(spark, d))).select("tip", "hop", "successor", "predecessor")
 
 
+def continuation_tips(spark: SparkSession, d: str) -> DataFrame:
+    """Hops with their depth and how many chains share them."""
+    found = task_graph.continuation_tips(task_graph.task_edges(traces.event_trace(spark, d)))
+    return found.select("successor", "predecessor", "root", "depth", (F.col("last_tip") - F.col("first_tip") + 1).alias("tips"))
+
+
 def shape_distance(spark: SparkSession, d: str) -> DataFrame:
     events = traces.event_trace(spark, d)
     hints = drift_hints(events, task_graph.task_edges(events))
@@ -156,7 +162,11 @@ def shape_distance(spark: SparkSession, d: str) -> DataFrame:
 def drift_details(spark: SparkSession, d: str) -> DataFrame:
     events = traces.event_trace(spark, d)
     hints = drift_hints(events, task_graph.task_edges(events))
-    return hints.select("predecessor", "successor", *[F.size(c).alias(f"n_{c}") for c in ("added", "removed", "substituted", "content_distances")])
+    steps = lambda c, of: F.array_join(F.transform(c, of), ",")
+    one = lambda x: x["step_index"].cast("string")
+    pair = lambda x: F.concat_ws("-", x["before"]["step_index"], x["after"]["step_index"])
+    content = lambda x: F.concat_ws("-", x["before"], x["after"], x["distance"])
+    return hints.select("predecessor", "successor", steps("added", one).alias("added"), steps("removed", one).alias("removed"), steps("substituted", pair).alias("substituted"), steps("content_distances", content).alias("content"))
 
 
 def near_same_task(spark: SparkSession, d: str) -> DataFrame:
@@ -326,7 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         verdict_counts, effective_parent, terminal_outcome, call_filter, exact_repeat_pairs, call_result_link, write_signal, result_signal, pair_verdicts, verdict_reasons,
         slice_grouping_sets, slice_by_model, slice_by_workflow, coverage, cost_by_basis, comparability, verdicts_reached, top_highlights, sample_reasons, unpriced_samples, synthesized_samples,
-        cross_exact_pairs, cross_exact_unclaimed, cross_split, bucket_counts, task_edges, task_components, continuation_hops, shape_distance, drift_details,
+        cross_exact_pairs, cross_exact_unclaimed, cross_split, bucket_counts, task_edges, task_components, continuation_hops, continuation_tips, shape_distance, drift_details,
         near_same_task, near_cross_task, near_cross_task_bands, hamming, bands, content_hash_text, mask_counts, normalize_text, exact_duplicate_docs, simhash_docs, simhash_turns,
         nearest_model_fill, prompt_window_claim, turn_cost_asof, positional_join, greedy_pairing, orphan_cost_rows, latest_counter_points, restart_windows, restart_window_calls,
         cost_apportion, sibling_chain_watermark, sibling_chain, nearest_kept_ancestor, price_estimate, hash_spec_guard, sessions_detected,
