@@ -45,6 +45,30 @@ def test_simhash(text):
     assert hashing.simhash(text) == plain_simhash(text)
 
 
+def test_simhashes_of_many_texts(monkeypatch):
+    """The worker's tables filled, full, and too small for the characters."""
+    rng = random.Random(5)
+    letters = "ab é日😀" + "".join(map(chr, range(0x400, 0x460)))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "abc", "".join(map(chr, range(0x3000, 0xD7FF))), "x" * 5000]
+    want = [plain_simhash(t) for t in texts]
+    for most in (2_000_000, 500):
+        monkeypatch.setattr(hashing._Grams, "MOST", most)
+        hashing._met.clear()
+        assert hashing.simhashes(texts) == want and hashing.simhashes(texts[::-1]) == want[::-1]
+    every = "".join(chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000)
+    assert hashing.simhashes([every, "again"])[1] == plain_simhash("again") and hashing._plain_simhash(every) == hashing.simhashes([every])[0]
+
+
+@pytest.mark.parametrize("text", ["no volatile span", "2024-01-02T03:04:05Z and 5ms", "Mon, 01 Jan 2024 01:02:03 GMT", "at /tmp/x-1 0xdeadbeef", "123e4567-e89b-12d3-a456-426614174000", 'EXTERNAL_UNTRUSTED_CONTENT id="0123456789abcdef"', "12345678"])
+def test_rules_that_are_not_tried_would_not_match(text):
+    for integers in (False, True):
+        want, n = text, 0
+        for rule, token in hashing._RULES[integers]:
+            want, k = rule.subn(token, want)
+            n += k
+        assert hashing.mask_text(text, integers) == (want, n)
+
+
 def test_fingerprint_column(spark):
     row = spark.createDataFrame([("some text here",)], "t string").select(hashing.fingerprint(F.col("t")).alias("f"), hashing.hash_structured(F.col("t")).alias("h")).head()
     assert row.f == hashing.fingerprint_text("some text here") and row.h.hash == hashing.hash_text("some text here", True)[0]
