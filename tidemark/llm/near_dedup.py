@@ -23,9 +23,13 @@ leaves in different components meets once more:
   proportion to the postings;
 * in longer lists only documents whose sets can still overlap enough.  A pair's
   overlap is at most what both share with the hub, plus their frequent other
-  shingles, plus the rare ones that they share.  Either the first two suffice, which
-  few documents outside the hub's component can reach, or the pair shares a rare
-  shingle, one of at most ``RARE`` of the hub's documents.
+  shingles, plus the rare ones that they share, a rare one being held by at most
+  ``RARE`` of the hub's documents.  Pairs that share a rare shingle are compared.  Of
+  the others, documents with the same shingles but for rare ones are a class, as are
+  pages of a template with the same sections.  Its head is the one with the fewest
+  rare shingles: who isn't similar to a head, isn't similar to any of the class
+  without sharing a rare shingle.  So documents meet the head of their class, heads
+  meet heads, and the classes of two similar heads meet the other's head.
 
 Defined results: a null text, or one without words, has an empty set, is linked
 with nothing and is its own component; a text of fewer words than a shingle has one
@@ -167,8 +171,8 @@ def _in_components(posted: DataFrame, components: DataFrame) -> DataFrame:
     return detached(rows.join(detached(split), "key").where("doc_id <> hub"))
 
 
-def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, doc_id, matches, members) that share merged lists, lie in different components and can be similar enough."""
+def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, links): pairs (hub, doc_id, matches, members) that share merged lists, lie in different components and can be similar enough; links of heads."""
     rows = rows.where("members > 2")
     sizes = _sizes(F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
 
@@ -178,30 +182,47 @@ def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     group = detached(rows.where(F.col("members") > LIST).groupBy("hub", "doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("component").alias("component"), F.max("members").alias("members"), F.first("of_hub").alias("of_hub")))
     if group.isEmpty():
-        return pairs
+        return pairs, None
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.setdiff1d(np.frombuffer(y.as_buffer(), _U)[COORDINATES:], np.frombuffer(x.as_buffer(), _U)[COORDINATES:], assume_unique=True).view(np.int64) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            sets_of = [(np.frombuffer(x.as_buffer(), _U)[COORDINATES:], np.frombuffer(y.as_buffer(), _U)[COORDINATES:]) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            found = [np.setdiff1d(y, x, assume_unique=True).view(np.int64) for x, y in sets_of]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["hub", "doc_id", "others"])
+            whole = np.array([np.bitwise_xor.reduce(y) for _, y in sets_of], _U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))), pa.array(whole)], names=["hub", "doc_id", "others", "whole"])
 
-    other = _beside(group.select("hub", "doc_id", "members"), sets).select("hub", "doc_id", "x", "y").mapInArrow(releasing(others), "hub long, doc_id long, others array<long>")
+    other = _beside(group.select("hub", "doc_id", "members"), sets).select("hub", "doc_id", "x", "y").mapInArrow(releasing(others), "hub long, doc_id long, others array<long>, whole long")
     other = detached(other)
-    shared = other.select("hub", "doc_id", F.size("others").alias("own"))
+    shared = other.select("hub", "doc_id", F.size("others").alias("own"), "whole")
     other = detached(other.repartition("hub", "doc_id").select("hub", "doc_id", F.explode("others").alias("shingle")))
     often = detached(other.groupBy("hub", "shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")).where(F.col("docs") <= RARE))
     rare = detached(other.join(often.where("docs > 1").select("hub", "shingle"), ["hub", "shingle"]))
-    counts = often.where("docs = 1").select("hub", "doc_id").unionAll(rare.select("hub", "doc_id")).groupBy("hub", "doc_id").agg(F.count("*").alias("rare"))
+    counts = often.where("docs = 1").select("hub", "doc_id", "shingle").unionAll(rare.select("hub", "doc_id", "shingle")).groupBy("hub", "doc_id").agg(F.count("*").alias("rare"), F.expr("bit_xor(shingle)").alias("apart"))
     group = group.join(shared, ["hub", "doc_id"]).join(counts, ["hub", "doc_id"], "left")
-    # What a document shares with the hub, and what it can share with another one besides that and rare shingles.
-    group = detached(group.withColumn("shared", F.col("n_shingles") - F.col("own")).withColumn("frequent", F.col("own") - F.coalesce("rare", F.lit(0))).drop("rare", "own"))
+    # What a document shares with the hub, what it can share with another one besides that and rare shingles, and its class, both together.
+    group = group.withColumn("shared", F.col("n_shingles") - F.col("own")).withColumn("frequent", F.col("own") - F.coalesce("rare", F.lit(0)))
+    group = detached(group.withColumn("class", F.struct("shared", "frequent", F.col("whole").bitwiseXOR(F.coalesce("apart", F.lit(0))).alias("name"))).drop("rare", "own", "whole", "apart"))
     enough = lambda extra: (100 + percent) * (F.least("x.shared", "y.shared") + F.least("x.frequent", "y.frequent") + extra) >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
 
     # A partner has at least percent of a document's shingles.
     able = group.where(100 * (F.col("shared") + F.col("frequent")) >= percent * F.col("n_shingles")).withColumn("outside", F.col("component") != F.col("of_hub"))
-    apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.component") < F.col("y.component"))) & sizes & enough(F.lit(0))
-    met = _pairs_of(able.where("outside").alias("x"), able.alias("y"), "hub", apart)
+    head = F.min(F.struct("n_shingles", "doc_id", "component")).alias("h")
+    heads = able.groupBy("hub", "class").agg(head, F.max("outside").alias("outside"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    heads = detached(heads.select("hub", "class", "class.shared", "class.frequent", "h.*", "outside", "lo", "hi"))
+    within = able.alias("x").join(heads.alias("y"), ["hub", "class"]).where((F.col("x.component") != F.col("y.component")) & sizes & enough(F.lit(0)))
+    met = within.select(F.least("x.doc_id", "y.doc_id").alias("hub"), F.greatest("x.doc_id", "y.doc_id").alias("doc_id"))
+    both_in_one = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
+    apart = ~both_in_one & (~F.col("y.outside") | (F.col("x.class") < F.col("y.class"))) & (F.col("x.class") != F.col("y.class")) & sizes & enough(F.lit(0))
+    x, y = heads.where("outside").alias("x"), heads.alias("y")
+    of_heads = x.join(y, (F.col("x.hub") == F.col("y.hub")) & apart).select(F.col("x.hub").alias("of"), F.col("x.class").alias("one"), F.col("y.class").alias("two"), F.least("x.doc_id", "y.doc_id").alias("hub"), F.greatest("x.doc_id", "y.doc_id").alias("doc_id"))
+    of_heads = detached(of_heads)
+    similar = _links(of_heads.select("hub", "doc_id", F.lit(0).alias("matches"), F.lit(LIST * LIST).alias("members")).distinct(), sets, percent)
+    alike = of_heads.join(similar.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")), ["hub", "doc_id"])
+    either = alike.select("of", F.col("one").alias("class"), F.col("two").alias("to")).unionAll(alike.select("of", F.col("two").alias("class"), F.col("one").alias("to")))
+    either = either.join(heads.select(F.col("hub").alias("of"), F.col("class").alias("to"), F.col("doc_id").alias("at"), F.col("component").alias("of_at")), ["of", "to"])
+    crossing = able.withColumnRenamed("hub", "of").join(either, ["of", "class"]).where("component <> of_at").select(F.least("doc_id", "at").alias("hub"), F.greatest("doc_id", "at").alias("doc_id"))
+    met = met.unionAll(crossing)
 
     named = rare.join(group, ["hub", "doc_id"])
     x, y = named.alias("x"), named.alias("y")
@@ -211,7 +232,7 @@ def _left_over(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     overlap = F.least("x_shared", "y_shared") + F.least("x_frequent", "y_frequent") + F.col("n")
     found = found.where((100 + percent) * overlap >= percent * (F.col("x_n_shingles") + F.col("y_n_shingles")))
     met = met.unionAll(found.select(F.least("xd", "yd").alias("hub"), F.greatest("xd", "yd").alias("doc_id"))).distinct()
-    return pairs.unionAll(met.select("hub", "doc_id", F.lit(0).alias("matches"), F.lit(LIST * LIST).alias("members")))
+    return pairs.unionAll(met.select("hub", "doc_id", F.lit(0).alias("matches"), F.lit(LIST * LIST).alias("members"))), similar
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +259,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         links = links.unionAll(others)
         components = connected_components(links)
         rows = _in_components(posted, components)
-    rest = _links(_left_over(rows, sets, percent), sets, percent)
+    pairs, similar = _left_over(rows, sets, percent)
+    rest = _links(pairs, sets, percent)
+    rest = rest if similar is None else rest.unionAll(similar)
     if not rest.isEmpty():
         components = connected_components(links.unionAll(rest))
 
