@@ -167,3 +167,29 @@ def test_sorted_hashes():
     at, found = table.find(np.array([1, 2, 9], np.uint64))
     assert found.tolist() == [True, False, True]
     assert table.rows[at[0], 0] == 1 and table.rows[at[2], 0] == 9
+
+
+def test_rows_that_repeat_an_id(spark):
+    """A language is learned from whatever ids its rows repeat, and no more rows than the bound reach the driver."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.language_id import _sample, train
+
+    en = spark.range(300).select("id", F.concat_ws(" ", F.lit("the cat and the dog number"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    for i in (7, 259):
+        fr = spark.range(50_000).select(F.lit(i).cast("long").alias("id"), F.concat_ws(" ", F.lit("le chat et le chien"), F.col("id").cast("string")).alias("text"), F.lit("fr").alias("lang"))
+        same = spark.range(5_000).select(F.lit(i).cast("long").alias("id"), F.lit("der Hund und die Katze im Haus").alias("text"), F.lit("de").alias("lang"))
+        docs = en.unionByName(fr).unionByName(same).withColumnRenamed("id", "doc_id")
+        assert {r["lang"]: r["count"] for r in _sample(docs, "doc_id", "text", "lang", 100, 400).groupBy("lang").count().collect()} == {"en": 100, "fr": 100, "de": 1}
+    assert train(docs, sample_docs=50).languages == ["de", "en", "fr"]
+
+
+def test_very_many_languages(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import language_id
+
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 2_000)
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(w), F.format_string("%x", F.col("id") % 2_000)) for w in ("ab", "cd")]).alias("text"), F.format_string("l%04d", F.col("id") % 2_000).alias("lang"))
+    taken = language_id._sample(docs, "doc_id", "text", "lang", 400, 4_000)
+    assert taken.count() == 2_000 and taken.select("lang").distinct().count() == 2_000

@@ -64,10 +64,25 @@ def test_odd_rows_and_clashing_columns(spark, make_docs, odd, sf_dir):
     assert empty.collect() == []
 
 
+@pytest.mark.parametrize("place", range(4))
+def test_columns_of_any_name(spark, make_docs, sf_dir, place):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    _, stage = corpus_pipeline.STAGES[place]
+    docs = make_docs(["some words of a text", "password = hunter22 and more"])
+    names = ["a.b", "a`b", "Score", "_own_score", "own", "Lang_Pred", "c0", "gone"]
+    docs = docs.select("*", *[F.lit(f"v{i}").alias(n) for i, n in enumerate(names)])
+    out = stage(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[len(docs.columns) - len(names) + i] == f"v{i}" for r in rows for i in range(len(names)))
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
-    assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == []
+    assert [n for n in range(1, 14) if not any(x.startswith(f"op{n}_") for x in names)] == []
     assert "tidemark.llm" in sys.modules

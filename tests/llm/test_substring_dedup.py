@@ -110,3 +110,17 @@ def test_without_broadcasts(make_docs, documents, monkeypatch):
     monkeypatch.setattr(_arrow, "BROADCAST_ROWS", -1)
     docs = [(r.doc_id, r.text) for r in documents.collect()]
     assert got(documents) == brute(docs)
+
+
+def test_ids_in_steps_fill_the_shards():
+    from tidemark.llm.substring_dedup import _dealt
+
+    for step in (1, 32, 64, 1 << 20):
+        assert len({_dealt(i * step, 32) for i in range(64)}) >= 24
+
+
+def test_rows_without_an_id_are_documents(spark, make_docs):
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts = [(None, f"one {passage}"), (None, f"two {passage} end"), (7, f"{passage} seven"), (None, "alone " * 3)]
+    found = sorted((r.doc_id is None, r.n_words, r.n_removed) for r in remove_repeated(make_docs(texts)).collect())
+    assert found == [(False, 26, 0), (True, 3, 0), (True, 26, 25), (True, 27, 25)]

@@ -12,8 +12,8 @@ standardised for its length, lies well over the largest of its language there, a
 is also nearer to what texts of other languages have under the same model.
 
 Defined results: a null text or one without any letter is ``und`` with score 0 and
-is rejected; rows with null ids or labels are never learned from; of a long labelled
-text a slice is learned from; without any labelled row every text is ``und``; columns
+is rejected; rows with null ids or labels are never learned from, rows that repeat id
+and text are learned from once; of a long labelled text a slice is learned from; without any labelled row every text is ``und``; columns
 beyond those named are ignored by the prediction; repeated rows are predicted each for
 itself; an empty table gives an empty result.
 """
@@ -26,16 +26,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._arrow import bounded_batches, broadcast_if_small, releasing
+from ._arrow import bounded_batches, broadcast_if_small, column, releasing
 from ._words import mix64
 
 UNDETERMINED = "und"
 ORDER = 5
-#: The bound of the training sample: so many documents a language, and so many characters of each (a slice of a longer one).
-SAMPLE_DOCS = 400
+#: The bound of the training sample: so many documents a language and in all, and so many characters of each (a slice of a
+#: longer one): the driver fits the models, and rows alone wouldn't bound what it holds, nor the models that are broadcast.
+SAMPLE_DOCS, SAMPLE_ROWS = 400, 16_000
 SAMPLE_CHARS = 4_000
 #: Languages that share their arrays.
 TOGETHER = 8
@@ -277,22 +279,34 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
-    """Fit and calibrate on a sample of at most ``sample_docs`` rows a language, and ``sample_chars`` neighbouring characters of each.
+def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int) -> DataFrame:
+    """Rows (lang, at, text): at most ``sample_docs`` different labelled texts a language, by the least hash of id and text.
 
-    Rows are taken by the least hash of their ids; three in four fit the models, the rest calibrates.
+    Rows that repeat id and text are one.  Hashes alone are drawn, counted and ranked; texts are read for those chosen.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.abs(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))).alias("at"))
-    there = rows.groupBy("lang").count().collect()  # a row a language
-    # A share by language that keeps a fifth more rows than asked for, so that a hot language isn't sorted whole.
-    share = [(r["lang"], float(1 << 63) * min(1.0, (1.2 * sample_docs + 40) / r["count"])) for r in there]
-    shares = broadcast_if_small(labelled.sparkSession.createDataFrame(share, "lang string, below double"))
+    text, id_ = column(text_col).cast("string"), column(id_col).cast("string")
+    rows = labelled.where(column(lang_col).isNotNull() & text.isNotNull() & id_.isNotNull())
+    rows = rows.select(column(lang_col).cast("string").alias("lang"), text.alias("text"), F.abs(F.xxhash64(F.lit("sample"), id_, text)).alias("at"))
+    drawn = rows.select("lang", "at").distinct()
+    there = drawn.groupBy("lang").count()
+    each = min(sample_docs, max(1, SAMPLE_ROWS // max(1, there.count())))
+    # A share by language that keeps a fifth more than asked for, so that a hot language isn't sorted whole.
+    share = there.select("lang", (F.lit(float(1 << 63)) * F.least(F.lit(1.0), (1.2 * each + 40) / F.col("count"))).alias("below"))
+    drawn = drawn.join(broadcast_if_small(share), "lang").where(F.col("at") <= F.col("below"))
+    chosen = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("n") <= each).select("lang", "at")
     begin = F.pmod("at", F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1
-    taken = rows.join(shares, "lang").where(F.col("at") <= F.col("below")).select("lang", "at", F.substring(F.col("text"), begin.cast("int"), F.lit(sample_chars)).alias("text")).collect()
+    slices = rows.join(broadcast_if_small(chosen), ["lang", "at"]).select("lang", "at", F.substring(F.col("text"), begin.cast("int"), F.lit(sample_chars)).alias("text"))
+    return slices.groupBy("lang", "at").agg(F.min("text").alias("text"))
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
+    """Fit and calibrate on a sample of at most ``sample_docs`` rows a language, ``SAMPLE_ROWS`` in all, and ``sample_chars`` neighbouring characters of each.
+
+    Rows are taken by the least hash of their ids and texts; three in four fit the models, the rest calibrates.
+    """
     by: dict[str, list] = {}
-    for row in sorted(taken, key=lambda r: (r["lang"], r["at"], r["text"])):
-        if len(own := by.setdefault(row["lang"], [])) < sample_docs:
-            own.append(row["text"])
+    for row in sorted(_sample(labelled, id_col, text_col, lang_col, sample_docs, sample_chars).collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
+        by.setdefault(row["lang"], []).append(row["text"])
     by = {k: v for k, v in by.items() if any(c.isalpha() for t in v for c in t)}
     languages = sorted(by)
     fit = [[t for i, t in enumerate(by[k]) if i % 4 or len(by[k]) < 8] for k in languages]
@@ -308,8 +322,9 @@ def identify(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataF
     """Add lang_pred, score (0 to 1), cross_entropy (nats a symbol) and rejected to rows, in place of columns so named; only the text decides."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    kept = [c for c in docs.columns if c not in PREDICTIONS]
+    kept = [c for c in docs.columns if c.lower() not in PREDICTIONS]
     place = kept.index(text_col)
+    docs = docs.select(*map(column, kept))
     shared = spark.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,5 +334,5 @@ def identify(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataF
             names, score, entropy, rejected = model.predict(batch.column(place).fill_null("").to_pylist(), table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=[*kept, *PREDICTIONS])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept).mapInArrow(releasing(predicted), f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    predictions = T.StructType().add("lang_pred", "string").add("score", "double").add("cross_entropy", "double").add("rejected", "boolean")
+    return docs.mapInArrow(releasing(predicted), T.StructType([*docs.schema, *predictions]))

@@ -26,8 +26,8 @@ third of all documents share is a few entries a batch.
 
 Defined results: words are maximal runs of bytes but white space; a null text has no
 words; texts of fewer words than a window lose nothing; rows with the same id are
-one place, so equal ones don't remove each other; rows without an id come last; an
-empty table gives an empty result; other columns are ignored.
+one place, so equal ones don't remove each other; rows without an id come last, in the
+order of a hash of their texts, equal ones as one place; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import bounded_batches, broadcast_if_small, materialise, releasing
-from ._words import Words, window_hashes, words_of
+from ._words import Words, mix64, window_hashes, words_of
 
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text for each bucket of hashes and each shard, about; the bound of a task's memory.
@@ -51,10 +51,16 @@ LEAST_BUCKETS = 32
 #: Words of references in a shard, and bytes of stretches in a slice, about.
 SHARD_WORDS, SLICE_BYTES = 250_000, 4 << 20
 
-_LAST = (1 << 63) - 1
+#: Keys of rows without an id begin here.
+_NAMELESS = 1 << 62
 _U = np.uint64
 
 
+def _dealt(doc: int, n: int) -> int:
+    """One of n numbers for a document, whatever its ids have in common."""
+    return int(mix64(np.array([doc], np.int64).astype(_U))[0] % _U(n))
+
+
 def _least_positions(values: np.ndarray, width: int) -> np.ndarray:
     """For each start the position of the first least value among the next ``width``."""
     n = len(values) - width + 1
@@ -131,7 +137,7 @@ def _by_document(kind: int, buckets: int, ids: np.ndarray, places: np.ndarray, r
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         o, doc = order[a:b], int(ids[order[a]])
         refs = (b"", b"") if ref_ids is None else (ref_ids[o].tobytes(), ref_places[o].astype(np.uint32).tobytes())
-        rows.append((doc % buckets, kind, doc, b"", b"", places[o].astype(np.uint32).tobytes(), *refs))
+        rows.append((_dealt(doc, buckets), kind, doc, b"", b"", places[o].astype(np.uint32).tobytes(), *refs))
     return rows
 
 
@@ -287,9 +293,9 @@ def _regions(docs: DataFrame, occurrences: DataFrame, window: int, shards: int)
             for doc, text, own, later in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 for a, b in merged(np.frombuffer(own, np.int64).reshape(-1, 2)):
-                    rows.append((doc % shards, _REFERENCE, doc, a, b" ".join(words[a : b + window - 1])))
+                    rows.append((_dealt(doc, shards), _REFERENCE, doc, a, b" ".join(words[a : b + window - 1])))
                 runs = np.frombuffer(later, np.int64).reshape(-1, 4)
-                shard = runs[:, 2] % shards
+                shard = (mix64(runs[:, 2].astype(_U)) % _U(shards)).astype(np.int64)
                 for k in np.unique(shard).tolist():
                     near = runs[shard == k, :2] + np.array([-window, 2 * window - 1])
                     for a, b in merged(np.clip(near, 0, len(words))):
@@ -399,20 +405,23 @@ def _spans(regions: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, text, copy, spans) for each document.
+    """Rows (doc_id, text, nameless, copy, spans) for each document; a nameless one, without an id, has a key in its place.
 
     copy: an equal text has a lesser id, so all its windows are repetitions; spans:
     else the word ranges to remove, pairs (start, stop) of 64-bit integers.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # A row without an id comes after those with one, by a hash of its text; so such rows are documents, not one document.
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NAMELESS) + F.shiftrightunsigned(F.xxhash64(text), 2))
+    docs = docs.select(key.alias("doc_id"), text.alias("text"), F.col(id_col).isNull().alias("nameless"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     # Copies are found by name and id alone, so texts never meet by a name that many rows share.
     named = materialise(docs.select("doc_id", F.md5("text").alias("name")))
     equal = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
     copies = named.join(broadcast_if_small(equal), "name").where("doc_id > least").select("doc_id", "name", F.lit(True).alias("copy")).distinct()
-    named = docs.withColumn("name", F.md5("text")).join(broadcast_if_small(copies), ["doc_id", "name"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    named = docs.withColumn("name", F.md5("text")).join(broadcast_if_small(copies), ["doc_id", "name"], "left").select("doc_id", "text", "nameless", F.coalesce("copy", F.lit(False)).alias("copy"))
     single = named.where("not copy").select("doc_id", "text")
     repeated = broadcast_if_small(_entries(single, window, anchor, buckets), "octet_length(found)")
     occurrences = broadcast_if_small(_occurrences(single, repeated, window, anchor, buckets), "octet_length(own) + octet_length(later)")
@@ -435,7 +444,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, copy, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, copy, spans, nameless in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 n = len(words)
                 if copy and n >= window:
@@ -445,9 +454,9 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     for a, b in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist():
                         stay[a:b] = False
                     words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                out.append((None if doc == _LAST else doc, n, n - len(words), b" ".join(words)))
+                out.append((None if nameless else doc, n, n - len(words), b" ".join(words)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    found = repeated_spans(docs, window, anchor, id_col, text_col).select("doc_id", "text", "copy", "spans")
+    found = repeated_spans(docs, window, anchor, id_col, text_col).select("doc_id", "text", "copy", "spans", "nameless")
     return found.mapInArrow(releasing(kept), "doc_id long, n_words long, n_removed long, kept binary")
