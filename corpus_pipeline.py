@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._arrow import read_table, written
-from tidemark.llm.language_id import PREDICTIONS, held_out, identify, train
+from tidemark.llm.language_id import held_out, identify, train
 from tidemark.llm.mixing import mixed_rows
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
@@ -23,17 +23,31 @@ from tidemark.llm.secrets import redact
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns that a stage works on by their names, all others in one struct by their places: no name of theirs is ever read."""
+    places = {name: docs.columns.index(name) for name in names}
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    others = [F.col(f"c{i}") for i in range(len(docs.columns)) if i not in places.values()]
+    return placed.select(*[F.col(f"c{i}").alias(name) for name, i in places.items()], F.struct(F.lit(0).alias("c"), *others).alias("own"))
+
+
+def _together(found: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of docs in their order, those of ``names`` as a stage left them."""
+    places = {docs.columns.index(name): name for name in names}
+    return found.select(*[(F.col(places[i]) if i in places else F.col("own")[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that language ID rejects; documents without a language get the predicted one.
 
     Null, empty and letterless texts are rejected; very long ones are judged whole;
     repeated rows are judged alike, and rows without an id as any other.
     """
-    model = train(docs.where(~held_out()))
-    # Columns of the documents' own that have the names of predictions step aside.
-    aside = {c: f"_own_{c}" for c in docs.columns if c in PREDICTIONS}
-    found = identify(docs.withColumnsRenamed(aside), model).where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return found.drop(*PREDICTIONS).withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
+    names = ("doc_id", "text", "lang")
+    known = _apart(docs, *names)
+    model = train(known.where(~held_out()))
+    found = identify(known, model).where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return _together(found, docs, *names)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +56,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and wordless texts are like nothing and stay; so do rows without an id; of
     repeated rows of one id all stay or all go.
     """
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = ("doc_id", "text")
+    known = _apart(docs, *names)
+    gone = near_duplicates(known).where(~F.col("kept")).select("doc_id").distinct()
+    return _together(known.join(gone, "doc_id", "left_anti"), docs, *names)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +67,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null texts stay null, with null n_chars; empty ones stay empty; every row stays.
     """
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    names = ("doc_id", "text", "source", "n_chars")
+    known = redact(_apart(docs, *names)).withColumn("n_chars", F.length("text").cast("long"))
+    return _together(known, docs, *names)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
