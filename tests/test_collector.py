@@ -102,3 +102,39 @@ def test_source_plugins(spark, tmp_path, monkeypatch):
     assert detect(otlp.read_documents(spark, str(tmp_path)), found) == (plugin, "a name of mine")
     assert adapt(spark, str(tmp_path), sources=found).head()[0] == "mine"
     assert adapt(spark, str(tmp_path), "mine", sources=found).count() == 1
+
+
+def test_source_plugin_with_files_of_its_own_and_prices(spark, tmp_path):
+    from tidemark.sources.detect import SOURCES, UnknownSource, adapt
+
+    asked = []
+
+    def load(spark, path):
+        asked.append(path)
+        files = spark.read.option("pathGlobFilter", "*.mine").text(path)
+        return None if files.isEmpty() else files
+
+    plugin = SimpleNamespace(NAME="mine", PRICED=True, load=load, convert=lambda docs, prices: docs.selectExpr("value", f"'{prices}' as prices"))
+    (tmp_path / "a.mine").write_text("one line")
+    sources = (*SOURCES, plugin)
+    assert [tuple(r) for r in adapt(spark, str(tmp_path), prices={1: 2}, sources=sources).collect()] == [("one line", "{1: 2}")]
+    assert adapt(spark, str(tmp_path), "mine", sources=sources).count() == 1 and len(asked) == 2
+    with pytest.raises(UnknownSource):
+        adapt(spark, str(tmp_path), sources=SOURCES)
+    with pytest.raises(UnknownSource):
+        adapt(spark, str(tmp_path), "other", sources=sources)
+
+
+def test_attributes_in_linear_time(spark):
+    """Ten thousand attributes, of a key given twice the last."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    value = F.struct(*[F.when(F.lit(c == "stringValue"), F.col("id").cast("string")).alias(c) for c in ("stringValue", "intValue", "doubleValue", "boolValue", "arrayValue", "kvlistValue")])
+    rows = spark.range(10_000).select(F.struct((F.col("id") % 9_000).cast("string").alias("key"), value.alias("value")).alias("a"))
+    listed = rows.agg(F.sort_array(F.collect_list("a")).alias("a")).select(F.array_sort(F.col("a"), lambda x, y: (x["value"]["stringValue"].cast("int") - y["value"]["stringValue"].cast("int")).cast("int")).alias("a")).cache()
+    listed.count()
+    began = time.perf_counter()
+    found = listed.select(otlp.attribute_map(F.col("a")).alias("m")).head().m
+    assert len(found) == 9_000 and found["5"] == "9005" and found["8999"] == "8999" and time.perf_counter() - began < 20

@@ -188,6 +188,14 @@ def openclaw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.unionByName(metrics(points, o.COUNTER, "sum", which, aggregationTemporality=F.lit(2), isMonotonic=F.lit(True)))
 
 
+def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (file, text): a metric point an order, cumulative and delta sums, gauges and histograms by its number."""
+    rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("m-"), F.col("o_orderkey").cast("string")).alias("file"), F.lit(7).alias("start"), (F.col("o_orderkey") % 1000).alias("at"), F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("model"))
+    which = attributes(model=("string", F.col("model")), model__again=("string", F.when(F.col("k") % 2 == 0, F.col("file"))))
+    sums = [metrics(rows.where(f"k % 4 = {i}"), "spent", "sum", which, aggregationTemporality=F.lit(2 - i), isMonotonic=F.lit(i == 0)) for i in (0, 1)]
+    return sums[0].unionByName(sums[1]).unionByName(metrics(rows.where("k % 4 = 2"), "level", "gauge", which)).unionByName(metrics(rows.where("k % 4 = 3"), "spread", "histogram", which, aggregationTemporality=F.lit(2)))
+
+
 def localtrace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run a user; views are calls, half of them with a content span, clicks tools; five dollars a run."""
     from ..sources import openclaw_localtrace as o

@@ -40,7 +40,10 @@ class Registry:
 
 
 def sources() -> Registry:
-    """Sources of OTLP documents: objects with NAME, convert(docs), and SIGNALS or detect(docs)."""
+    """Sources: objects with NAME, convert(docs), and SIGNALS or detect(docs) for OTLP documents, or load(spark, path) for files of their own.
+
+    One with PRICED gets a price table: convert(docs, prices).
+    """
     from .sources.detect import SOURCES
 
     return Registry("sources", {s.NAME: s for s in SOURCES}).load()

@@ -185,7 +185,8 @@ SQL: dict[str, str] = {
     "otlp_logs": f"""WITH {_SRC} SELECT sec AS at, 'u' || user_id AS session_id, CASE event_type WHEN 'view' THEN 'api_request' WHEN 'error' THEN 'api_error' WHEN 'signup' THEN 'user_prompt' WHEN 'click' THEN 'tool_result' ELSE 'tool_decision' END AS event_name, CAST(n AS VARCHAR) AS event_sequence,
       CASE WHEN event_type = 'signup' THEN CASE WHEN k % 5 = 0 THEN '<REDACTED>' ELSE word || ' please' END END AS prompt, CASE WHEN event_type = 'click' AND k % 5 = 0 THEN '{{"mcp_server_name": "srv", "mcp_tool_name": "x"}}' END AS tool_parameters, CASE WHEN event_type = 'view' AND k % 4 > 0 THEN round(value / 1000, 6) END AS cost, 'cowork' AS service FROM src
       UNION ALL SELECT sec, 'u' || user_id, 'assistant_response', CAST(n AS VARCHAR), NULL, NULL, NULL, 'cowork' FROM src WHERE event_type = 'view' AND k % 4 = 0""",
-    "otlp_metric_points": "SELECT 'openclaw.cost.usd' AS name, 'sum' AS kind, CAST(1 + 999 * p AS DOUBLE) AS value, 1 AS start, 2 + p AS at, 'cumulative' AS temporality, true AS monotonic, 'c' || c AS channel, 'm' || m AS model FROM range(2) a(c), range(3) b(m), range(2) d(p)",
+    "otlp_metric_points": """SELECT 'm-' || o_orderkey AS file, CASE o_orderkey % 4 WHEN 2 THEN 'level' WHEN 3 THEN 'spread' ELSE 'spent' END AS name, CASE o_orderkey % 4 WHEN 2 THEN 'gauge' WHEN 3 THEN 'histogram' ELSE 'sum' END AS kind, round(CAST(o_totalprice AS DOUBLE), 4) AS value, 7 AS start, o_orderkey % 1000 AS at,
+      CASE o_orderkey % 4 WHEN 0 THEN 'cumulative' WHEN 1 THEN 'delta' END AS temporality, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS monotonic, o_orderpriority AS model, CASE WHEN o_orderkey % 2 = 0 THEN 'm-' || o_orderkey END AS again FROM orders""",
     "source_signals": """SELECT * FROM (VALUES ('coding_cli', true, true, false, false, false, false, true), ('cowork', false, false, true, false, false, false, true), ('openclaw', false, false, false, true, false, false, false),
       ('localtrace', false, false, false, false, true, false, false), ('openinference', false, false, false, false, false, true, false)) v(telemetry, span_names, service, cowork, openclaw, localtrace, openinference, residual)""",
     "jsonl_rows": f"""WITH {_SRC}, e AS (SELECT *, CASE WHEN k % 29 = 0 THEN 'not a JSON object' WHEN k % 17 = 0 THEN 'missing required field task_id' WHEN k % 11 = 0 THEN 'step_index is not an integer' WHEN k % 13 = 0 THEN 'unknown event_type call'

@@ -115,8 +115,8 @@ def otlp_logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def otlp_metric_points(spark: SparkSession, d: str) -> DataFrame:
-    rows, a = otlp.metric_points(_docs(telemetry.openclaw_documents(spark, d))), F.col("attributes")
-    return rows.select("name", "kind", "value", F.expr("start div 1000000000").alias("start"), F.expr("at div 1000000000").alias("at"), "temporality", "monotonic", a.getItem("openclaw.channel").alias("channel"), a.getItem("openclaw.model").alias("model"))
+    rows, a = otlp.metric_points(_docs(telemetry.order_metrics(spark, d))), F.col("attributes")
+    return rows.select(F.col("ordinal.file").alias("file"), "name", "kind", F.round("value", 4).alias("value"), F.expr("start div 1000000000").alias("start"), F.expr("at div 1000000000").alias("at"), "temporality", "monotonic", a.getItem("model").alias("model"), a.getItem("model.again").alias("again"))
 
 
 def source_signals(spark: SparkSession, d: str) -> DataFrame:

@@ -55,31 +55,40 @@ def detect(docs: DataFrame, sources: tuple = SOURCES) -> tuple[ModuleType, str]:
     raise UnknownSource(f"no source claims {counts['documents']} documents ({counts['traces']} traces, {counts['logs']} logs, {counts['metrics']} metrics)")
 
 
-def _opencode(spark: SparkSession, path: str, prices: dict | None) -> DataFrame:
-    if path.endswith((".db", ".sqlite")):
-        return opencode.convert(opencode.from_tables(**opencode.sqlite_tables(spark, path)), prices)
-    return opencode.convert(opencode.read_exports(spark, path), prices)
+#: Sources with files of their own, asked only if nothing is OTLP.
+NATIVE: tuple[ModuleType, ...] = (opencode, pi)
 
 
-#: Sources with files of their own, asked only if nothing is OTLP.
-NATIVE = {opencode.NAME: _opencode, pi.NAME: lambda spark, path, prices: pi.convert(pi.read_sessions(spark, path), prices)}
-#: Sources that report token counts without costs take a price table.
-PRICED = (openinference,)
+def _events(source, docs: DataFrame, prices: dict | None) -> DataFrame:
+    """A source's events; one that is PRICED takes a price table for calls without a cost."""
+    return source.convert(docs, prices) if getattr(source, "PRICED", False) else source.convert(docs)
+
+
+def load_native(spark: SparkSession, path: str, sources: tuple) -> tuple[object, DataFrame] | None:
+    """The first source that claims a folder as its own format, with what it read there.
+
+    Such a source has load(spark, path), which looks for its mark and returns None without it; nothing is converted for that.
+    """
+    for source in sources:
+        if hasattr(source, "load") and (found := source.load(spark, path)) is not None:
+            return source, found
+    return None
 
 
 def adapt(spark: SparkSession, path: str, source: str | None = None, prices: dict | None = None, sources: tuple = SOURCES) -> DataFrame:
-    """Events of a folder of OTLP documents, or of a source's own sessions; prices has entries as pricing.load_overlaid gives."""
-    if source in NATIVE:
-        return NATIVE[source](spark, path, prices)
-    if not path.endswith((".db", ".sqlite")):
+    """Events of a folder of OTLP documents, or of a source's own files; prices has entries as pricing.load_overlaid gives.
+
+    Sources of plugins come first, in both ways: what they load themselves, and what they recognise.
+    """
+    every = (*sources, *(s for s in NATIVE if s not in sources))
+    named = next((s for s in every if s.NAME == source), None)
+    if source and named is None:
+        raise UnknownSource(f"no source called {source}")
+    if not path.endswith(opencode.DATABASES) and not (named and hasattr(named, "load")):
         docs = otlp.read_documents(spark, path)
-        if source or not docs.where("is_trace or is_log or is_metrics").isEmpty():
-            found = next((s for s in sources if s.NAME == source), None) if source else detect(docs, sources)[0]
-            if found is None:
-                raise UnknownSource(f"no source called {source}")
-            return found.convert(docs, prices) if found in PRICED else found.convert(docs)
-    for convert in NATIVE.values():
-        events = convert(spark, path, prices)
-        if not events.isEmpty():
-            return events
-    raise UnknownSource(f"no source claims anything in {path}")
+        if named or not docs.where("is_trace or is_log or is_metrics").isEmpty():
+            return _events(named or detect(docs, tuple(s for s in sources if hasattr(s, "SIGNALS") or hasattr(s, "detect")))[0], docs, prices)
+    found = load_native(spark, path, (named,) if named else every)
+    if found is None:
+        raise UnknownSource(f"no source claims anything in {path}")
+    return _events(*found, prices)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import otlp
 from .convert import Chain, ancestors, at_nanos, event, fill_models, first, grouped, hashed, looks_structured, number, priced, whole
 
-NAME = "openinference"
+NAME, PRICED = "openinference", True
 
 # Attribute names in order of preference.
 KIND = "openinference.span.kind"

@@ -45,10 +45,12 @@ def value_text(value: Column) -> Column:
 
 
 def attribute_map(attributes: Column) -> Column:
-    """A map of text from a list of attributes."""
+    """A map of text from a list of attributes; sorted by key, the last one given of each key is next to another key."""
     given = F.filter(F.coalesce(attributes, F.array().cast(_ATTRS)), lambda a: a["key"].isNotNull() & a["value"].isNotNull())
-    last = F.transform(F.array(given), lambda all_: F.filter(all_, lambda a, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda b: b["key"] == a["key"])))[0]
-    return F.map_from_entries(F.transform(last, lambda a: F.struct(a["key"], value_text(a["value"]))))
+    placed = F.transform(given, lambda a, i: F.named_struct(F.lit("key"), a["key"], F.lit("place"), i, F.lit("text"), value_text(a["value"])))
+    # The sorted list is bound to a name, or it would be made again for each of its elements.
+    last = F.transform(F.array(F.array_sort(placed)), lambda every: F.filter(every, lambda a, i: ~F.get(every, i + 1)["key"].eqNullSafe(a["key"])))[0]
+    return F.map_from_entries(F.transform(last, lambda a: F.struct(a["key"], a["text"])))
 
 
 def _flat(docs: DataFrame, top: str, scope: str, leaf: str) -> DataFrame:
