@@ -50,4 +50,12 @@ def test_stream_in_three_parts_equals_a_batch(spark, tmp_path):
         want = {(r.task_id, r.repeat_step): tuple(r[c] for c in columns) for r in classified(exact_repeats(events.where(F.col("step_index") < hi))).collect()}
         assert latest == want and want
     assert len({v[-2] for v in latest.values()}) > 1
+    # Hours later: the tasks' last rows once more, as final.
+    events.limit(1).withColumns({"task_id": F.lit("z"), "ts": F.col("ts") + F.expr("INTERVAL 9 HOURS")}).write.mode("append").parquet(folder)
+    stream = streaming_verdicts(spark.readStream.schema(EVENT).parquet(folder))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    ended = query.awaitTermination(120)
+    query.stop()
+    final = {(r.task_id, r.repeat_step): tuple(r[c] for c in columns) for r in spark.read.parquet(str(tmp_path / "out")).where("final").collect()}
+    assert ended and final == latest
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
