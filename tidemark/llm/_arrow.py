@@ -58,9 +58,12 @@ def shared_folder(spark: SparkSession) -> str:
     on a cluster what is written must lie where all machines read it.
     """
     named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    unset = context._jsc.sc().getCheckpointDir().isEmpty()
     if named:
+        if unset:  # named after the session began
+            context.setCheckpointDir(named)
         return named
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if unset:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
