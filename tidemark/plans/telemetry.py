@@ -137,6 +137,24 @@ def coding_cli_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.unionByName(records)
 
 
+def subagent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases hand tasks to subagents, four of five by name; views are requests of the latest one, or of the user before any."""
+    from ..sources import coding_cli as c
+
+    rows, k = session_rows(spark, sf_dir).where("event_type in ('view', 'purchase')"), F.col("k")
+    user, id_ = F.col("user_id").cast("string"), text("s", F.col("event_id").cast("string"))
+    trace, turn, session = text("t", user), text("i", user), ("string", text("u", user))
+    before = W.partitionBy("user_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("handed", F.last(F.when(F.col("event_type") == "purchase", id_), ignorenulls=True).over(before))
+    kind = F.when(k % 5 > 0, F.when(k % 2 == 0, "scout").otherwise("writer"))
+    return traces(
+        span(users(rows), 0, trace, turn, c.INTERACTION, attributes(session__id=session), end=F.lit(10**6)),
+        span(rows.where("event_type = 'view'"), 1, trace, id_, c.REQUEST, attributes(session__id=session, model=("string", F.lit("m"))), parent=F.coalesce("handed", turn)),
+        span(rows.where("event_type = 'purchase'"), 1, trace, id_, c.TOOL, attributes(session__id=session, tool_name=("string", F.lit("Task")), subagent_type=("string", kind)), parent=turn),
+        service="claude-code",
+    )
+
+
 def cowork_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views are requests, errors failed ones, clicks tool results, purchases decisions, signups prompts."""
     rows, k = session_rows(spark, sf_dir), F.col("k")

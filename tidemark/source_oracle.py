@@ -165,6 +165,10 @@ SQL: dict[str, str] = {
     "openinference_events": _OPENINFERENCE,
     "openinference_skipped": f"WITH {_SRC} SELECT 'AGENT' AS kind, count(DISTINCT user_id) AS spans FROM src UNION ALL SELECT 'CHAIN', count(*) FROM src WHERE event_type = 'signup'",
     "coding_cli_events": _CODING_CLI,
+    "subagent_events": f"""WITH {_SRC}, e AS (SELECT user_id, n, event_type, CASE WHEN k % 5 > 0 THEN CASE WHEN k % 2 = 0 THEN 'scout' ELSE 'writer' END END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY n) - 1 AS step FROM src WHERE event_type IN ('view', 'purchase')),
+      a AS (SELECT v.*, (SELECT max(p.step) FROM e p WHERE p.user_id = v.user_id AND p.event_type = 'purchase' AND p.step < v.step AND v.event_type = 'view') AS above FROM e v),
+      s AS (SELECT *, lag(step) OVER (PARTITION BY user_id, coalesce(above, -1) ORDER BY step) AS brother FROM a)
+      SELECT 'u' || s.user_id AS task_id, s.step AS step_index, CASE s.event_type WHEN 'view' THEN 'llm_call' ELSE 'tool_call' END AS event_type, CASE s.event_type WHEN 'view' THEN 'm' ELSE 'Task' END AS name, coalesce(t.kind, 'main') AS workflow, coalesce(brother, above) AS parent_id FROM s LEFT JOIN e t ON t.user_id = s.user_id AND t.step = s.above""",
     "cowork_events": _COWORK,
     "openclaw_events": _OPENCLAW,
     "openclaw_localtrace_events": _LOCALTRACE,

@@ -47,6 +47,12 @@ def coding_cli_events(spark: SparkSession, d: str) -> DataFrame:
     return _shown(coding_cli.convert(_docs(telemetry.coding_cli_documents(spark, d))), "hash", "basis", "model_basis", "task_source", "billing_only")
 
 
+def subagent_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of tasks handed to subagents, under their names."""
+    found = coding_cli.convert(_docs(telemetry.subagent_documents(spark, d)))
+    return found.select("task_id", "step_index", "event_type", "name", "workflow", "parent_id")
+
+
 def cowork_events(spark: SparkSession, d: str) -> DataFrame:
     return _shown(cowork.convert(_docs(telemetry.cowork_documents(spark, d))), "hash", "basis", "response")
 
@@ -214,7 +220,7 @@ def pair_notes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        openinference_events, openinference_skipped, coding_cli_events, cowork_events, openclaw_events, openclaw_localtrace_events, opencode_events, opencode_table_events, pi_events, canonical_json, jsonl_round_trip, conversion_summary,
+        openinference_events, openinference_skipped, coding_cli_events, subagent_events, cowork_events, openclaw_events, openclaw_localtrace_events, opencode_events, opencode_table_events, pi_events, canonical_json, jsonl_round_trip, conversion_summary,
         otlp_documents, otlp_spans, otlp_outcomes, otlp_logs, otlp_metric_points, source_signals, jsonl_rows, price_overlay, price_curation,
         tree_effective_parent, tree_exact_repeats, tree_near_repeats, tree_terminal_outcome, pair_notes,
     )
