@@ -1,10 +1,12 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
 
 from tidemark.llm import near_dedup
+from tidemark.llm._arrow import SHUFFLES_REMOVED
 from tidemark.llm.near_dedup import near_duplicates
 
 
@@ -132,3 +134,30 @@ def test_components_of_chains(spark):
     found = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert {found[n] for n in nodes[:121]} == {min(nodes[:121])}
     assert {found[n] for n in nodes[150:180]} == {min(nodes[150:180])}
+
+
+def test_files_of_shuffles_go_and_few_rows_make_few_files(make_docs, spark, tmp_path):
+    """Before: each step of some eighty left its shuffles' files and a checkpoint of 50 parts."""
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", SHUFFLES_REMOVED)}
+    context = spark.sparkContext
+    folder, disk = context._jsc.sc().getCheckpointDir().get(), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(f.startswith("shuffle_") for f in disk.getAllFiles().mkString("\n").replace("/", "\n").split("\n"))
+    texts = list(near_group(60, 5))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        before = shuffled()
+        found = near_duplicates(make_docs(texts), 4)
+        ends = time.time() + 20
+        while shuffled() - before > 100 and time.time() < ends:  # they go in the background
+            time.sleep(0.5)
+        left, parts = shuffled() - before, Counter(p.parent for p in tmp_path.rglob("part-*"))
+        assert spark.conf.get(SHUFFLES_REMOVED, None) == held[SHUFFLES_REMOVED]
+        assert [sorted(map(tuple, found.collect())) for _ in range(2)] == [brute(list(enumerate(texts)), 4)] * 2
+    finally:
+        context.setCheckpointDir(folder.rpartition("/")[0])
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert left <= 100
+    assert sum(n <= 8 for n in parts.values()) > 0.8 * len(parts)
