@@ -138,7 +138,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame
 
     pairs = detached(pairs.groupBy("hub", "doc_id").agg(F.sum("matches").alias("matches"), F.max("members").alias("members")), n)
     met = _beside(pairs, sets).select("hub", "doc_id", "x", "y", "matches")
-    return detached(met.mapInArrow(releasing(compared), "a long, b long"), pairs.count())
+    # Few pairs are found among the sets of all documents, so that these bound the partitions, too.
+    return detached(met.mapInArrow(releasing(compared), "a long, b long"), max(n, pairs.count()))
 
 
 def _sizes(x: F.Column, y: F.Column, percent: int) -> F.Column:
